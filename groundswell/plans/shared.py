@@ -31,15 +31,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/groundswell/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> str:
+    """Write `df` as a table in the shared folder; returns its path."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as a table in the shared folder and read it back.
+    """`store` and read back.
 
     Cuts the lineage where a result feeds several branches, survives lost
     executors, and keeps column pruning for the readers.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
 
 
 def ship_package(spark: SparkSession) -> None:

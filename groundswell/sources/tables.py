@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundswell import schema as S
 from groundswell.operators.ingest import validate_samples
@@ -21,8 +22,8 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    day = S.T.StructField("ts_date", S.T.DateType())
-    return spark.read.schema(S.T.StructType([*S.TELEMETRY.fields, day])).parquet(path)
+    day = T.StructField("ts_date", T.DateType())
+    return spark.read.schema(T.StructType([*S.TELEMETRY.fields, day])).parquet(path)
 
 
 def telemetry_scan(
