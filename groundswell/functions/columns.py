@@ -90,24 +90,19 @@ def fixed_text(col: Column | str, places: int) -> Column:
     The scaled value is split into a rounded product and its error, and the error
     decides when the product sits on a tie.
     """
-    v = F.abs(_c(col))
     scale = F.lit(float(10**places))
+    v = F.abs(_c(col))
     product = v * scale
+    whole = F.floor(product)
     split = v * F.lit(134217729.0)
     high = split - (split - v)
     error = (high * scale - product) + (v - high) * scale
-    whole = F.floor(product)
     above = product - whole
-    odd = whole % 2 == 1
-    up = (above > 0.5) | ((above == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    units = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    digits = units.cast("string")
-    padded = F.when(F.length(digits) > places, digits).otherwise(F.lpad(digits, places + 1, "0"))
-    cut = F.length(padded) - places
-    text = F.concat(
-        F.when(_c(col) < 0, "-").otherwise(""), F.substring(padded, F.lit(1), cut), F.lit("."),
-        F.substring(padded, cut + 1, F.lit(places)),
-    )
+    up = (above > 0.5) | ((above == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    units = whole + up.cast("long")
+    base = F.lit(10**places)
+    digits = F.lpad((units % base).cast("string"), places, "0")
+    text = F.concat(F.when(_c(col) < 0, "-").otherwise(""), F.floor(units / base).cast("string"), F.lit("."), digits)
     return F.when(v < 1e12, text).otherwise(F.format_string(f"%.{places}f", _c(col)))
 
 

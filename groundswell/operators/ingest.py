@@ -9,64 +9,82 @@ from groundswell import schema as S
 from groundswell.functions.columns import fixed_text
 
 
-def _rules(now: Column) -> list[tuple[str, Column, Column]]:
-    """(reason, failure test, message) in the order in which the first failure wins."""
+def _not_finite(field: str) -> str:
+    return f"NOT abs({field}) < double('Infinity')"  # NaN counts as larger than infinity
 
-    def outside(field: str, low: float, high: int, places: int) -> tuple[str, Column, Column]:
-        text = F.concat(F.lit(f"{field} "), fixed_text(field, places), F.lit(f" outside [0, {high}]"))
-        return field, (F.col(field) < low) | (F.col(field) > high), text
 
+# Fixed values: (field, lower bound, upper bound, digits shown), checked in this order.
+_BOUNDS = (
+    ("depth_m", 0, S.MAX_DEPTH_M, 2),
+    ("injection_pressure_kpa", 0, S.MAX_PRESSURE_KPA, 1),
+    ("flow_rate_lpm", 0, S.MAX_FLOW_LPM, 1),
+    ("surface_uplift_mm", -S.MAX_UPLIFT_MM, S.MAX_UPLIFT_MM, 1),
+    ("battery_pct", 0, S.MAX_BATTERY_PCT, 1),
+)
+
+
+def _reason(now: Column) -> Column:
+    """Name of the first check that fails, or null."""
     limit = now + F.expr(f"INTERVAL {S.MAX_CLOCK_SKEW_S} SECONDS")
-    finite = [
-        ("finite", F.isnan(f) | (F.abs(F.col(f)) == float("inf")), F.lit(f"{f} must be finite"))
-        for f in S.NUMERIC_FIELDS
+    tests = [
+        ("robot_id", F.expr("robot_id = ''")),
+        ("site_id", F.expr("site_id = ''")),
+        ("ts", F.expr("ts IS NULL OR ts = TIMESTAMP'0001-01-01 00:00:00'")),
+        ("future_ts", F.col("ts") > limit),
+        ("state", ~F.col("state").isin(*S.STATES)),
+        ("finite", F.expr(" OR ".join(_not_finite(f) for f in S.NUMERIC_FIELDS))),
+        *[(f, F.expr(f"{f} < {low} OR {f} > {high}")) for f, low, high, _ in _BOUNDS],
     ]
+    (name, bad), *rest = tests
+    reason = F.when(bad, name)
+    for name, bad in rest:
+        reason = reason.when(bad, name)
+    return reason
+
+
+def _error() -> Column:
+    """The text that goes with `reason`."""
+    reason = F.col("reason")
+    culprit = "CASE " + " ".join(f"WHEN {_not_finite(f)} THEN '{f}'" for f in S.NUMERIC_FIELDS) + " END"
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    uplift = F.col("surface_uplift_mm")
-    return [
-        ("robot_id", F.col("robot_id") == "", F.lit("robot_id is required")),
-        ("site_id", F.col("site_id") == "", F.lit("site_id is required")),
-        ("ts", F.col("ts").isNull() | (F.col("ts") == F.lit("0001-01-01 00:00:00").cast("timestamp")), F.lit("ts is required")),
-        ("future_ts", F.col("ts") > limit, F.concat(F.lit("ts "), stamp, F.lit(" is more than 5m0s in the future"))),
-        ("state", ~F.col("state").isin(*S.STATES), F.concat(F.lit('unknown state "'), F.col("state"), F.lit('"'))),
-        *finite,
-        outside("depth_m", 0, S.MAX_DEPTH_M, 2),
-        outside("injection_pressure_kpa", 0, S.MAX_PRESSURE_KPA, 1),
-        outside("flow_rate_lpm", 0, S.MAX_FLOW_LPM, 1),
-        (
-            "surface_uplift_mm",
-            F.abs(uplift) > S.MAX_UPLIFT_MM,
-            F.concat(F.lit("surface_uplift_mm "), fixed_text(uplift, 1), F.lit(f" outside ±{S.MAX_UPLIFT_MM}")),
-        ),
-        outside("battery_pct", 0, S.MAX_BATTERY_PCT, 1),
-    ]
+    text = (
+        F.when(reason == "robot_id", "robot_id is required")
+        .when(reason == "site_id", "site_id is required")
+        .when(reason == "ts", "ts is required")
+        .when(reason == "future_ts", F.concat(F.lit("ts "), stamp, F.lit(" is more than 5m0s in the future")))
+        .when(reason == "state", F.concat(F.lit('unknown state "'), F.col("state"), F.lit('"')))
+        .when(reason == "finite", F.concat(F.expr(culprit), F.lit(" must be finite")))
+    )
+    for field, low, high, places in _BOUNDS:
+        span = f"[0, {high}]" if low == 0 else f"±{high}"
+        text = text.when(reason == field, F.concat(F.lit(f"{field} "), fixed_text(field, places), F.lit(f" outside {span}")))
+    return F.concat(F.lit("invalid sample: "), text)
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
     """A missing text is empty and a missing number is zero, as decoders of the wire format have it."""
-    texts = {f: F.coalesce(F.col(f), F.lit("")) for f in ("robot_id", "site_id", "state")}
-    numbers = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in S.NUMERIC_FIELDS}
-    return df.withColumns({**texts, **numbers})
+    return df.fillna("", ["robot_id", "site_id", "state"]).withColumns(
+        {f: F.expr(f"coalesce({f}, 0D)") for f in S.NUMERIC_FIELDS}  # fillna would replace NaN, too
+    )
+
+
+def _checked(df: DataFrame, now: Column) -> DataFrame:
+    return fill_missing(df).withColumn("reason", _reason(now))
 
 
 def validate_samples(df: DataFrame, now: Column) -> DataFrame:
-    """Add `reason` and `error` (both null for a good row) and `valid`."""
-    rules = _rules(now)
-    reason = F.coalesce(*[F.when(bad, F.lit(name)) for name, bad, _ in rules])
-    error = F.coalesce(*[F.when(bad, F.concat(F.lit("invalid sample: "), text)) for _, bad, text in rules])
-    checked = fill_missing(df).withColumn("reason", reason)
-    return checked.withColumn("error", F.when(F.col("reason").isNotNull(), error)).withColumn(
-        "valid", F.col("reason").isNull()
-    )
+    """Add `valid`, and `reason` and `error` (both null for a good row)."""
+    return _checked(df, now).withColumns({"error": _error(), "valid": F.col("reason").isNull()})
 
 
 def accepted_samples(df: DataFrame, now: Column) -> DataFrame:
-    return validate_samples(df, now).where("valid").drop("valid", "reason", "error")
+    return _checked(df, now).where("reason IS NULL").drop("reason")
 
 
 def rejected_samples(batches: DataFrame, now: Column) -> DataFrame:
     """`batch_id, index, reason, error` of the rows that fail."""
-    return validate_samples(batches, now).where(~F.col("valid")).select("batch_id", "index", "reason", "error")
+    bad = _checked(batches, now).where("reason IS NOT NULL")
+    return bad.select("batch_id", "index", "reason", _error().alias("error"))
 
 
 def batch_response(batches: DataFrame, now: Column) -> DataFrame:
@@ -96,8 +114,8 @@ def upload_responses(parsed: DataFrame, status: DataFrame, now: Column) -> DataF
 def ingest_counters(parsed: DataFrame, status: DataFrame, now: Column) -> DataFrame:
     """`outcome, n`: accepted rows, rows failing validation, malformed uploads."""
     rows = (
-        validate_samples(parsed, now)
-        .groupBy(F.when(F.col("valid"), "accepted").otherwise("validation").alias("outcome"))
+        _checked(parsed, now)
+        .groupBy(F.when(F.col("reason").isNull(), "accepted").otherwise("validation").alias("outcome"))
         .agg(F.count("*").alias("n"))
     )
     uploads = status.where(F.col("status") == "malformed").groupBy(F.lit("malformed").alias("outcome")).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundswell import schema as S
@@ -16,63 +16,55 @@ def _tile(coord: Column | str, size: float) -> Column:
     return F.floor((F.col(coord) if isinstance(coord, str) else coord) / F.lit(size))
 
 
-def _neighbourhoods(points: DataFrame, size: float, content: Column) -> DataFrame:
-    """For every tile, the points of the 3×3 tiles around it as one array.
+def _d2(p: Column) -> Column:
+    dx, dy = p["x"] - F.col("x"), p["y"] - F.col("y")
+    return dx * dx + dy * dy
 
-    The points are copied nine times and the queries not at all, so a query needs
-    one equi-join on its own tile.  What an array holds is bounded by area: survey
-    cells are at most one per square metre.
-    """
+
+def _copies(points: DataFrame, size: float) -> DataFrame:
+    """Each point in its own tile and the eight around it (`tx, ty`)."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     return (
-        points.select(
-            "site_id", _tile("x", size).alias("px"), _tile("y", size).alias("py"), content.alias("p")
-        )
-        .select("*", F.explode(around).alias("dx"))
-        .select("*", F.explode(around).alias("dy"))
-        .groupBy("site_id", (F.col("px") + F.col("dx")).alias("tx"), (F.col("py") + F.col("dy")).alias("ty"))
-        .agg(F.collect_list("p").alias("near"))
+        points.select("*", F.explode(around).alias("_dx"))
+        .select("*", F.explode(around).alias("_dy"))
+        .withColumns({"tx": _tile("x", size) + F.col("_dx"), "ty": _tile("y", size) + F.col("_dy")})
+        .drop("_dx", "_dy")
     )
 
 
-def _with_near(queries: DataFrame, points: DataFrame, size: float, content: Column) -> DataFrame:
-    tiled = queries.withColumns({"tx": _tile("x", size), "ty": _tile("y", size)})
-    near = _neighbourhoods(points, size, content)
-    return tiled.join(near, ["site_id", "tx", "ty"], "left").drop("tx", "ty")
-
-
-def _d2(p: Column) -> Column:
-    dx, dy = p["x"] - F.col("x"), p["y"] - F.col("y")
-    return dx * dx + dy * dy
-
-
 def idw_interpolate(
-    survey: DataFrame, queries: DataFrame, power: float = S.IDW_POWER, radius: float = S.IDW_RADIUS_M
+    survey: DataFrame, places: DataFrame, power: float = S.IDW_POWER, radius: float = S.IDW_RADIUS_M
 ) -> DataFrame:
-    """Inverse-distance mean of the survey within `radius` of each query (`site_id, x, y, …`).
+    """Inverse-distance mean of the survey within `radius` of each distinct place (`site_id, x, y, …`).
 
-    A point that coincides with the query gives its value (the first surveyed
+    A point that coincides with the place gives its value (the first surveyed
     wins); without any point in reach `uplift` is null.
+
+    Survey cells are copied into the tiles around them, so a place needs one
+    equi-join on its own tile.  At most one cell per square metre bounds what a place
+    meets, and the pairs are summed up in the stage that makes them.  The tile stays
+    in the grouping key: a shuffled join needs no second shuffle.
     """
-    point = F.struct("first_seq", "x", "y", "uplift")
-    df = _with_near(queries, survey, radius, point)
-    measured = F.transform("near", lambda p: F.struct(_d2(p).alias("d2"), p["first_seq"].alias("seq"), p["uplift"].alias("u")))
-    df = df.withColumn("near", measured)
-    hits = F.transform(F.filter("near", lambda p: p["d2"] < S.IDW_HIT_D2), lambda p: F.struct(p["seq"], p["u"].alias("u")))
-    df = df.withColumns(
-        {
-            "hit": F.array_min(hits)["u"],
-            "near": F.filter("near", lambda p: (p["d2"] <= radius * radius) & (p["d2"] >= S.IDW_HIT_D2)),
-        }
+    cells = _copies(survey.select("site_id", "x", "y", "uplift", "first_seq"), radius).withColumnsRenamed({"x": "px", "y": "py"})
+    tiled = places.withColumns({"tx": _tile("x", radius), "ty": _tile("y", radius)})
+    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+    d2 = dx * dx + dy * dy
+    q, c = tiled.alias("q"), cells.alias("c")
+    same = (F.col("q.site_id") == F.col("c.site_id")) & (F.col("q.tx") == F.col("c.tx")) & (F.col("q.ty") == F.col("c.ty"))
+    near = q.join(c, same & (d2 <= radius * radius), "left").select(
+        "q.*", "c.uplift", "c.first_seq", d2.alias("d2"), (d2 < S.IDW_HIT_D2).alias("hit")
+    )
+    weight = F.when(~F.col("hit"), 1.0 / (F.col("d2") if power == 2 else F.pow("d2", F.lit(power / 2))))
+    sums = near.groupBy(*tiled.columns).agg(
+        F.min_by(F.when(F.col("hit"), F.col("uplift")), F.when(F.col("hit"), F.col("first_seq"))).alias("_hit"),
+        F.sum(weight * F.col("uplift")).alias("_num"),
+        F.sum(weight).alias("_den"),
     )
+    return sums.select(*places.columns, F.coalesce("_hit", F.col("_num") / F.col("_den")).alias("uplift"))
 
-    def weight(p: Column) -> Column:
-        return 1.0 / (p["d2"] if power == 2 else F.pow(p["d2"], F.lit(power / 2)))
 
-    num = F.aggregate("near", F.lit(0.0), lambda acc, p: acc + weight(p) * p["u"])
-    den = F.aggregate("near", F.lit(0.0), lambda acc, p: acc + weight(p))
-    mean = F.when(F.size("near") > 0, num / den)
-    return df.withColumn("uplift", F.coalesce("hit", mean)).drop("hit", "near")
+def _parallelism(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def grid_cells(bounds: DataFrame, cell_m: int = 1) -> DataFrame:
@@ -87,7 +79,9 @@ def grid_cells(bounds: DataFrame, cell_m: int = 1) -> DataFrame:
         n = F.ceil((F.col(high) - F.floor(low)) / F.lit(cell_m))
         return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.floor(low) + i * cell_m)
 
-    columns = bounds.select("*", F.explode(steps("min_x", "max_x")).alias("x0")).repartition("site_id", "x0")
+    columns = bounds.select("*", F.explode(steps("min_x", "max_x")).alias("x0"))
+    # A number of its own, because these few bytes stand for much work.
+    columns = columns.repartition(_parallelism(bounds.sparkSession), "site_id", "x0")
     cells = columns.select("site_id", "x0", F.explode(steps("min_y", "max_y")).alias("y0"))
     half = cell_m / 2
     return cells.select("site_id", "x0", "y0", (F.col("x0") + half).alias("x"), (F.col("y0") + half).alias("y"))
@@ -104,13 +98,15 @@ def uplift_grid(survey: DataFrame, bounds: DataFrame, scale: DataFrame, dark: bo
 def nearest_robot(latest: DataFrame, queries: DataFrame, limit: float = S.PICK_LIMIT_M) -> DataFrame:
     """Nearest robot closer than `limit`, or null; of equal distances the lowest id.
 
-    Robots that stand on one spot count as their lowest id before they are copied.
+    Robots on one spot count as their lowest id.  The robots around a tile are packed
+    into one row, so a query meets one row and no pairs are made.
     """
     spots = latest.groupBy("site_id", F.col("x_m").alias("x"), F.col("y_m").alias("y")).agg(F.min("robot_id").alias("robot_id"))
-    df = _with_near(queries, spots, limit, F.struct("robot_id", "x", "y"))
+    near = _copies(spots, limit).groupBy("site_id", "tx", "ty").agg(F.collect_list(F.struct("robot_id", "x", "y")).alias("near"))
+    tiled = queries.withColumns({"tx": _tile("x", limit), "ty": _tile("y", limit)})
     ranked = F.transform("near", lambda p: F.struct(F.sqrt(_d2(p)).alias("d"), p["robot_id"].alias("robot_id")))
     best = F.array_min(F.filter(ranked, lambda p: p["d"] < limit))
-    return df.withColumn("_best", best).select(
+    return tiled.join(near, ["site_id", "tx", "ty"], "left").withColumn("_best", best).select(
         *queries.columns, F.col("_best.robot_id").alias("robot_id"), F.col("_best.d").alias("distance_m")
     )
 

@@ -37,31 +37,21 @@ def _site() -> Column:
     return F.concat(F.lit("site-"), (F.col("user_id") % ROBOTS % SITES).cast("string"))
 
 
-def _spread(factor: int, modulus: int, shift: int, divisor: float) -> Column:
-    return (((F.col("event_id") * factor) % modulus) - shift) / F.lit(divisor)
-
-
 def raw_samples(ev: DataFrame) -> DataFrame:
-    state = (
-        F.when(_every(89), "dancing")
-        .when(F.col("event_type") == "view", "idle")
-        .when(F.col("event_type") == "signup", "drilling")
-        .when(F.col("event_type") == "error", "fault")
-        .otherwise("injecting")
-    )
-    return ev.select(
-        F.col("event_id").alias("seq"),
+    return ev.selectExpr(
+        "event_id AS seq",
         "ts",
-        F.when(_every(101), "").otherwise(_site()).alias("site_id"),
-        F.when(_every(97), "").otherwise(_robot(ROBOTS)).alias("robot_id"),
-        state.alias("state"),
-        _spread(37, 481, 240, 10.0).alias("x_m"),
-        _spread(53, 481, 240, 10.0).alias("y_m"),
-        (F.col("event_id") % 211).cast("double").alias("depth_m"),
-        F.when(_every(83), F.lit(float("nan"))).otherwise(F.col("value") * 30).alias("injection_pressure_kpa"),
-        (F.col("value") - 1).alias("flow_rate_lpm"),
-        _spread(7, 301, 50, 4.0).alias("surface_uplift_mm"),
-        (F.col("event_id") % 103).cast("double").alias("battery_pct"),
+        f"CASE WHEN event_id % 101 = 0 THEN '' ELSE concat('site-', user_id % {ROBOTS} % {SITES}) END AS site_id",
+        f"CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('tn-', lpad(user_id % {ROBOTS}, 2, '0')) END AS robot_id",
+        """CASE WHEN event_id % 89 = 0 THEN 'dancing' WHEN event_type = 'view' THEN 'idle'
+             WHEN event_type = 'signup' THEN 'drilling' WHEN event_type = 'error' THEN 'fault' ELSE 'injecting' END AS state""",
+        "((event_id * 37) % 481 - 240) / 10D AS x_m",
+        "((event_id * 53) % 481 - 240) / 10D AS y_m",
+        "double(event_id % 211) AS depth_m",
+        "CASE WHEN event_id % 83 = 0 THEN double('NaN') ELSE value * 30 END AS injection_pressure_kpa",
+        "value - 1 AS flow_rate_lpm",
+        "((event_id * 7) % 301 - 50) / 4D AS surface_uplift_mm",
+        "double(event_id % 103) AS battery_pct",
     )
 
 

@@ -97,6 +97,8 @@ def _fleet_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
             zip(frame["ts_us"].tolist(), frame["seq"].tolist(), frame["state"].tolist(), frame["flow_rate_lpm"].tolist(),
                 frame["injection_pressure_kpa"].tolist(), strict=True)
         )
+        if not rows:  # a timeout comes with an empty frame
+            continue
         newest = max(rows, key=lambda r: r[:2])
         if kept["latest"] is None or list(newest[:2]) >= kept["latest"][:2]:
             kept["latest"] = list(newest[:4])
