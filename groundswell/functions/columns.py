@@ -83,15 +83,13 @@ def truncate_ms(ts: Column | str) -> Column:
     return F.timestamp_millis(F.unix_millis(_c(ts)))
 
 
-def fixed_text(col: Column | str, places: int) -> Column:
-    """Decimal text with `places` digits, rounded from the exact binary value (ties to even).
+def scaled_units(value: Column | str, scale: Column | str) -> Column:
+    """`|value| * scale` as a whole number, rounded from the exact binary value (ties to even).
 
-    `format_string` rounds the shortest decimal text instead, so 0.35 would give 0.4.
-    The scaled value is split into a rounded product and its error, and the error
-    decides when the product sits on a tie.
+    The product alone would round 0.35 * 10 up to 3.5.  The value is split in two, so
+    that the error of the product is known and decides when the product sits on a tie.
     """
-    scale = F.lit(float(10**places))
-    v = F.abs(_c(col))
+    v, scale = F.abs(_c(value)), _c(scale).cast("double")
     product = v * scale
     whole = F.floor(product)
     split = v * F.lit(134217729.0)
@@ -99,11 +97,16 @@ def fixed_text(col: Column | str, places: int) -> Column:
     error = (high * scale - product) + (v - high) * scale
     above = product - whole
     up = (above > 0.5) | ((above == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    units = whole + up.cast("long")
-    base = F.lit(10**places)
-    digits = F.lpad((units % base).cast("string"), places, "0")
-    text = F.concat(F.when(_c(col) < 0, "-").otherwise(""), F.floor(units / base).cast("string"), F.lit("."), digits)
-    return F.when(v < 1e12, text).otherwise(F.format_string(f"%.{places}f", _c(col)))
+    return whole + up.cast("long")
+
+
+def units_text(value: Column | str, units: Column | str, places: Column | str) -> Column:
+    """`value` with `places` digits; `units` comes from `scaled_units`."""
+    value, units, places = _c(value), _c(units), _c(places)
+    base = F.pow(F.lit(10.0), places).cast("long")
+    digits = F.lpad((units % base).cast("string"), places, F.lit("0"))
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.floor(units / base).cast("string"), F.lit("."), digits)
+    return F.when(F.abs(value) < 9e13, text).otherwise(F.format_string("%.1f", value))
 
 
 _DURATION_UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}

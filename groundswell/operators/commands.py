@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundswell import schema as S
 from groundswell.operators.lifecycle import Open, Request, advance, expiry
-from groundswell.plans.shared import materialize, ship_package
+from groundswell.plans.shared import materialize, parallelism, ship_package
 from groundswell.plans.slices import carry_forward, first_after
 
 _MOVES = (
@@ -168,7 +168,7 @@ def replay_commands(requests: DataFrame) -> Replay:
         _param_error().alias("param_error"), "actor", "ack_status", "ack_reason",
     )
     moves = (
-        steps.repartition("robot_id", "episode")
+        steps.repartition(parallelism(requests.sparkSession), "robot_id", "episode")
         .sortWithinPartitions("robot_id", "episode", "at_ms", "seq")
         .groupBy("robot_id", "episode")
         .applyInArrow(_fold, _MOVES)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundswell import schema as S
-from groundswell.functions.columns import fixed_text
+from groundswell.functions.columns import scaled_units, units_text
 
 
 def _not_finite(field: str) -> str:
@@ -42,23 +42,40 @@ def _reason(now: Column) -> Column:
     return reason
 
 
-def _error() -> Column:
-    """The text that goes with `reason`."""
-    reason = F.col("reason")
+def _with_error(df: DataFrame) -> DataFrame:
+    """Add the text that goes with `reason`.
+
+    In steps, because a value that is bound to a column once appears once in the
+    generated code, and methods beyond 8,000 bytes are not compiled.
+    """
+
+    def by_reason(values: list[str]) -> Column:
+        cases = zip((f for f, *_ in _BOUNDS), values, strict=True)
+        return F.expr("CASE reason " + " ".join(f"WHEN '{f}' THEN {v}" for f, v in cases) + " END")
+
+    spans = [f"'[0, {high}]'" if low == 0 else f"'±{high}'" for _, low, high, _ in _BOUNDS]
+    df = df.withColumns(
+        {
+            "_value": by_reason([f for f, *_ in _BOUNDS]),
+            "_places": by_reason([str(places) for *_, places in _BOUNDS]),
+            "_span": by_reason(spans),
+        }
+    )
+    df = df.withColumn("_units", scaled_units("_value", F.pow(F.lit(10.0), F.col("_places"))))
     culprit = "CASE " + " ".join(f"WHEN {_not_finite(f)} THEN '{f}'" for f in S.NUMERIC_FIELDS) + " END"
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    reason = F.col("reason")
     text = (
-        F.when(reason == "robot_id", "robot_id is required")
-        .when(reason == "site_id", "site_id is required")
-        .when(reason == "ts", "ts is required")
-        .when(reason == "future_ts", F.concat(F.lit("ts "), stamp, F.lit(" is more than 5m0s in the future")))
+        F.when(reason.isin("robot_id", "site_id", "ts"), F.concat(reason, F.lit(" is required")))
+        .when(
+            reason == "future_ts",
+            F.concat(F.lit("ts "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" is more than 5m0s in the future")),
+        )
         .when(reason == "state", F.concat(F.lit('unknown state "'), F.col("state"), F.lit('"')))
         .when(reason == "finite", F.concat(F.expr(culprit), F.lit(" must be finite")))
+        .otherwise(F.concat(reason, F.lit(" "), units_text("_value", "_units", "_places"), F.lit(" outside "), F.col("_span")))
     )
-    for field, low, high, places in _BOUNDS:
-        span = f"[0, {high}]" if low == 0 else f"±{high}"
-        text = text.when(reason == field, F.concat(F.lit(f"{field} "), fixed_text(field, places), F.lit(f" outside {span}")))
-    return F.concat(F.lit("invalid sample: "), text)
+    error = F.concat(F.lit("invalid sample: "), text)
+    return df.withColumn("error", error).drop("_value", "_places", "_span", "_units")
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
@@ -74,7 +91,7 @@ def _checked(df: DataFrame, now: Column) -> DataFrame:
 
 def validate_samples(df: DataFrame, now: Column) -> DataFrame:
     """Add `valid`, and `reason` and `error` (both null for a good row)."""
-    return _checked(df, now).withColumns({"error": _error(), "valid": F.col("reason").isNull()})
+    return _with_error(_checked(df, now)).withColumn("valid", F.col("reason").isNull())
 
 
 def accepted_samples(df: DataFrame, now: Column) -> DataFrame:
@@ -84,7 +101,7 @@ def accepted_samples(df: DataFrame, now: Column) -> DataFrame:
 def rejected_samples(batches: DataFrame, now: Column) -> DataFrame:
     """`batch_id, index, reason, error` of the rows that fail."""
     bad = _checked(batches, now).where("reason IS NOT NULL")
-    return bad.select("batch_id", "index", "reason", _error().alias("error"))
+    return _with_error(bad).select("batch_id", "index", "reason", "error")
 
 
 def batch_response(batches: DataFrame, now: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundswell import schema as S
@@ -27,13 +27,35 @@ def windowed_rate(df: DataFrame, at: str, by: Sequence[str] = (), window_s: int
     )
 
 
+def _counts(df: DataFrame, value: str, bounds: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """One row per group: cumulative counts `n0, n1, …` up to each bound, and `total`."""
+    counts = [F.count_if(F.col(value) <= b).alias(f"n{i}") for i, b in enumerate(bounds)]
+    return df.groupBy(*by).agg(*counts, F.count(value).alias("total"))
+
+
 def histogram(df: DataFrame, value: str, bounds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Cumulative counts `le, n` per group; the last bound is infinity."""
-    counts = [F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
-    wide = df.groupBy(*by).agg(*counts, F.count(value).alias("b_inf"))
-    pairs = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)]
-    pairs.append(F.struct(F.lit(float("inf")).alias("le"), F.col("b_inf").alias("n")))
-    return wide.select(*by, F.inline(F.array(*pairs)))
+    columns = [*((b, f"n{i}") for i, b in enumerate(bounds)), (float("inf"), "total")]
+    pairs = [F.struct(F.lit(float(b)).alias("le"), F.col(c).alias("n")) for b, c in columns]
+    return _counts(df, value, bounds, by).select(*by, F.inline(F.array(*pairs)))
+
+
+def histogram_quantile(df: DataFrame, value: str, bounds: Sequence[float], q: float, by: Sequence[str]) -> DataFrame:
+    """Quantile as a histogram tells it: linear inside the first bucket that reaches the rank.
+
+    The lowest bucket starts at 0; a rank beyond the last finite bound gives that
+    bound.  The counts of a group sit in one row, so one aggregation is all it takes.
+    """
+    rank = F.col("total") * F.lit(q)
+    low, below = 0.0, F.lit(0)
+    result = F.when(F.lit(False), F.lit(0.0))
+    for i, bound in enumerate(bounds):
+        n = F.col(f"n{i}")
+        inside = F.lit(low) + F.lit(float(bound) - low) * (rank - below) / (n - below)
+        result = result.when(n >= rank, F.when(n == below, F.lit(low)).otherwise(inside))
+        low, below = float(bound), n
+    counts = _counts(df, value, bounds, by).where("total > 0")
+    return counts.select(*by, result.otherwise(F.lit(low)).alias("value"))
 
 
 def batch_size_histogram(status: DataFrame) -> DataFrame:
@@ -45,30 +67,9 @@ def latency_histogram(requests: DataFrame) -> DataFrame:
     return histogram(requests, "duration_s", S.LATENCY_BOUNDS, ["route", "code"])
 
 
-def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str]) -> DataFrame:
-    """Linear interpolation inside the first bucket that reaches the rank.
-
-    The lowest bucket starts at 0; a rank beyond the last finite bound gives that bound.
-    """
-    summed = buckets.groupBy(*by, "le").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*by).orderBy("le")  # one row per bound
-    rows = summed.select(
-        "*",
-        F.coalesce(F.lag("le").over(w), F.lit(0.0)).alias("low"),
-        F.coalesce(F.lag("n").over(w), F.lit(0)).alias("below"),
-        (F.max("n").over(Window.partitionBy(*by)) * F.lit(q)).alias("rank"),
-    )
-    inside = F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("below")) / (F.col("n") - F.col("below"))
-    value = F.when(F.col("le") == float("inf"), F.col("low")).when(F.col("n") == F.col("below"), F.col("low")).otherwise(inside)
-    reached = F.when(F.col("n") >= F.col("rank"), F.struct("le", value.alias("v")))
-    return rows.groupBy(*by).agg(F.min(reached)["v"].alias("value"), F.max("n").alias("total")).where(
-        F.col("total") > 0
-    ).drop("total")
-
-
 def p95_latency(requests: DataFrame, window_s: int = 300) -> DataFrame:
     """95th percentile per route and `window_s` window; status codes are summed away."""
     windowed = requests.withColumn("window_start", time_bin("at", window_s))
     by = ["route", "window_start"]
-    return histogram_quantile(histogram(windowed, "duration_s", S.LATENCY_BOUNDS, by), 0.95, by)
+    return histogram_quantile(windowed, "duration_s", S.LATENCY_BOUNDS, 0.95, by)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundswell import schema as S
 from groundswell.functions.columns import expected_pressure_kpa, mogi_uplift_m, ramp_colour
+from groundswell.plans.shared import parallelism
 
 WELL_TILE_M = 64.0
 SALTS = 16
@@ -63,10 +64,6 @@ def idw_interpolate(
     return sums.select(*places.columns, F.coalesce("_hit", F.col("_num") / F.col("_den")).alias("uplift"))
 
 
-def _parallelism(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def grid_cells(bounds: DataFrame, cell_m: int = 1) -> DataFrame:
     """The cells (`site_id, x0, y0` and centre `x, y`) that cover each site's bounds.
 
@@ -81,7 +78,7 @@ def grid_cells(bounds: DataFrame, cell_m: int = 1) -> DataFrame:
 
     columns = bounds.select("*", F.explode(steps("min_x", "max_x")).alias("x0"))
     # A number of its own, because these few bytes stand for much work.
-    columns = columns.repartition(_parallelism(bounds.sparkSession), "site_id", "x0")
+    columns = columns.repartition(parallelism(bounds.sparkSession), "site_id", "x0")
     cells = columns.select("site_id", "x0", F.explode(steps("min_y", "max_y")).alias("y0"))
     half = cell_m / 2
     return cells.select("site_id", "x0", "y0", (F.col("x0") + half).alias("x"), (F.col("y0") + half).alias("y"))
@@ -132,7 +129,8 @@ def uplift_field(points: DataFrame, injections: DataFrame) -> DataFrame:
         return acc + mogi_uplift_m(p["volume_m3"] * S.VOLUME_EFFICIENCY, p["depth_m"], _d2(p))
 
     places = points.columns
-    salted = points.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)).cast("int"))
+    spread = points.repartition(parallelism(points.sparkSession), "site_id", "x", "y")
+    salted = spread.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)).cast("int"))
     part = F.aggregate("sources", F.lit(0.0), lift)
     return (
         salted.join(sources, ["site_id", "salt"], "left")

@@ -274,8 +274,9 @@ def idw_interpolate(spark, sf):
 
 @query
 def uplift_grid(spark, sf):
-    survey = _survey(spark, sf)
-    grid = spatial.uplift_grid(survey, fleet.site_bounds(_map_points(spark, sf)), fleet.max_uplift_scale(survey))
+    survey = materialize(_survey(spark, sf), "survey")
+    bounds = fleet.site_bounds(fleet.map_points(survey, ts.latest_per_robot(A.telemetry(spark, sf))))
+    grid = spatial.uplift_grid(survey, bounds, fleet.max_uplift_scale(survey))
     return _rounded(grid, 6, "uplift")
 
 

@@ -56,3 +56,8 @@ def ship_package(spark: SparkSession) -> None:
     base = os.path.join(tempfile.mkdtemp(prefix="groundswell-ship-"), "groundswell")
     context.addPyFile(shutil.make_archive(base, "zip", root, "groundswell"))
     _shipped.add(context.applicationId)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for rows that are few bytes but much work, which adaptive coalescing would join into one task."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundswell.operators.ingest import accepted_samples
+from groundswell.plans.shared import parallelism
 from groundswell.plans.slices import carry_forward
 
 NOW = "2024-01-30 12:00:00"
@@ -91,7 +92,8 @@ def sample_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("batch_id") % 37 == 0, F.lit('{"samples":[]}'))
         .otherwise(good)
     )
-    return bodies.select("batch_id", body.alias("body"), "sent_at", now().alias("received_at"))
+    uploads = bodies.select("batch_id", body.alias("body"), "sent_at", now().alias("received_at"))
+    return uploads.repartition(parallelism(spark), "batch_id")
 
 
 def format_rfc3339_us(ts: str) -> Column:

@@ -9,59 +9,70 @@ from groundswell import schema as S
 from groundswell.functions.columns import parse_rfc3339
 
 FIELDS = S.TEXT_FIELDS + S.NUMERIC_FIELDS
-_AS_TEXT = "struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">"
-_AS_TYPED = (
-    "struct<" + ",".join([f"{f}:string" for f in S.TEXT_FIELDS] + [f"{f}:double" for f in S.NUMERIC_FIELDS]) + ">"
+_MISQUOTED = (
+    '"(?:' + "|".join(S.NUMERIC_FIELDS) + r')"\s*:\s*"'
+    + '|"(?:' + "|".join(S.TEXT_FIELDS) + r')"\s*:\s*[^"\sn]'
 )
-_UNQUOTED_TEXT = r'"(' + "|".join(S.TEXT_FIELDS) + r')"\s*:\s*[^"\sn]'
-_NO_NAN = {"allowNonNumericNumbers": "false"}
-
-
-def _element(e: Column) -> Column:
-    """One element, read once as text and once typed; a leaf that only the text has is of the wrong type."""
-    return F.struct(
-        F.from_json(e, _AS_TEXT, _NO_NAN).alias("text"),
-        F.from_json(e, _AS_TYPED, _NO_NAN).alias("typed"),
-        F.json_object_keys(e).alias("keys"),
-        e.rlike(_UNQUOTED_TEXT).alias("unquoted"),
-        e.isNull().alias("empty"),
-    )
 
 
-def _broken(p: Column) -> Column:
+def _once(name: str, value: Column) -> Column:
+    """Bind a costly value to a column that later filters cannot copy below themselves."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def _typed(p: Column) -> Column:
+    """The element's values, and `given`: the text of each number and of the time."""
+    m = p["map"]
+    numbers = [m[f].try_cast("double").alias(f) for f in S.NUMERIC_FIELDS]
+    texts = [F.coalesce(m[f], F.lit("")).alias(f) for f in ("site_id", "robot_id", "state")]
+    return F.struct(parse_rfc3339(m["ts"]).alias("ts"), *texts, *numbers, p.alias("given"))
+
+
+def _broken(v: Column) -> Column:
+    """A stray key, a wrong type, a time that cannot be read or a number that overflows."""
+    given = v["given"]
+    m = given["map"]
     known = F.array(*[F.lit(f) for f in FIELDS])
-    text, typed = p["text"], p["typed"]
-    broken = p["keys"].isNull() | (F.size(F.array_except(p["keys"], known)) > 0) | p["unquoted"]
-    broken = broken | (text["ts"].isNotNull() & parse_rfc3339(text["ts"]).isNull())
+    broken = m.isNull() | (F.size(F.array_except(F.map_keys(m), known)) > 0) | given["misquoted"]
+    broken = broken | (m["ts"].isNotNull() & v["ts"].isNull())
     for f in S.NUMERIC_FIELDS:
-        infinite = F.coalesce(F.abs(typed[f]) == float("inf"), F.lit(False))
-        broken = broken | (text[f].isNotNull() & (typed[f].isNull() | infinite))
-    return ~p["empty"] & F.coalesce(broken, F.lit(True))
+        broken = broken | (m[f].isNotNull() & (v[f].isNull() | ~(F.abs(v[f]) < float("inf"))))
+    return given["text"].isNotNull() & F.coalesce(broken, F.lit(True))
 
 
 def _decode(batches: DataFrame) -> DataFrame:
-    """Add the upload's elements and `status`: ok, refused (0 or too many samples) or malformed."""
-    samples = F.from_json("body", "struct<samples:array<string>>")["samples"]
-    df = batches.withColumns({"_samples": samples, "_keys": F.json_object_keys("body")})
-    elements = F.coalesce("_samples", F.array().cast("array<string>"))
-    df = df.withColumn("_elements", F.transform(elements, _element))
-    not_a_list = (
-        F.array_contains("_keys", "samples")
-        & F.col("_samples").isNull()
-        & ~F.col("body").rlike(r'"samples"\s*:\s*null')
+    """Add the upload's elements and `status`: ok, refused (0 or too many samples) or malformed.
+
+    An upload stays one row: its elements are read as an array, each once, so that
+    one bad leaf can refuse the whole without a shuffle.
+    """
+    strict = {"allowNonNumericNumbers": "false"}
+    body = F.struct(
+        F.from_json("body", "struct<samples:array<string>>", strict)["samples"].alias("samples"),
+        F.json_object_keys("body").alias("keys"),
+    )
+    read = F.transform(
+        F.coalesce("_body.samples", F.array().cast("array<string>")),
+        lambda e: F.struct(
+            e.alias("text"), F.from_json(e, "map<string,string>", strict).alias("map"), e.rlike(_MISQUOTED).alias("misquoted")
+        ),
     )
-    unreadable = (
-        F.col("_keys").isNull() | (F.size(F.array_except("_keys", F.array(F.lit("samples")))) > 0) | not_a_list
+    df = batches.select("*", _once("_body", body))
+    df = df.select("*", _once("_read", read))
+    df = df.select("*", _once("_elements", F.transform("_read", _typed)))
+    keys = F.col("_body.keys")
+    not_a_list = (
+        F.array_contains(keys, "samples") & F.col("_body.samples").isNull() & ~F.col("body").rlike(r'"samples"\s*:\s*null')
     )
+    unreadable = keys.isNull() | (F.size(F.array_except(keys, F.array(F.lit("samples")))) > 0) | not_a_list
     malformed = (
         (F.octet_length("body") > S.MAX_BODY_BYTES)
         | F.coalesce(unreadable, F.lit(True))
         | F.exists("_elements", _broken)
     )
     n = F.size("_elements")
-    return df.withColumn(
-        "status", F.when(malformed, "malformed").when((n == 0) | (n > S.MAX_BATCH), "refused").otherwise("ok")
-    )
+    status = F.when(malformed, "malformed").when((n == 0) | (n > S.MAX_BATCH), "refused").otherwise("ok")
+    return df.select("*", _once("status", status)).drop("_body", "_read")
 
 
 def batch_status(batches: DataFrame) -> DataFrame:
@@ -75,14 +86,16 @@ def parse_batches(batches: DataFrame) -> DataFrame:
     rows = (
         _decode(batches)
         .where(F.col("status") == "ok")
-        .select("batch_id", "received_at", F.posexplode("_elements.typed").alias("index", "v"))
+        .select("batch_id", "received_at", F.posexplode("_elements").alias("index", "v"))
     )
     return rows.select(
         "batch_id",
         "received_at",
         F.col("index").cast("long").alias("index"),
-        parse_rfc3339("v.ts").alias("ts"),
-        *[F.coalesce(f"v.{f}", F.lit("")).alias(f) for f in ("site_id", "robot_id", "state")],
+        "v.ts",
+        "v.site_id",
+        "v.robot_id",
+        "v.state",
         *[F.coalesce(f"v.{f}", F.lit(0.0)).alias(f) for f in S.NUMERIC_FIELDS],
     )
 

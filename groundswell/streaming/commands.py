@@ -54,7 +54,8 @@ def _queue_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
     due = [c.deadline for c in pending if c.deadline is not None]
     if due:
         state.setTimeoutTimestamp(max(min(due), now) + 1)
-    yield pd.DataFrame(out, columns=_NAMES)
+    if out:
+        yield pd.DataFrame(out, columns=_NAMES)
 
 
 def stream_commands(requests: DataFrame, delay: str = "0 seconds") -> DataFrame:
