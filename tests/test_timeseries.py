@@ -13,6 +13,7 @@ from groundswell.operators import fleet
 from groundswell.operators import timeseries as ts
 
 T0 = utc("2026-10-01 10:00:00")
+ORIGIN = utc("2000-01-01")
 NAMES = [f.name for f in S.TELEMETRY]
 
 
@@ -100,7 +101,7 @@ def test_sliced_windows_equal_a_plain_walk(spark, seed):
             dt = (r["ts"] - before["ts"]).total_seconds() / 60 if before else None
             piece = (r["flow_rate_lpm"] + before["flow_rate_lpm"]) / 2 * dt if before else None
             segments[r["seq"]] = piece
-            bucket = (r["ts"] - T0) // timedelta(minutes=90)
+            bucket = (r["ts"] - ORIGIN) // timedelta(minutes=90)
             litres[robot, bucket] = litres.get((robot, bucket), 0.0) + (piece or 0.0)
             before = r
         for state, run in groupby(group, key=lambda r: r["state"]):
@@ -118,8 +119,9 @@ def test_sliced_windows_equal_a_plain_walk(spark, seed):
     series = ts.robot_series(df, T0, span_end, "90m").selectExpr("robot_id", "unix_micros(bucket) b", "volume_injected_l v", "count").collect()
     assert sum(r["count"] for r in series) == len(inside)
     for r in series:
-        bucket = timedelta(microseconds=r.b - micros(T0)) // timedelta(minutes=90)
-        last = timedelta(microseconds=r.b - micros(T0)) + timedelta(minutes=90) > span_end - T0
+        into = timedelta(microseconds=r.b - micros(ORIGIN))
+        bucket = into // timedelta(minutes=90)
+        last = into + timedelta(minutes=90) > span_end - ORIGIN
         assert last or r.v == pytest.approx(litres[r.robot_id, bucket], abs=1e-6)
 
 
