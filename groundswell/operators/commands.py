@@ -90,18 +90,22 @@ def _episodes(requests: DataFrame) -> DataFrame:
     rows = carry_forward(rows, ["robot_id"], {"_prev": F.when(F.col("kind") == "issue", F.struct("at", "seq"))}, ts="at")
     rows = materialize(rows, "requests-ordered")
     polls = rows.where((F.col("kind") == "next") & F.col("_prev").isNotNull())
-    first_poll = polls.groupBy("robot_id", F.col("_prev.seq").alias("_prev_seq")).agg(F.min(F.struct("at", "seq")).alias("_poll"))
+    first_poll = polls.groupBy("robot_id", F.col("_prev.seq").alias("_prev_seq")).agg(
+        F.min(F.struct("at", "seq")).alias("_poll"), F.min("_prev.at").alias("_prev_at")
+    )
     issues = rows.where(F.col("kind") == "issue").withColumn("_prev_seq", F.col("_prev.seq"))
-    issues = issues.join(first_poll, ["robot_id", "_prev_seq"], "left")
+    issues = issues.join(first_poll.drop("_prev_at"), ["robot_id", "_prev_seq"], "left")
     settled = (_ms("at") - _ms("_prev.at") > _SETTLED_MS) & (_ms("at") - _ms("_poll.at") > S.ACK_TIMEOUT_MS)
     starts = F.col("_prev").isNull() | F.coalesce(settled, F.lit(False))
-    issues = issues.withColumn("_start", F.when(starts, F.col("seq")))
-    polls = polls.withColumn("_prev_seq", F.col("_prev.seq")).join(first_poll, ["robot_id", "_prev_seq"])
-    polls = polls.where((_ms("at") - _ms("_prev.at") <= S.QUEUE_TTL_MS) | (F.col("seq") == F.col("_poll.seq")))
-    both = issues.drop("_prev", "_poll", "_prev_seq").unionByName(
-        polls.drop("_prev", "_poll", "_prev_seq"), allowMissingColumns=True
+    issues = issues.withColumn("first_of_episode", F.when(starts, F.col("seq"))).drop("_prev", "_poll", "_prev_seq")
+    prompt = polls.where(_ms("at") - _ms("_prev.at") <= S.QUEUE_TTL_MS).drop("_prev")
+    tardy = first_poll.where(_ms("_poll.at") - _ms("_prev_at") > S.QUEUE_TTL_MS).select(
+        "robot_id", "_poll.at", "_poll.seq", F.lit("next").alias("kind")
+    )
+    both = issues.unionByName(prompt, allowMissingColumns=True).unionByName(tardy, allowMissingColumns=True)
+    return carry_forward(both, ["robot_id"], {"episode": F.col("first_of_episode")}, ts="at", inclusive=True).drop(
+        "first_of_episode"
     )
-    return carry_forward(both, ["robot_id"], {"episode": F.col("_start")}, ts="at", inclusive=True).drop("_start")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ from groundswell import schema as S
 from groundswell.functions.columns import expected_pressure_kpa, mogi_uplift_m, ramp_colour
 from groundswell.plans.shared import parallelism
 
-WELL_TILE_M = 64.0
+BLOCK = 4096
 SALTS = 16
 
 
@@ -109,18 +109,19 @@ def nearest_robot(latest: DataFrame, queries: DataFrame, limit: float = S.PICK_L
 
 
 def uplift_field(points: DataFrame, injections: DataFrame) -> DataFrame:
-    """Surface uplift in mm at each point (`site_id, x, y, …`) from all injections of its site.
+    """Surface uplift in mm at each distinct point (`site_id, x, y, …`) from all injections of its site.
 
     There is no cut-off radius: every source counts at every point.  Lift is linear
-    in volume, so injections into one place and depth add up first; the remaining
-    sources are packed by tile, a point meets one row per tile, and the sum over a
-    tile runs inside an expression.  Points are salted against one site holding most
-    of them.
+    in volume, so injections into one place and depth add up first.  The remaining
+    sources of a site are packed into blocks of about BLOCK; a point meets one row per
+    block, and the sum over a block runs inside an expression, so no pairs are made.
+    Points are salted against one site holding most of them.
     """
-    sources = (
-        injections.groupBy("site_id", "x", "y", "depth_m")
-        .agg(F.sum("volume_m3").alias("volume_m3"))
-        .groupBy("site_id", _tile("x", WELL_TILE_M).alias("tx"), _tile("y", WELL_TILE_M).alias("ty"))
+    sources = injections.groupBy("site_id", "x", "y", "depth_m").agg(F.sum("volume_m3").alias("volume_m3"))
+    sizes = sources.groupBy("site_id").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    blocks = (
+        sources.join(sizes, "site_id")
+        .groupBy("site_id", F.pmod(F.xxhash64("x", "y", "depth_m"), F.col("blocks")).alias("block"))
         .agg(F.collect_list(F.struct("x", "y", "depth_m", "volume_m3")).alias("sources"))
         .select("site_id", "sources", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
@@ -133,7 +134,7 @@ def uplift_field(points: DataFrame, injections: DataFrame) -> DataFrame:
     salted = spread.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)).cast("int"))
     part = F.aggregate("sources", F.lit(0.0), lift)
     return (
-        salted.join(sources, ["site_id", "salt"], "left")
+        salted.join(blocks, ["site_id", "salt"], "left")
         .withColumn("part", F.coalesce(part, F.lit(0.0)))
         .groupBy(*places)
         .agg((F.sum("part") * 1000.0 + 0.0).alias("uplift_mm"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundswell import schema as S
 from groundswell.functions.columns import duration_seconds, minutes_between, time_bin
-from groundswell.plans.slices import SLICE_S, carry_forward
+from groundswell.plans.slices import SLICE, SLICE_S, carry_forward, sliced
 
 
 def site_feed(df: DataFrame, site_id: str = "") -> DataFrame:
@@ -83,8 +83,9 @@ def robot_series(
         time_bin("ts", width).alias("bucket"),
     )
     into = F.unix_micros("ts") - F.unix_micros("bucket")
-    rows = rows.withColumn("slice", F.floor(into / F.lit(SLICE_S * 1_000_000)).cast("long"))
-    w = Window.partitionBy("robot_id", "bucket", "slice").orderBy("ts", "seq")
+    start = F.timestamp_micros(F.unix_micros("ts") - into % F.lit(SLICE_S * 1_000_000))  # counted from the bucket's start
+    rows = sliced(rows, ["robot_id"], start)
+    w = Window.partitionBy("robot_id", *SLICE).orderBy("ts", "seq")
     before, after = F.lag("ts").over(w), F.lead("ts").over(w)
     rows = rows.select(
         "*",
@@ -92,14 +93,15 @@ def robot_series(
         F.when(after.isNull(), F.struct("ts", "f")).alias("last"),
         ((F.col("f") + F.lag("f").over(w)) / 2 * minutes_between("ts", before)).alias("litres"),
     )
-    slices = rows.groupBy("robot_id", "bucket", "slice").agg(
+    slices = rows.groupBy("robot_id", *SLICE).agg(
+        F.min("bucket").alias("bucket"),
         F.count("*").alias("n"),
         F.sum("p").alias("sum_p"), F.max("p").alias("max_p"), F.sum("f").alias("sum_f"), F.max("u").alias("max_u"),
         F.sum("litres").alias("litres"),
         F.max("first.ts").alias("first_ts"), F.max("first.f").alias("first_f"),
         F.max("last.ts").alias("last_ts"), F.max("last.f").alias("last_f"),
     )
-    along = Window.partitionBy("robot_id").orderBy("bucket", "slice")
+    along = Window.partitionBy("robot_id").orderBy(*SLICE)
     crossing = (F.col("first_f") + F.lag("last_f").over(along)) / 2 * minutes_between(
         "first_ts", F.lag("last_ts").over(along)
     )
@@ -175,20 +177,20 @@ def state_runs(df: DataFrame) -> DataFrame:
     Runs are found inside time slices; only the first and the last run of a slice
     can continue in a neighbour, so only those two meet per robot.
     """
-    rows = df.select("robot_id", "ts", "seq", "state", time_bin("ts", SLICE_S).alias("slice"))
-    w = Window.partitionBy("robot_id", "slice").orderBy("ts", "seq")
+    rows = sliced(df.select("robot_id", "ts", "seq", "state"), ["robot_id"], time_bin("ts", SLICE_S))
+    w = Window.partitionBy("robot_id", *SLICE).orderBy("ts", "seq")
     rows = rows.select(
         "*",
         F.coalesce((F.lag("state").over(w) != F.col("state")).cast("int"), F.lit(0)).alias("change"),
         F.lead("ts").over(w).isNull().alias("ends_slice"),
     ).withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("robot_id", "slice", "run").agg(
+    runs = rows.groupBy("robot_id", *SLICE, "run").agg(
         F.min("state").alias("state"), F.min("ts").alias("run_start"), F.max("ts").alias("run_end"),
         F.count("*").alias("samples"), F.max("ends_slice").alias("ends_slice"),
     )
     out = ["robot_id", "state", "run_start", "run_end", "samples"]
     edge = (F.col("run") == 0) | F.col("ends_slice")
-    along = Window.partitionBy("robot_id").orderBy("slice", "run")
+    along = Window.partitionBy("robot_id").orderBy(*SLICE, "run")
     joined = (F.col("run") == 0) & (F.lag("state").over(along) == F.col("state"))
     edges = (
         runs.where(edge)

@@ -16,6 +16,34 @@ from pyspark.sql import functions as F
 from groundswell.functions.columns import time_bin
 
 SLICE_S = 3600
+# More rows of one key in one slice are cut further.  No sensor reports 14,000 distinct
+# times a second for an hour; such a slice is made of copies (a stuck clock, a resend loop).
+HOT_ROWS = 50_000_000
+SLICE = ["_start", "_instant", "_block"]
+
+
+def sliced(df: DataFrame, keys: Sequence[str], start: Column, ts: str = "ts", tie: str = "seq") -> DataFrame:
+    """Add the slice (`_start, _instant, _block`) of each row, in the order of `(ts, tie)`.
+
+    Ordinary slices are `start` alone.  A slice with more than HOT_ROWS rows is cut
+    into its instants, and those into blocks of arrival, so none stays larger.  The
+    list of such slices cannot have more than rows / HOT_ROWS entries, so it is
+    broadcast whatever the optimizer thinks of its size.
+    """
+    rows = df.withColumn("_start", start)
+    hot = (
+        rows.groupBy(*keys, "_start")
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > HOT_ROWS)
+        .select(*keys, "_start", F.lit(True).alias("_hot"))
+    )
+    rows = rows.join(F.broadcast(hot), [*keys, "_start"], "left")
+    return rows.withColumns(
+        {
+            "_instant": F.when(F.col("_hot"), F.unix_micros(ts)),
+            "_block": F.when(F.col("_hot"), F.floor(F.col(tie) / F.lit(HOT_ROWS)).cast("long")),
+        }
+    ).drop("_hot")
 
 
 def carry_forward(
@@ -33,18 +61,19 @@ def carry_forward(
     rows are shuffled once, on (key, slice); the slice tails carry the rest.
     """
     names = list(values)
-    rows = df.select("*", *[values[n].alias(f"_v_{n}") for n in names], time_bin(ts, slice_s).alias("_slice"))
+    rows = df.select("*", *[values[n].alias(f"_v_{n}") for n in names])
+    rows = sliced(rows, keys, time_bin(ts, slice_s), ts, tie)
     order = F.struct(ts, tie)
-    tails = rows.groupBy(*keys, "_slice").agg(
+    tails = rows.groupBy(*keys, *SLICE).agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), order)).alias(f"_v_{n}") for n in names]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(*SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select(
-        *keys, "_slice", F.lit(True).alias("_carried"),
+        *keys, *SLICE, F.lit(True).alias("_carried"),
         *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_v_{n}") for n in names],
     )
     everything = rows.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    ordered = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_carried"), ts, tie)
+    ordered = Window.partitionBy(*keys, *SLICE).orderBy(F.desc("_carried"), ts, tie)
     frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return (
         everything.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(frame).alias(n) for n in names])

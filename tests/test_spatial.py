@@ -95,7 +95,8 @@ def test_uplift_field(spark):
     assert dry["s", 3.0] == 0.0
 
 
-def test_field_equals_all_pairs_over_many_tiles(spark):
+def test_field_equals_all_pairs_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 30)
     rng = random.Random(9)
     wells = [("s", rng.randrange(-300, 300) * 1.0, rng.randrange(-300, 300) * 1.0, rng.uniform(5, 20), rng.uniform(0, 9)) for _ in range(200)]
     places = [(rng.uniform(-300, 300), rng.uniform(-300, 300)) for _ in range(80)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groundswell import schema as S
 from groundswell.operators import fleet
 from groundswell.operators import timeseries as ts
+from groundswell.plans import slices
 
 T0 = utc("2026-10-01 10:00:00")
 ORIGIN = utc("2000-01-01")
@@ -90,8 +91,10 @@ def per_robot(rows):
         yield robot, list(group)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_sliced_windows_equal_a_plain_walk(spark, seed):
+@pytest.mark.parametrize("seed, hot_rows", [(1, slices.HOT_ROWS), (2, 4)])
+def test_sliced_windows_equal_a_plain_walk(spark, monkeypatch, seed, hot_rows):
+    """With four rows as the limit most slices are cut by instant and arrival."""
+    monkeypatch.setattr(slices, "HOT_ROWS", hot_rows)
     rows = random_rows(seed)
     df = frame(spark, rows).repartition(7)
     segments, runs, litres = {}, [], {}
