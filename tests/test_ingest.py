@@ -85,6 +85,7 @@ BODIES = {
     "null number": (body(sample(x_m=None)), "ok", 202, 1),
     "null sample": ('{"samples":[null]}', "ok", 422, 0),
     "quote in text": (body(sample(robot_id='a"x_m": "b')), "ok", 202, 1),
+    "text after": (body(sample()) + " and more", "ok", 202, 1),
     "too many": (body(*[{} for _ in range(5001)]), "refused", 400, 0),
     "too long": (body(sample(robot_id="r" * (1 << 20))), "malformed", 400, 0),
 }
@@ -111,7 +112,7 @@ def test_responses(uploads):
 def test_counters(uploads):
     counted = ingest.ingest_counters(B.parse_batches(uploads), B.batch_status(uploads), F.lit(NOW))
     malformed = sum(s == "malformed" for _, s, _, _ in BODIES.values())
-    assert {r.outcome: r.n for r in counted.collect()} == {"accepted": 4, "validation": 3, "malformed": malformed}
+    assert {r.outcome: r.n for r in counted.collect()} == {"accepted": 5, "validation": 3, "malformed": malformed}
 
 
 def test_ndjson(spark, tmp_path):
