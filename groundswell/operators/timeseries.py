@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundswell import schema as S
 from groundswell.functions.columns import duration_seconds, minutes_between, time_bin
+from groundswell.plans.shared import materialize
 from groundswell.plans.slices import SLICE, SLICE_S, carry_forward, sliced
 
 
@@ -184,10 +185,12 @@ def state_runs(df: DataFrame) -> DataFrame:
         F.coalesce((F.lag("state").over(w) != F.col("state")).cast("int"), F.lit(0)).alias("change"),
         F.lead("ts").over(w).isNull().alias("ends_slice"),
     ).withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("robot_id", *SLICE, "run").agg(
-        F.min("state").alias("state"), F.min("ts").alias("run_start"), F.max("ts").alias("run_end"),
+    # The state is the same throughout a run; as a key it keeps the aggregation a hash one.
+    runs = rows.groupBy("robot_id", *SLICE, "run", "state").agg(
+        F.min("ts").alias("run_start"), F.max("ts").alias("run_end"),
         F.count("*").alias("samples"), F.max("ends_slice").alias("ends_slice"),
     )
+    runs = materialize(runs, "state-runs")  # read twice below; far fewer rows than samples
     out = ["robot_id", "state", "run_start", "run_end", "samples"]
     edge = (F.col("run") == 0) | F.col("ends_slice")
     along = Window.partitionBy("robot_id").orderBy(*SLICE, "run")
@@ -196,9 +199,9 @@ def state_runs(df: DataFrame) -> DataFrame:
         runs.where(edge)
         .withColumn("starts", F.coalesce((~joined).cast("int"), F.lit(1)))
         .withColumn("island", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("robot_id", "island")
+        .groupBy("robot_id", "island", "state")
         .agg(
-            F.min("state").alias("state"), F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"),
+            F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"),
             F.sum("samples").alias("samples"),
         )
     )
