@@ -13,7 +13,7 @@ from groundswell.sources import batches as B
 
 NOW = utc("2026-10-01 12:00:00")
 GOOD = dict(
-    seq=0, ts=NOW, site_id="alameda-1", robot_id="tn-01", state="injecting", x_m=12.0, y_m=-4.0, depth_m=18.0,
+    seq=0, ts=NOW, site_id="north-1", robot_id="tn-01", state="injecting", x_m=12.0, y_m=-4.0, depth_m=18.0,
     injection_pressure_kpa=850.0, flow_rate_lpm=120.0, surface_uplift_mm=3.2, battery_pct=77.0,
 )
 INF, NAN = float("inf"), float("nan")
