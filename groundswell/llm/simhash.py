@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundswell.llm.frames import annotate, encoded, fresh
+from groundswell.llm.frames import annotate, encoded
 from groundswell.plans.shared import materialize, parallelism, ship_package
 
 BITS, BUDGET, SHINGLE, SEED, AGREE = 64, 4, 4, 42, 2
@@ -247,8 +247,11 @@ def hex64(column) -> "F.Column":
 
 
 def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The row with the smallest id of every group, with its own columns; of rows that repeat an id, one."""
-    least = near_duplicates(docs, id, text, **options).select(F.col("component_id").alias("_keep")).distinct()
-    mark = fresh(docs, "_keep")
-    kept = docs.join(least.withColumnRenamed("_keep", mark), F.col(id).eqNullSafe(F.col(mark)), "left_semi")
-    return kept.dropDuplicates([id])
+    """The row with the smallest id of every group, with its own columns; of rows that repeat an id, one.
+
+    Rows without an id cannot be named by a group; they are kept and stand for nobody.
+    """
+    named = docs.where(F.col(id).isNotNull())
+    least = near_duplicates(named, id, text, **options).select(F.col("component_id").alias(id)).distinct()
+    # The join deals both sides by id, and dropping repeated ids needs no other shuffle.
+    return named.join(least, id, "left_semi").dropDuplicates([id]).unionByName(docs.where(F.col(id).isNull()))
