@@ -32,8 +32,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked, and `n_chars` follows the text; every document stays."""
-    before = docs.withColumn("n_chars", F.col("n_chars") - F.length("text"))
-    return secrets.redacted(before).withColumn("n_chars", F.col("n_chars") + F.length("text"))
+    before = docs.withColumn("n_chars", F.col("n_chars") - F.coalesce(F.length("text"), F.lit(0)))
+    return secrets.redacted(before).withColumn("n_chars", F.col("n_chars") + F.coalesce(F.length("text"), F.lit(0)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
