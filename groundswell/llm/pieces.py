@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import chain
+
+import numpy as np
 
 MARK = "▁"
 LITERAL_MARK = "\ud800"  # stands for U+2581 of the text; no UTF-8 text holds it
 MINUS = float("-inf")
-CACHED_UNITS, CACHED_CHARS = 300_000, 64
+CACHED_UNITS, CACHED_CHARS = 200_000, 64
+ID = np.int32
 
 State = tuple[int, int]  # (characters past the cut, piece), piece < 0: a spelled character
 
@@ -49,6 +51,25 @@ class Vocabulary:
         return Vocabulary(pieces, tuple(model.get_score(i) for i in ids), byte_ids, special, kind)
 
 
+class Decoder:
+    """Bytes of every piece; the mark that encoding puts in front is taken off again."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        byte_of = {piece: bytes([b]) for b, piece in enumerate(vocabulary.byte_ids)}
+        self.table = [
+            byte_of[i] if i in byte_of else b"" if i in vocabulary.special else p.replace(MARK, " ").encode() for i, p in enumerate(vocabulary.pieces)
+        ]
+
+        self.sizes = np.array([len(b) for b in self.table])
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The texts of ids laid end to end; text k ends before ids[ends[k]]."""
+        whole = b"".join(map(self.table.__getitem__, ids.tolist()))
+        cuts = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.concatenate([[0], ends])].tolist()
+        texts = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+        return [t[1:] if t[:1] == b" " else t for t in texts]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -57,15 +78,19 @@ class Encoder:
         self.longest = max(map(len, self.ids))
         # Where no piece has a mark behind another character, a mark after one always begins a new piece.
         self.by_words = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        # Likewise for a closing character that no piece holds behind a letter.
+        behind_letters = {p[i] for p in self.ids for i in range(1, len(p)) if p[i - 1].isalpha()}
+        closing = re.escape("".join(c for c in ".,;:!?" if c not in behind_letters))
+        letter = r"[^\W\d_]"
+        if closing:
+            self.unit_pattern = re.compile(f"{MARK}*[^{MARK}{closing}]++(?:(?<!{letter})[^{MARK}]++)?|{MARK}*[{closing}][^{MARK}]*|{MARK}+")
+        else:
+            self.unit_pattern = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.spelled_score = min(vocabulary.scores) - 10.0
         self.pairs: dict[int, bool] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.units: dict[str, bytes] = {}  # ids as machine integers
+        self.older: dict[str, bytes] = {}
         self.suffixes = {p[k:]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
-        self.decoded = [
-            bytes([vocabulary.byte_ids.index(i)]) if i in set(vocabulary.byte_ids) else b"" if i in vocabulary.special else p.replace(MARK, " ").encode()
-            for i, p in enumerate(vocabulary.pieces)
-        ]
 
     # ---- weights -----------------------------------------------------------------
 
@@ -210,7 +235,7 @@ class Encoder:
             out.append(tuple(self.spelled(path)) if spelled else tuple(path))
         return out
 
-    def learn(self, units) -> dict[str, tuple[int, ...]]:
+    def learn(self, units) -> dict[str, bytes]:
         """The encodings of `units`, remembered in two generations so that frequent ones stay."""
         if len(self.units) >= CACHED_UNITS:
             self.older, self.units = self.units, {}
@@ -223,7 +248,7 @@ class Encoder:
                 else:
                     known[unit] = ids
         missing.sort()
-        known.update(zip(missing, self.sorted_units(missing)))
+        known.update(zip(missing, (np.array(ids, ID).tobytes() for ids in self.sorted_units(missing))))
         return known
 
     def marked(self, text: str) -> str:
@@ -233,24 +258,22 @@ class Encoder:
 
     def cut(self, marked: str) -> list[str]:
         """Split at certain boundaries."""
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) if self.by_words else [marked]
+        return self.unit_pattern.findall(marked) if self.by_words else [marked]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Units are cut and looked up together; their memory is that of the texts."""
         cuts = [self.cut(MARK + self.marked(text)) if text else [] for text in texts]
-        known = self.learn({unit for units in cuts for unit in units})
-        out = [list(chain.from_iterable(map(known.__getitem__, units))) for units in cuts]
-        for unit in {unit for units in cuts for unit in units if len(unit) > CACHED_CHARS}:
-            del known[unit]
+        distinct = {unit for units in cuts for unit in units}
+        known = self.learn(distinct)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, units)), ID) for units in cuts]
+        for unit in distinct:
+            if len(unit) > CACHED_CHARS:
+                del known[unit]
         return out
 
-    def decode(self, ids) -> bytes:
-        text = b"".join(map(self.decoded.__getitem__, ids))
-        return text[1:] if text[:1] == b" " else text
-
     # ---- chunks ------------------------------------------------------------------------
     #
     # A chunk is text[start:end] seen with margins of `longest` characters.  A state at a cut is the piece
@@ -353,7 +376,7 @@ class Encoder:
         out = self.spelled(self.backtrace(self.scan(text, begin, piece, inner), begin, inner))
         units = self.cut(text[inner:final])
         known = self.learn(set(units))
-        out.extend(chain.from_iterable(map(known.__getitem__, units)))
+        out.extend(np.frombuffer(b"".join(map(known.__getitem__, units)), ID).tolist())
         return out + self.spelled(self.backtrace(self.scan(text, final, None, end), final, stop))
 
 

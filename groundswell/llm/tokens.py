@@ -14,29 +14,29 @@ columns are passed through.  Decoding undoes encoding exactly, for every text.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundswell.llm.frames import annotate, fresh
-from groundswell.llm.pieces import MARK, Encoder, Vocabulary, states
+from groundswell.llm.pieces import MARK, Decoder, Encoder, Vocabulary, states
 from groundswell.plans.shared import materialize, parallelism, ship_package
 
 CHUNK_CHARS = 32_768
 IDS = T.ArrayType(T.IntegerType())
-_encoders: dict[int, Encoder] = {}
+_machines: dict[tuple, Encoder | Decoder] = {}
 
 
-def _encoder(sent) -> Encoder:
-    """One encoder per worker process and broadcast vocabulary, so that its memory of units lives on."""
-    if sent.value is None:
-        raise ValueError("no vocabulary")
-    key = hash((sent.value.kind, len(sent.value.pieces), sent.value.pieces[-64:], sent.value.scores[-64:]))
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(sent.value)
-    return _encoders[key]
+def _machine(kind, sent):
+    """One encoder or decoder per worker process and vocabulary, so that its memory of units lives on."""
+    v = sent.value
+    key = (kind, v.kind, len(v.pieces), hash(v.pieces), hash(v.scores))
+    if key not in _machines:
+        _machines[key] = kind(v)
+    return _machines[key]
 
 
 def _send(docs: DataFrame, vocabulary: Vocabulary):
@@ -53,12 +53,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     long = F.length(text) > chunk_chars
 
     def make():
-        encoder = _encoder(sent)
+        encoder = _machine(Encoder, sent)
 
         def work(texts):
             rows = texts.to_pylist()
-            done = iter(encoder.encode_all([t for t in rows if t is not None]))
-            return [pa.array([None if t is None else next(done) for t in rows], pa.list_(pa.int32()))]
+            done = encoder.encode_all([t or "" for t in rows])
+            ends = np.cumsum([0] + [len(d) for d in done]).astype(np.int32)
+            nulls = pa.array([t is None for t in rows])
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(done)), mask=nulls)]
 
         return work
 
@@ -121,7 +123,7 @@ def _encode_long(long: DataFrame, sent, text: str, ids: str, kept: list[str], ch
     cells_arrow = pa.list_(pa.struct([("a", _STATE_ARROW), ("b", _STATE_ARROW), ("w", pa.float64())]))
 
     def matrices(batches):
-        encoder = _encoder(sent)
+        encoder = _machine(Encoder, sent)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -149,7 +151,7 @@ def _encode_long(long: DataFrame, sent, text: str, ids: str, kept: list[str], ch
     )
 
     def backtraces(batches):
-        encoder = _encoder(sent)
+        encoder = _machine(Encoder, sent)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -172,11 +174,13 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
     sent = _send(rows, vocabulary)
 
     def run(batches):
-        encoder = _encoder(sent)
+        decoder = _machine(Decoder, sent)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                texts = [None if x is None else encoder.decode(x).decode() for x in part.column(where).to_pylist()]
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(part.column(where)), 0).to_numpy(zero_copy_only=False))
+                decoded = decoder.decode(pc.list_flatten(part.column(where)).to_numpy(), ends)
+                texts = [t.decode() if valid else None for t, valid in zip(decoded, part.column(where).is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(j) for j in at] + [pa.array(texts, pa.string())], names)
 
     return rows.mapInArrow(run, schema)
