@@ -97,6 +97,8 @@ def trie_join(groups: np.ndarray, right: np.ndarray, self_join: np.ndarray, fps:
     Rows are sorted by (group, right, fp).  A node is a range of rows that share a
     prefix; a pair of nodes is (left range, right range, differing bits so far).
     """
+    if not len(fps):
+        return []
     parent = np.arange(len(fps))
 
     def root(i: int) -> int:
