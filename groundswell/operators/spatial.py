@@ -84,9 +84,33 @@ def grid_cells(bounds: DataFrame, cell_m: int = 1) -> DataFrame:
     return cells.select("site_id", "x0", "y0", (F.col("x0") + half).alias("x"), (F.col("y0") + half).alias("y"))
 
 
+def cells_in_reach(survey: DataFrame, bounds: DataFrame, radius: float = S.IDW_RADIUS_M) -> DataFrame:
+    """The one-metre cells inside the site's bounds whose centre lies in a tile next to a reading's.
+
+    Their number follows the survey, not the area that an outlier spans.
+    """
+    tiles = _copies(survey.select("site_id", "x", "y"), radius).select("site_id", "tx", "ty").distinct()
+    # A number of its own, because these few bytes stand for much work.
+    tiles = tiles.repartition(parallelism(survey.sparkSession), "site_id", "tx", "ty")
+
+    def steps(tile: str) -> Column:
+        # Cells whose centre is in the tile.
+        return F.sequence(F.ceil(F.col(tile) * radius - 0.5), F.ceil((F.col(tile) + 1) * radius - 0.5) - 1)
+
+    cells = tiles.select("site_id", "ty", F.explode(steps("tx")).alias("x0")).select("site_id", "x0", F.explode(steps("ty")).alias("y0"))
+    # x0 >= floor(min_x), without taking the floor of a far bound.
+    inside = [(F.col(c) > F.col(low) - 1) & (F.col(c) < F.col(high)) for c, low, high in (("x0", "min_x", "max_x"), ("y0", "min_y", "max_y"))]
+    cells = cells.join(bounds, "site_id").where(inside[0] & inside[1])
+    return cells.select("site_id", "x0", "y0", (F.col("x0") + 0.5).alias("x"), (F.col("y0") + 0.5).alias("y"))
+
+
 def uplift_grid(survey: DataFrame, bounds: DataFrame, scale: DataFrame, dark: bool = False) -> DataFrame:
-    """Interpolated uplift and colour of every cell in reach of a reading."""
-    cells = idw_interpolate(survey, grid_cells(bounds)).where(F.col("uplift").isNotNull())
+    """Interpolated uplift and colour of every cell in reach of a reading.
+
+    Readings beyond 2**52 m have no cells: one-metre centres cannot be told apart there.
+    """
+    survey = survey.where((F.abs("x") < 2.0**52) & (F.abs("y") < 2.0**52))
+    cells = idw_interpolate(survey, cells_in_reach(survey, bounds)).where(F.col("uplift").isNotNull())
     return cells.join(scale, "site_id").select(
         "site_id", "x0", "y0", "uplift", ramp_colour(F.col("uplift") / F.col("max_uplift"), dark).alias("colour")
     )

@@ -45,6 +45,11 @@ def _instant(value: str | datetime | None, default: datetime, name: str) -> date
     return parsed
 
 
+def bucket_seconds(bucket: str | float | None) -> float:
+    """One minute by default."""
+    return 60.0 if bucket in (None, "") else duration_seconds(bucket) if isinstance(bucket, str) else float(bucket)
+
+
 def series_args(
     now: datetime,
     start: str | datetime | None = None,
@@ -54,7 +59,7 @@ def series_args(
     """Check a series request; defaults are the last hour in one-minute buckets."""
     end_at = _instant(end, now, "to")
     start_at = _instant(start, now - timedelta(hours=1), "from")
-    width = 60.0 if bucket in (None, "") else duration_seconds(bucket) if isinstance(bucket, str) else float(bucket)
+    width = bucket_seconds(bucket)
     span = (end_at - start_at).total_seconds()
     if span <= 0:
         raise ValueError("from must be before to")
@@ -67,17 +72,30 @@ def series_args(
     return start_at, end_at, width
 
 
+def requested_series(
+    df: DataFrame,
+    now: datetime,
+    start: str | datetime | None = None,
+    end: str | datetime | None = None,
+    bucket: str | float | None = None,
+    robot_id: str | None = None,
+) -> DataFrame:
+    """`robot_series` behind the checks and defaults of a request."""
+    return robot_series(df, *series_args(now, start, end, bucket), robot_id)
+
+
 def robot_series(
     df: DataFrame, start: datetime, end: datetime, bucket: str | float, robot_id: str | None = None
 ) -> DataFrame:
     """Per robot and bucket: count, mean and peak pressure, mean flow, peak uplift, litres injected.
 
+    Any range and width; `requested_series` adds the limits of a request.
     Litres are the trapezoid of flow between neighbouring samples, booked on the
     later one.  Rows are shuffled once, on (robot, slice of a bucket); each slice
     shrinks to one row, and only those rows meet again per robot, where the
     segments that cross a cut are added.
     """
-    start, end, width = series_args(end, start, end, bucket)
+    width = bucket_seconds(bucket)
     rows = series_range(df, start, end, robot_id).select(
         "robot_id", "ts", "seq",
         F.col("injection_pressure_kpa").alias("p"), F.col("flow_rate_lpm").alias("f"), F.col("surface_uplift_mm").alias("u"),

@@ -10,7 +10,7 @@ RAW = """
 telemetry_raw AS (
   SELECT event_id AS seq, ts,
     CASE WHEN event_id % 101 = 0 THEN '' ELSE concat('site-', (user_id % 50) % 4) END AS site_id,
-    CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('tn-', lpad(cast(user_id % 50 AS VARCHAR), 2, '0')) END AS robot_id,
+    CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('unit-', lpad(cast(user_id % 50 AS VARCHAR), 2, '0')) END AS robot_id,
     CASE WHEN event_id % 89 = 0 THEN 'dancing' WHEN event_type = 'view' THEN 'idle' WHEN event_type = 'signup' THEN 'drilling'
          WHEN event_type = 'error' THEN 'fault' ELSE 'injecting' END AS state,
     ((event_id * 37) % 481 - 240) / 10::DOUBLE AS x_m,
@@ -102,7 +102,7 @@ slots AS (
   SELECT event_id AS seq, TIMESTAMP '2024-01-01' + to_seconds(event_id * 2) AS moment,
     CASE WHEN event_type IN ('signup', 'purchase') THEN 'issue' WHEN event_type = 'view' THEN 'next' WHEN event_type = 'click' THEN 'ack'
          WHEN event_id % 3 = 0 THEN 'cancel' ELSE 'next' END AS kind,
-    concat('tn-', lpad(cast(user_id % 10 AS VARCHAR), 2, '0')) AS robot_id,
+    concat('unit-', lpad(cast(user_id % 10 AS VARCHAR), 2, '0')) AS robot_id,
     ['estop', 'set_flow', 'resume', 'clear_fault', 'pause', 'pause', 'pause'][event_id % 7 + 1] AS typ, value
   FROM events),
 aimed AS (
@@ -329,7 +329,7 @@ def _sql() -> dict[str, str]:
         f"WHERE b + INTERVAL '1 hour' <= {_CLOSED} GROUP BY robot_id, b",
     }
     site: dict[str, str] = {
-        "stale_robots": "SELECT site_id, robot_id, ts FROM latest WHERE ts < TIMESTAMP '2024-01-30 11:59:45'",
+        "stale_robots": "SELECT site_id, robot_id, ts FROM latest WHERE ts < (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) FROM latest) - INTERVAL 15 SECOND",
         "latest_per_robot": f"SELECT seq, {_SAMPLE} FROM latest",
         "stream_latest": f"SELECT seq, {_SAMPLE} FROM latest",
         "latest_last_day": "SELECT site_id, robot_id, seq, ts FROM latest WHERE ts > TIMESTAMP '2024-01-29 12:00:00'",
@@ -394,7 +394,7 @@ FROM uploads u LEFT JOIN (
         "audit_ring": f"SELECT {_AUDIT} FROM audit ORDER BY order_seq DESC, phase DESC, ordinal DESC LIMIT 10000",
         "next_command": "SELECT robot_id, command_id, type, created_at FROM commands WHERE status = 'queued' "
         "QUALIFY row_number() OVER (PARTITION BY robot_id ORDER BY type <> 'estop', created_at, seq) = 1",
-        "get_command": f"SELECT {_STATE}, flow_lpm FROM flows WHERE command_id = 'c42'",
+        "get_command": f"SELECT {_STATE}, flow_lpm FROM flows WHERE seq = (SELECT min(seq) FROM commands)",
         "list_commands": f"SELECT {_STATE}, flow_lpm FROM flows WHERE status = 'completed' ORDER BY created_at DESC, seq LIMIT 100",
         "command_log_view": "SELECT created_at, robot_id, type || CASE WHEN flow_lpm <> 0 THEN ' ' || regexp_replace(flow_lpm::VARCHAR, '\\.0$', '') "
         "|| ' L/min' ELSE '' END AS command, status, issued_by FROM (SELECT * REPLACE (coalesce(flow_lpm, 0) AS flow_lpm) FROM flows)",

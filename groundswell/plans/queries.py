@@ -155,7 +155,11 @@ def series_range(spark, sf):
 
 @query
 def stale_robots(spark, sf):
-    return fleet.stale_robots(ts.latest_per_robot(A.telemetry(spark, sf)), A.now()).select("site_id", "robot_id", "ts")
+    """At the middle between the oldest and the newest of the latest samples, so that some robots are stale and some are not."""
+    latest = ts.latest_per_robot(A.telemetry(spark, sf))
+    ends = latest.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    now = F.timestamp_micros(F.lit((ends.a + ends.b) // 2))
+    return fleet.stale_robots(latest, now).select("site_id", "robot_id", "ts")
 
 
 @query
@@ -455,7 +459,10 @@ def next_command(spark, sf):
 
 @query
 def get_command(spark, sf):
-    return C.get_command(_control(spark, sf)[2], "c42").drop("seq")
+    """The first command that was admitted."""
+    commands = _control(spark, sf)[2]
+    first = commands.agg(F.min_by("command_id", "seq").alias("id")).first().id
+    return C.get_command(commands, first).drop("seq")
 
 
 @query
@@ -553,7 +560,7 @@ def stream_fleet_state(spark, sf):
 def stream_commands(spark, sf):
     requests = A.command_requests(spark, sf)
     source = spark.readStream.schema(requests.schema).parquet(store(requests, "command-requests"))
-    moves = stream_commands_mod.stream_commands(source)
+    moves = stream_commands_mod.stream_commands(source, delay="0 seconds")  # the log is in order of time
     path, checkpoint = sinks.scratch(spark, "stream-commands")
     sinks.run_to_table(moves, path, checkpoint)
     trail = spark.read.schema(moves.schema).parquet(path)

@@ -16,34 +16,46 @@ from pyspark.sql import functions as F
 from groundswell.functions.columns import time_bin
 
 SLICE_S = 3600
-# More rows of one key in one slice are cut further.  No sensor reports 14,000 distinct
-# times a second for an hour; such a slice is made of copies (a stuck clock, a resend loop).
-HOT_ROWS = 50_000_000
+# Rows that one piece should not much exceed; every slice is cut by its own count.
+PIECE_ROWS = 4_000_000
 SLICE = ["_start", "_instant", "_block"]
 
 
-def sliced(df: DataFrame, keys: Sequence[str], start: Column, ts: str = "ts", tie: str = "seq") -> DataFrame:
-    """Add the slice (`_start, _instant, _block`) of each row, in the order of `(ts, tie)`.
+def sliced(
+    df: DataFrame, keys: Sequence[str], start: Column, ts: str = "ts", tie: str = "seq", slice_s: float = SLICE_S
+) -> DataFrame:
+    """Add the piece (`_start, _instant, _block`) of each row, in the order of `(ts, tie)`.
 
-    Ordinary slices are `start` alone.  A slice with more than HOT_ROWS rows is cut
-    into its instants, and those into blocks of arrival, so none stays larger.  The
-    list of such slices cannot have more than rows / HOT_ROWS entries, so it is
-    broadcast whatever the optimizer thinks of its size.
+    A slice of n rows is cut into n / PIECE_ROWS equal spans of time (`_instant`).  Where
+    the rows crowd inside a span, so that it still holds over twice PIECE_ROWS, it is cut at
+    its instants and, within one instant, by blocks of arrival (`_block`).  Slices
+    that need no cut are not listed; the two lists have at most rows / PIECE_ROWS entries
+    (250,000 for 10**12 rows), so they are broadcast whatever the optimizer thinks of their size.
     """
     rows = df.withColumn("_start", start)
-    hot = (
+    large = (
         rows.groupBy(*keys, "_start")
         .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > HOT_ROWS)
-        .select(*keys, "_start", F.lit(True).alias("_hot"))
+        .where(F.col("_n") > PIECE_ROWS)
+        .select(*keys, "_start", F.ceil(F.col("_n") / F.lit(PIECE_ROWS)).alias("_cuts"))
+    )
+    into = F.unix_micros(ts) - F.unix_micros("_start")
+    span = F.floor(into * F.col("_cuts") / F.lit(int(slice_s * 1_000_000)))
+    rows = rows.join(F.broadcast(large), [*keys, "_start"], "left").withColumn("_instant", F.when(F.col("_cuts").isNotNull(), span))
+    crowded = (
+        rows.where(F.col("_instant").isNotNull())
+        .groupBy(*keys, "_start", "_instant")
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > 2 * PIECE_ROWS)
+        .select(*keys, "_start", "_instant", F.lit(True).alias("_crowded"))
+    )
+    # Offset in the slice above the block of arrival, in one number.
+    block = F.shiftleft(into, 31) + F.floor(F.col(tie) / F.lit(PIECE_ROWS)).cast("long")
+    return (
+        rows.join(F.broadcast(crowded), [*keys, "_start", "_instant"], "left")
+        .withColumn("_block", F.when(F.col("_crowded"), block))
+        .select(*df.columns, *SLICE)
     )
-    rows = rows.join(F.broadcast(hot), [*keys, "_start"], "left")
-    return rows.withColumns(
-        {
-            "_instant": F.when(F.col("_hot"), F.unix_micros(ts)),
-            "_block": F.when(F.col("_hot"), F.floor(F.col(tie) / F.lit(HOT_ROWS)).cast("long")),
-        }
-    ).drop("_hot")
 
 
 def carry_forward(
@@ -62,7 +74,7 @@ def carry_forward(
     """
     names = list(values)
     rows = df.select("*", *[values[n].alias(f"_v_{n}") for n in names])
-    rows = sliced(rows, keys, time_bin(ts, slice_s), ts, tie)
+    rows = sliced(rows, keys, time_bin(ts, slice_s), ts, tie, slice_s)
     order = F.struct(ts, tie)
     tails = rows.groupBy(*keys, *SLICE).agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), order)).alias(f"_v_{n}") for n in names]

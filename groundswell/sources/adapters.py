@@ -31,7 +31,7 @@ def _every(n: int) -> Column:
 
 
 def _robot(n: int) -> Column:
-    return F.concat(F.lit("tn-"), F.lpad((F.col("user_id") % n).cast("string"), 2, "0"))
+    return F.concat(F.lit("unit-"), F.lpad((F.col("user_id") % n).cast("string"), 2, "0"))
 
 
 def _site() -> Column:
@@ -43,7 +43,7 @@ def raw_samples(ev: DataFrame) -> DataFrame:
         "event_id AS seq",
         "ts",
         f"CASE WHEN event_id % 101 = 0 THEN '' ELSE concat('site-', user_id % {ROBOTS} % {SITES}) END AS site_id",
-        f"CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('tn-', lpad(user_id % {ROBOTS}, 2, '0')) END AS robot_id",
+        f"CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('unit-', lpad(user_id % {ROBOTS}, 2, '0')) END AS robot_id",
         """CASE WHEN event_id % 89 = 0 THEN 'dancing' WHEN event_type = 'view' THEN 'idle'
              WHEN event_type = 'signup' THEN 'drilling' WHEN event_type = 'error' THEN 'fault' ELSE 'injecting' END AS state""",
         "((event_id * 37) % 481 - 240) / 10D AS x_m",

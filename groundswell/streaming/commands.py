@@ -58,9 +58,13 @@ def _queue_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
         yield pd.DataFrame(out, columns=_NAMES)
 
 
-def stream_commands(requests: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_commands(requests: DataFrame, delay: str) -> DataFrame:
     """Transitions as they happen (append mode).
 
+    `delay` has no default: it bounds how far a request may lie behind the newest one of
+    any robot.  Spark drops what is later than that before it reaches the queue, so it
+    must cover the real disorder of the source; with a log in order of time it may be zero.
+
     An ack or cancel is routed by the `robot_id` of its request.  An expiry is
     stamped with the robot's next request or with the watermark, whichever finds it
     first; the batch replay stamps it with the next request of anyone.

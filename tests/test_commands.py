@@ -15,7 +15,7 @@ T0 = utc("2026-10-01 12:00:00")
 FIELDS = ("kind", "robot_id", "command_id", "type", "flow_lpm", "actor", "ack_status", "ack_reason")
 
 
-def request(seq, ms, kind, robot_id="tn-01", **rest):
+def request(seq, ms, kind, robot_id="unit-01", **rest):
     r = dict.fromkeys(FIELDS) | dict(seq=seq, at_ms=int(T0.timestamp() * 1000) + ms, kind=kind, robot_id=robot_id, ms=ms) | rest
     if kind in ("issue", "cancel") and r["actor"] is None:
         r["actor"] = "alice"
@@ -53,11 +53,11 @@ def ack(ms, name, status="completed", reason=None):
 SCRIPTS = {
     "fifo": script(issue(0, "a"), issue(1, "b", "set_flow", flow_lpm=90.0), (1, "next", {}), ack(1, "a"), (1, "next", {}),
                    ack(1, "b", "rejected", "pump offline"), (1, "next", {})),
-    "isolated": script(issue(0, "a"), (0, "next", dict(robot_id="tn-02"))),
+    "isolated": script(issue(0, "a"), (0, "next", dict(robot_id="unit-02"))),
     "estop": script(issue(0, "a"), issue(0, "b", "set_flow", flow_lpm=100.0), issue(5, "c", "estop", actor="bob"), (5, "next", {})),
     "full": script(*[issue(0, f"p{i}") for i in range(21)], issue(0, "stop", "estop")),
-    "ttl": script(issue(0, "a"), (0, "issue", dict(command_id="s", type="estop", robot_id="tn-02")), (120_001, "next", {}),
-                  (120_001, "next", dict(robot_id="tn-02"))),
+    "ttl": script(issue(0, "a"), (0, "issue", dict(command_id="s", type="estop", robot_id="unit-02")), (120_001, "next", {}),
+                  (120_001, "next", dict(robot_id="unit-02"))),
     "ttl edge": script(issue(0, "a"), (120_000, "next", {})),
     "unanswered": script(issue(0, "a", "resume"), (0, "next", {}), ack(30_001, "a")),
     "answered in time": script(issue(0, "a", "resume"), (0, "next", {}), ack(30_000, "a")),
@@ -67,7 +67,7 @@ SCRIPTS = {
     "stop waits": script(issue(0, "s", "estop"), issue(400_000, "a"), issue(400_001, "t", "estop"), (900_000, "next", {}), ack(900_001, "t"),
                          issue(2_000_000, "b"), (2_000_001, "next", {}), ack(2_000_002, "s"), ack(2_000_003, "b")),
     "late ack": script(issue(0, "a"), issue(1, "bad", "set_flow"), (9, "next", {}), issue(500_000, "b"), ack(500_001, "a"), ack(500_002, "bad")),
-    "cross robot": script(issue(0, "a"), (1, "next", {}), (2, "ack", dict(command_id="a", robot_id="tn-09", ack_status="completed"))),
+    "cross robot": script(issue(0, "a"), (1, "next", {}), (2, "ack", dict(command_id="a", robot_id="unit-09", ack_status="completed"))),
 }
 
 
@@ -124,7 +124,7 @@ def random_log(seed, n=900):
 @pytest.mark.parametrize("seed", [11, 12, 13])
 def test_replay_equals_the_sequential_service(spark, monkeypatch, seed):
     if seed == 12:
-        monkeypatch.setattr(slices, "HOT_ROWS", 3)
+        monkeypatch.setattr(slices, "PIECE_ROWS", 3)
     requests = random_log(seed)
     if seed == 13:  # a burst without polls reaches the pending limit
         end = requests[-1]["ms"]
@@ -139,9 +139,9 @@ def test_replay_equals_the_sequential_service(spark, monkeypatch, seed):
 def test_door_check_does_not_sweep(spark):
     requests = [
         request(0, 0, "issue", command_id="a", type="pause"),
-        request(1, 121_000, "issue", "tn-02", command_id="b", type="explode"),
-        request(2, 121_500, "ack", "tn-02", command_id="a", ack_status="maybe"),
-        request(3, 122_000, "list", "tn-02"),
+        request(1, 121_000, "issue", "unit-02", command_id="b", type="explode"),
+        request(2, 121_500, "ack", "unit-02", command_id="a", ack_status="maybe"),
+        request(3, 122_000, "list", "unit-02"),
     ]
     audit, errors, _ = replay(spark, requests)
     assert errors == {1: 400, 2: 400}
@@ -151,22 +151,22 @@ def test_door_check_does_not_sweep(spark):
 def test_views(spark):
     requests = script(
         issue(0, "a"), issue(1, "b", "set_flow", flow_lpm=90.0), issue(2, "c"), (3, "next", {}), ack(1500, "a"),
-        (2000, "next", dict(robot_id="tn-07")), (2100, "issue", dict(command_id="d", type="estop", robot_id="tn-08")),
+        (2000, "next", dict(robot_id="unit-07")), (2100, "issue", dict(command_id="d", type="estop", robot_id="unit-08")),
     )
     df = log(spark, requests)
     out = C.replay_commands(df)
     table = C.commands_table(out.audit, df)
     assert [r.command_id for r in C.list_commands(table, limit=2).collect()] == ["d", "c"]
-    assert [r.command_id for r in C.list_commands(table, robot_id="tn-01", status="queued").collect()] == ["c", "b"]
-    assert {(r.robot_id, r.command_id) for r in C.next_command(table).collect()} == {("tn-01", "b"), ("tn-08", "d")}
-    assert {r.robot_id: r.pending for r in C.pending_per_robot(table).collect()} == {"tn-01": 2, "tn-08": 1}
+    assert [r.command_id for r in C.list_commands(table, robot_id="unit-01", status="queued").collect()] == ["c", "b"]
+    assert {(r.robot_id, r.command_id) for r in C.next_command(table).collect()} == {("unit-01", "b"), ("unit-08", "d")}
+    assert {r.robot_id: r.pending for r in C.pending_per_robot(table).collect()} == {"unit-01": 2, "unit-08": 1}
     links = {r.robot_id: (r.last_poll_at is None, r.pending) for r in C.robot_links(df, table).collect()}
-    assert links == {"tn-01": (False, 2), "tn-07": (False, 0), "tn-08": (True, 1)}
+    assert links == {"unit-01": (False, 2), "unit-07": (False, 0), "unit-08": (True, 1)}
     assert {r.command for r in C.command_log_view(table).collect()} == {"pause", "set_flow 90 L/min", "estop"}
     waits = {r.command_id: (r.queue_s, r.ack_s) for r in C.command_latency(out.audit).collect()}
     assert waits["a"] == (0.003, 1.497) and waits["b"] == (None, None)
     assert C.get_command(table, "nope").count() == 0
     trail = [(r.from_status, r.to_status, r.actor) for r in C.audit_log(out.audit).collect()][::-1]
-    assert trail[-3:] == [("queued", "sent", "robot:tn-01"), ("sent", "completed", "robot:tn-01"), (None, "queued", "alice")]
+    assert trail[-3:] == [("queued", "sent", "robot:unit-01"), ("sent", "completed", "robot:unit-01"), (None, "queued", "alice")]
     with pytest.raises(ValueError):
         C.list_commands(table, status="lost")

@@ -13,7 +13,7 @@ from groundswell.sources import batches as B
 
 NOW = utc("2026-10-01 12:00:00")
 GOOD = dict(
-    seq=0, ts=NOW, site_id="north-1", robot_id="tn-01", state="injecting", x_m=12.0, y_m=-4.0, depth_m=18.0,
+    seq=0, ts=NOW, site_id="north-1", robot_id="unit-01", state="injecting", x_m=12.0, y_m=-4.0, depth_m=18.0,
     injection_pressure_kpa=850.0, flow_rate_lpm=120.0, surface_uplift_mm=3.2, battery_pct=77.0,
 )
 INF, NAN = float("inf"), float("nan")
@@ -56,7 +56,7 @@ def test_first_failure_wins_and_bounds_are_inclusive(spark):
 
 
 def sample(**change):
-    s = dict(robot_id="tn-01", site_id="s1", ts="2026-10-01T11:59:00Z", state="injecting", x_m=1, y_m=2, depth_m=15,
+    s = dict(robot_id="unit-01", site_id="s1", ts="2026-10-01T11:59:00Z", state="injecting", x_m=1, y_m=2, depth_m=15,
              injection_pressure_kpa=700, flow_rate_lpm=90, surface_uplift_mm=4, battery_pct=80)
     return {**s, **change}
 
@@ -119,4 +119,4 @@ def test_ndjson(spark, tmp_path):
     (tmp_path / "a.json").write_text("\n".join(json.dumps(sample(x_m=i)) for i in range(3)))
     got = B.read_samples_ndjson(spark, str(tmp_path)).orderBy("x_m").collect()
     assert [r.x_m for r in got] == [0, 1, 2]
-    assert got[0].ts is not None and got[0].robot_id == "tn-01"
+    assert got[0].ts is not None and got[0].robot_id == "unit-01"

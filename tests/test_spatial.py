@@ -116,3 +116,14 @@ def test_injections(spark):
     assert sorted(r.volume_m3 for r in spatial.all_injections(wells).collect()) == [0.25, 5.0]
     v = spatial.injected_volume(wells).first()
     assert (v.total_m3, v.wells_done, v.wells_total) == (5.25, 1, 3)
+
+
+def test_grid_follows_the_survey_and_not_an_outlier(spark):
+    survey = spark.createDataFrame(
+        [("s", 0.0, 0.0, 1.0, 1), ("s", 1e6, 1e6, 2.0, 2), ("s", 1e300, 0.0, 3.0, 3)], "site_id string, x double, y double, uplift double, first_seq long"
+    )
+    bounds = spark.createDataFrame([("s", -5.0, 1e300, -5.0, 1e6 + 5.0)], "site_id string, min_x double, max_x double, min_y double, max_y double")
+    scale = spark.createDataFrame([("s", 3.0)], "site_id string, max_uplift double")
+    cells = {(r.x0, r.y0): r.uplift for r in spatial.uplift_grid(survey, bounds, scale).collect()}
+    near = lambda x, y: {(i, j) for i in range(x - 13, x + 14) for j in range(y - 13, y + 14) if (i + 0.5 - x) ** 2 + (j + 0.5 - y) ** 2 <= 144}
+    assert set(cells) == {c for c in near(0, 0) if min(c) >= -5} | {c for c in near(10**6, 10**6) if c[1] < 1e6 + 5}

@@ -94,7 +94,7 @@ def test_commands_over_batches(spark, tmp_path, seed):
     requests.append(closing)
     df = log(spark, requests)
     parts = [log(spark, requests[i : i + 130]) for i in range(0, len(requests), 130)]
-    stream = sc.stream_commands(files(df, str(tmp_path / "in"), parts))
+    stream = sc.stream_commands(files(df, str(tmp_path / "in"), parts), "0 seconds")
     sinks.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     trail = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     got = {r.command_id: r["count"] for r in trail.groupBy("command_id").count().collect()}

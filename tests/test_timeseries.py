@@ -91,10 +91,10 @@ def per_robot(rows):
         yield robot, list(group)
 
 
-@pytest.mark.parametrize("seed, hot_rows", [(1, slices.HOT_ROWS), (2, 4)])
+@pytest.mark.parametrize("seed, hot_rows", [(1, slices.PIECE_ROWS), (2, 4)])
 def test_sliced_windows_equal_a_plain_walk(spark, monkeypatch, seed, hot_rows):
     """With four rows as the limit most slices are cut by instant and arrival."""
-    monkeypatch.setattr(slices, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(slices, "PIECE_ROWS", hot_rows)
     rows = random_rows(seed)
     df = frame(spark, rows).repartition(7)
     segments, runs, litres = {}, [], {}
@@ -116,8 +116,7 @@ def test_sliced_windows_equal_a_plain_walk(spark, monkeypatch, seed, hot_rows):
     micros = lambda t: int(t.timestamp() * 1e6)
     got_runs = ts.state_runs(df).selectExpr("robot_id", "state", "unix_micros(run_start) a", "unix_micros(run_end) b", "samples")
     assert sorted(map(tuple, got_runs.collect())) == sorted((r, s, micros(a), micros(b), n) for r, s, a, b, n in runs)
-    end = max(r["ts"] for r in rows) + timedelta(seconds=1)
-    span_end = min(end, T0 + timedelta(days=30))
+    span_end = max(r["ts"] for r in rows) + timedelta(seconds=1)
     inside = [r for r in rows if r["ts"] < span_end]
     series = ts.robot_series(df, T0, span_end, "90m").selectExpr("robot_id", "unix_micros(bucket) b", "volume_injected_l v", "count").collect()
     assert sum(r["count"] for r in series) == len(inside)
@@ -169,3 +168,23 @@ def test_bounds(spark):
     got = {r.site_id: tuple(r)[1:] for r in fleet.site_bounds(points, pad=5.0, sites=sites).collect()}
     assert got["a"][:2] == (-5, 45) and got["a"][3] - got["a"][2] == 50
     assert got["b"] == (-30, 30, -30, 30)
+
+
+@pytest.mark.parametrize("step_us", [3_600_000, 0])
+def test_pieces_follow_the_rows_of_a_slice(spark, monkeypatch, step_us):
+    """One robot, one hour: distinct times, then one time for all; no piece is much over the limit and few are small."""
+    monkeypatch.setattr(slices, "PIECE_ROWS", 50)
+    df = spark.range(1000).select(
+        F.lit("r").alias("robot_id"), F.timestamp_micros(F.lit(1_767_225_600_000_000) + F.col("id") * step_us).alias("ts"), F.col("id").alias("seq")
+    )
+    pieces = slices.sliced(df, ["robot_id"], F.date_trunc("hour", "ts")).groupBy(*slices.SLICE).count().collect()
+    assert sum(p["count"] for p in pieces) == 1000
+    assert len(pieces) <= 2 * 1000 / 50 and max(p["count"] for p in pieces) <= 100
+
+
+def test_series_over_two_years_and_limits_of_a_request(spark):
+    df = frame(spark, [{**r, "ts": T0 + timedelta(days=100 * i), "robot_id": "r"} for i, r in enumerate(random_rows(3)[:8])])
+    assert sum(r["count"] for r in ts.robot_series(df, T0, T0 + timedelta(days=800), "1h").collect()) == 8
+    with pytest.raises(ValueError, match="31 days"):
+        ts.requested_series(df, T0, T0, T0 + timedelta(days=800), "1h")
+    assert ts.requested_series(df, T0 + timedelta(minutes=1)).count() == 1
