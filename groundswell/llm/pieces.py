@@ -23,7 +23,7 @@ import numpy as np
 MARK = "▁"
 LITERAL_MARK = "\ud800"  # stands for U+2581 of the text; no UTF-8 text holds it
 MINUS = float("-inf")
-CACHED_UNITS, CACHED_CHARS = 200_000, 64
+CACHED_UNITS, CACHED_CHARS, CACHED_PAIRS = 100_000, 64, 1_000_000
 ID = np.int32
 
 State = tuple[int, int]  # (characters past the cut, piece), piece < 0: a spelled character
@@ -239,6 +239,8 @@ class Encoder:
         """The encodings of `units`, remembered in two generations so that frequent ones stay."""
         if len(self.units) >= CACHED_UNITS:
             self.older, self.units = self.units, {}
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
         known, missing = self.units, []
         for unit in units:
             if unit not in known:
@@ -269,11 +271,15 @@ class Encoder:
         distinct = {unit for units in cuts for unit in units}
         known = self.learn(distinct)
         out = [np.frombuffer(b"".join(map(known.__getitem__, units)), ID) for units in cuts]
-        for unit in distinct:
-            if len(unit) > CACHED_CHARS:
-                del known[unit]
+        self.forget_long(distinct)
         return out
 
+    def forget_long(self, units: set[str]) -> None:
+        """Keep long units out of the memory, which is bounded by their number."""
+        for unit in units:
+            if len(unit) > CACHED_CHARS:
+                self.units.pop(unit, None)
+
     # ---- chunks ------------------------------------------------------------------------
     #
     # A chunk is text[start:end] seen with margins of `longest` characters.  A state at a cut is the piece
@@ -362,22 +368,24 @@ class Encoder:
                 self._extend(text, i, here, best)
         return best
 
-    def chunk_ids(self, text: str, start: int, end: int, entry: State | None, exit_: State) -> list[int]:
+    def chunk_ids(self, text: str, start: int, end: int, entry: State | None, exit_: State) -> np.ndarray:
         """Ids of the pieces that begin in the chunk, between two known states."""
         begin = start + (entry[0] if entry else 0)
         stop = end + exit_[0]
         if begin >= end:
-            return []
+            return np.array([], ID)
         inner, final = self.boundary(text, start, end), self.boundary(text, start, end, last=True)
         piece = entry[1] if entry else None
         if inner is None:
             best = self.scan(text, begin, piece, end)
-            return self.spelled(self.backtrace(best, begin, stop))
-        out = self.spelled(self.backtrace(self.scan(text, begin, piece, inner), begin, inner))
+            return np.array(self.spelled(self.backtrace(best, begin, stop)), ID)
+        head = self.spelled(self.backtrace(self.scan(text, begin, piece, inner), begin, inner))
         units = self.cut(text[inner:final])
         known = self.learn(set(units))
-        out.extend(np.frombuffer(b"".join(map(known.__getitem__, units)), ID).tolist())
-        return out + self.spelled(self.backtrace(self.scan(text, final, None, end), final, stop))
+        body = np.frombuffer(b"".join(map(known.__getitem__, units)), ID)
+        self.forget_long(set(units))
+        tail = self.spelled(self.backtrace(self.scan(text, final, None, end), final, stop))
+        return np.concatenate([np.array(head, ID), body, np.array(tail, ID)])
 
 
 Matrix = dict[tuple[State | None, State], float]

@@ -14,6 +14,8 @@ columns are passed through.  Decoding undoes encoding exactly, for every text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +28,7 @@ from groundswell.llm.pieces import MARK, Decoder, Encoder, Vocabulary, states
 from groundswell.plans.shared import materialize, parallelism, ship_package
 
 CHUNK_CHARS = 32_768
+CHUNKS_AT_ONCE = 16  # rows that a worker unpacks together
 IDS = T.ArrayType(T.IntegerType())
 _machines: dict[tuple, Encoder | Decoder] = {}
 
@@ -87,6 +90,12 @@ def _chunks(long: DataFrame, text: str, key: str, longest: int, chunk_chars: int
     )
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, CHUNKS_AT_ONCE):
+            yield batch.slice(i, CHUNKS_AT_ONCE)
+
+
 def _window(encoder: Encoder, no: int, left: str, body: str, right: str) -> tuple[str, int, int]:
     """Marked text of a chunk with margins, and the chunk's bounds in it."""
     start = len(left) + (1 if no == 1 else 0)
@@ -124,13 +133,13 @@ def _encode_long(long: DataFrame, sent, text: str, ids: str, kept: list[str], ch
 
     def matrices(batches):
         encoder = _machine(Encoder, sent)
-        for batch in batches:
+        for part in _parts(batches):
             out = []
-            for r in batch.to_pylist():
+            for r in part.to_pylist():
                 marked, start, end = _window(encoder, r["no"], r["left"], r["body"], r["right"])
                 found = encoder.transfer(marked, start, end, r["no"] == 0)
                 out.append([{"a": _state(a), "b": _state(b), "w": w} for (a, b), w in found.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, cells_arrow)], [key, "no", "cells"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, cells_arrow)], [key, "no", "cells"])
 
     def resolve(table: pa.Table) -> pa.Table:
         table = table.sort_by("no")
@@ -152,12 +161,12 @@ def _encode_long(long: DataFrame, sent, text: str, ids: str, kept: list[str], ch
 
     def backtraces(batches):
         encoder = _machine(Encoder, sent)
-        for batch in batches:
+        for part in _parts(batches):
             out = []
-            for r in batch.to_pylist():
+            for r in part.to_pylist():
                 marked, start, end = _window(encoder, r["no"], r["left"], r["body"], r["right"])
                 out.append(encoder.chunk_ids(marked, start, end, _pair(r["entry"]), _pair(r["exit"])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], [key, "no", "part"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.int32()))], [key, "no", "part"])
 
     with_states = chunks.join(fixed, [key, "no"]).select(key, "no", "left", "body", "right", "entry", "exit")
     parts = with_states.mapInArrow(backtraces, T.StructType([chunks.schema[key], chunks.schema["no"], T.StructField("part", IDS)]))
