@@ -70,7 +70,7 @@ def _with_error(df: DataFrame) -> DataFrame:
             reason == "future_ts",
             F.concat(F.lit("ts "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" is more than 5m0s in the future")),
         )
-        .when(reason == "state", F.concat(F.lit('unknown state "'), F.col("state"), F.lit('"')))
+        .when(reason == "state", F.concat(F.lit('unknown state "'), F.regexp_replace("state", r'(["\\])', r"\\$1"), F.lit('"')))
         .when(reason == "finite", F.concat(F.expr(culprit), F.lit(" must be finite")))
         .otherwise(F.concat(reason, F.lit(" "), units_text("_value", "_units", "_places"), F.lit(" outside "), F.col("_span")))
     )
@@ -116,26 +116,21 @@ def batch_response(batches: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("code", F.when(F.col("accepted") > 0, 202).otherwise(422))
 
 
-def upload_responses(parsed: DataFrame, status: DataFrame, now: Column) -> DataFrame:
-    """`batch_response` for parsed JSON uploads, with refused ones as code 400."""
-    answered = batch_response(parsed, now)
-    refused = status.where(F.col("status") != "ok").select(
-        "batch_id",
-        F.lit(0).cast("long").alias("accepted"),
-        F.lit(None).cast(answered.schema["rejected"].dataType).alias("rejected"),
-        F.lit(400).alias("code"),
+def upload_responses(rows: DataFrame, now: Column) -> DataFrame:
+    """`batch_response` for `uploaded_rows`; an upload that could not be taken has code 400 and no list."""
+    ok = F.col("status") == "ok"
+    bad = F.when(ok & ~F.col("valid"), F.struct("index", "error"))
+    out = validate_samples(rows, now).groupBy("batch_id", "status").agg(
+        F.count_if(ok & F.col("valid")).alias("accepted"), F.sort_array(F.collect_list(bad)).alias("rejected")
+    )
+    return out.select(
+        "batch_id", "accepted", F.when(ok, F.col("rejected")).alias("rejected"),
+        F.when(~ok, 400).when(F.col("accepted") > 0, 202).otherwise(422).alias("code"),
     )
-    return answered.unionByName(refused)
 
 
-def ingest_counters(parsed: DataFrame, status: DataFrame, now: Column) -> DataFrame:
-    """`outcome, n`: accepted rows, rows failing validation, malformed uploads."""
-    rows = (
-        _checked(parsed, now)
-        .groupBy(F.when(F.col("reason").isNull(), "accepted").otherwise("validation").alias("outcome"))
-        .agg(F.count("*").alias("n"))
-    )
-    uploads = status.where(F.col("status") == "malformed").groupBy(F.lit("malformed").alias("outcome")).agg(
-        F.count("*").alias("n")
-    )
-    return rows.unionByName(uploads)
+def ingest_counters(rows: DataFrame, now: Column) -> DataFrame:
+    """`outcome, n` of `uploaded_rows`: accepted rows, rows failing validation, malformed uploads."""
+    of_row = F.when(F.col("reason").isNull(), "accepted").otherwise("validation")
+    outcome = F.when(F.col("status") == "ok", of_row).otherwise(F.col("status"))
+    return _checked(rows.where(F.col("status") != "refused"), now).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))

@@ -167,10 +167,9 @@ def uplift_field(points: DataFrame, injections: DataFrame) -> DataFrame:
 
 def all_injections(wells: DataFrame) -> DataFrame:
     """Completed wells and those in progress that have taken any volume, in cubic metres."""
-    columns = ["site_id", "x", "y", "depth_m", (F.col("injected_l") / 1000.0).alias("volume_m3")]
-    completed = wells.where(F.col("status") == "completed").select(*columns)
-    active = wells.where((F.col("status") == "active") & (F.col("injected_l") > 0)).select(*columns)
-    return completed.unionByName(active)
+    active = (F.col("status") == "active") & (F.col("injected_l") > 0)
+    used = wells.where((F.col("status") == "completed") | active)
+    return used.select("site_id", "x", "y", "depth_m", (F.col("injected_l") / 1000.0).alias("volume_m3"))
 
 
 def injected_volume(wells: DataFrame) -> DataFrame:

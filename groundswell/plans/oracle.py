@@ -80,14 +80,17 @@ injections AS (
 """
 
 UPLOADS = RAW + """,
-uploads AS (
+full_uploads AS (
   SELECT batch_id, max(ts) AS sent_at, count(*) AS n,
-    CASE WHEN batch_id % 29 = 0 OR batch_id % 31 = 0 THEN 'malformed' WHEN batch_id % 37 = 0 THEN 'refused' ELSE 'ok' END AS status
-  FROM explained WHERE NOT isnan(injection_pressure_kpa) GROUP BY batch_id),
+    CASE WHEN batch_id % 29 = 0 OR batch_id % 31 = 0 OR bool_or(isnan(injection_pressure_kpa)) THEN 'malformed' ELSE 'ok' END AS status
+  FROM explained GROUP BY batch_id),
+uploads AS (
+  SELECT * FROM full_uploads
+  UNION ALL SELECT -1 - batch_id, sent_at, 0, 'refused' FROM full_uploads WHERE batch_id % 37 = 0),
 uploaded AS (
   SELECT e.* EXCLUDE ("index"), row_number() OVER (PARTITION BY batch_id ORDER BY seq) - 1 AS "index"
   FROM explained e JOIN uploads u USING (batch_id)
-  WHERE u.status = 'ok' AND NOT isnan(injection_pressure_kpa))
+  WHERE u.status = 'ok')
 """
 
 HTTP = """
@@ -363,10 +366,10 @@ LEFT JOIN (
         "ingest_batches": "SELECT batch_id, status, CASE WHEN status = 'ok' THEN n ELSE 0 END AS samples FROM uploads",
         "batch_response": """
 SELECT u.batch_id, CASE WHEN status <> 'ok' THEN 400 WHEN accepted > 0 THEN 202 ELSE 422 END::BIGINT AS code, coalesce(accepted, 0) AS accepted,
-  coalesce(n_rejected, 0) AS n_rejected, first_index, first_error
+  CASE WHEN status = 'ok' THEN coalesce(rejects, '') END AS rejects
 FROM uploads u LEFT JOIN (
-  SELECT batch_id, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS n_rejected,
-    min("index") FILTER (reason IS NOT NULL) AS first_index, arg_min(error, "index") FILTER (reason IS NOT NULL) AS first_error
+  SELECT batch_id, count(*) FILTER (reason IS NULL) AS accepted,
+    string_agg("index" || ': ' || error, chr(10) ORDER BY "index") FILTER (reason IS NOT NULL) AS rejects
   FROM uploaded GROUP BY batch_id) USING (batch_id)""",
         "ingest_counters": "SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'validation' END AS outcome, count(*) AS n FROM uploaded GROUP BY ALL "
         "UNION ALL SELECT 'malformed', count(*) FROM uploads WHERE status = 'malformed'",
@@ -401,7 +404,8 @@ FROM uploads u LEFT JOIN (
         "pending_per_robot": "SELECT robot_id, count(*) AS pending FROM commands WHERE status IN ('queued', 'sent') GROUP BY robot_id",
         "known_robots": "SELECT robot_id FROM requests WHERE kind = 'next' UNION SELECT robot_id FROM commands",
         "robot_links": "SELECT * FROM links",
-        "stream_commands": "SELECT command_id, arg_max(to_status, (order_seq, phase, ordinal)) AS status, count(*) AS moves FROM audit GROUP BY command_id",
+        "stream_commands": "SELECT command_id, arg_max(to_status, (order_seq, phase, ordinal)) AS status, count(*) AS moves, "
+        "string_agg(concat(to_status, '|', actor, '|', reason), chr(10) ORDER BY order_seq, phase, ordinal) AS steps FROM audit GROUP BY command_id",
     }
     sql = {n: _with(RAW, b) for n, b in raw.items()}
     sql |= {n: _with(SITE, b) for n, b in site.items()}

@@ -132,14 +132,11 @@ def rejected_samples(spark, sf):
 
 @query
 def batch_response(spark, sf):
-    uploads = A.sample_batches(spark, sf)
-    out = ingest.upload_responses(B.parse_batches(uploads), B.batch_status(uploads), A.now())
-    first = F.element_at("rejected", 1)
+    out = ingest.upload_responses(B.uploaded_rows(A.sample_batches(spark, sf)), A.now())
+    rejects = F.transform("rejected", lambda r: F.concat(r["index"].cast("string"), F.lit(": "), r["error"]))
     return out.select(
         "batch_id", F.col("code").cast("long").alias("code"), "accepted",
-        F.coalesce(F.size("rejected"), F.lit(0)).cast("long").alias("n_rejected"),
-        F.when(F.size("rejected") > 0, first["index"]).alias("first_index"),
-        F.when(F.size("rejected") > 0, first["error"]).alias("first_error"),
+        F.when(F.col("code") != 400, F.array_join(rejects, "\n")).alias("rejects"),
     )
 
 
@@ -311,8 +308,7 @@ def injected_volume(spark, sf):
 
 @query
 def ingest_counters(spark, sf):
-    uploads = A.sample_batches(spark, sf)
-    return ingest.ingest_counters(B.parse_batches(uploads), B.batch_status(uploads), A.now())
+    return ingest.ingest_counters(B.uploaded_rows(A.sample_batches(spark, sf)), A.now())
 
 
 @query
@@ -323,8 +319,7 @@ def ingest_rate(spark, sf):
 @query
 def reject_rate(spark, sf):
     bad = ingest.validate_samples(A.telemetry_raw(spark, sf), A.now()).where(~F.col("valid"))
-    uploads = A.sample_batches(spark, sf)
-    malformed = B.batch_status(uploads).where(F.col("status") == "malformed").join(uploads, "batch_id")
+    malformed = B.batch_status(A.sample_batches(spark, sf), keep=["sent_at"]).where(F.col("status") == "malformed")
     events = bad.select(F.lit("validation").alias("reason"), F.col("ts").alias("at")).unionByName(
         malformed.select(F.lit("malformed").alias("reason"), F.col("sent_at").alias("at"))
     )
@@ -390,17 +385,11 @@ def rfc3339_text(spark, sf):
 
 # ---- commands -----------------------------------------------------------------
 
-_trails: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
-
-
 def _control(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requests, audit trail and command table: stored once per application, read by the views below."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _trails:
-        requests = materialize(A.command_requests(spark, sf), "command-requests")
-        audit = C.replay_commands(requests).audit
-        _trails[key] = requests, audit, materialize(C.commands_table(audit, requests), "commands")
-    return _trails[key]
+    """Requests, audit trail and command table; every view below replays the log of its own."""
+    requests = A.command_requests(spark, sf)
+    audit = C.replay_commands(requests).audit
+    return requests, audit, C.commands_table(audit, requests)
 
 
 @query
@@ -560,8 +549,13 @@ def stream_fleet_state(spark, sf):
 def stream_commands(spark, sf):
     requests = A.command_requests(spark, sf)
     source = spark.readStream.schema(requests.schema).parquet(store(requests, "command-requests"))
-    moves = stream_commands_mod.stream_commands(source, delay="0 seconds")  # the log is in order of time
+    moves = stream_commands_mod.stream_commands(source, delay="0 seconds")
     path, checkpoint = sinks.scratch(spark, "stream-commands")
     sinks.run_to_table(moves, path, checkpoint)
     trail = spark.read.schema(moves.schema).parquet(path)
-    return trail.groupBy("command_id").agg(F.max_by("to_status", "step").alias("status"), F.count("*").alias("moves"))
+    step = F.concat_ws("|", "to_status", F.coalesce("actor", F.lit("")), F.coalesce("reason", F.lit("")))
+    # A command has at most three moves.
+    steps = F.sort_array(F.collect_list(F.struct("step", step.alias("s"))))["s"]
+    return trail.groupBy("command_id").agg(
+        F.max_by("to_status", "step").alias("status"), F.count("*").alias("moves"), F.array_join(steps, "\n").alias("steps")
+    )

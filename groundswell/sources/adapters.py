@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundswell.operators.ingest import accepted_samples
-from groundswell.plans.shared import parallelism
 from groundswell.plans.slices import carry_forward
 
 NOW = "2024-01-30 12:00:00"
@@ -72,11 +71,12 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads as JSON text; some cut off, some with a stray key, some empty.
+    """Uploads as JSON text of all samples, and for some batches an empty upload more (id `-1 - batch_id`).
 
-    JSON has no NaN, so those samples are not in the body.
+    The faults are made from the real text: one body is cut in half, one gets a stray
+    key, and a NaN is written as the bare token that JSON does not have.
     """
-    rows = batch_rows(spark, sf_dir).where(~F.isnan("injection_pressure_kpa"))
+    rows = batch_rows(spark, sf_dir)
     sample = F.struct(
         "robot_id", "site_id", format_rfc3339_us("ts").alias("ts"), "state", "x_m", "y_m", "depth_m",
         "injection_pressure_kpa", "flow_rate_lpm", "surface_uplift_mm", "battery_pct",
@@ -85,15 +85,16 @@ def sample_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = rows.groupBy("batch_id").agg(
         F.sort_array(F.collect_list(F.struct("index", sample.alias("s")))).alias("a"), F.max("ts").alias("sent_at")
     )
-    good = F.to_json(F.struct(F.col("a.s").alias("samples")))
+    good = F.regexp_replace(F.to_json(F.struct(F.col("a.s").alias("samples"))), '"NaN"', "NaN")
     body = (
-        F.when(F.col("batch_id") % 29 == 0, F.lit('{"samples":'))
-        .when(F.col("batch_id") % 31 == 0, F.lit('{"samples":[],"extra":1}'))
-        .when(F.col("batch_id") % 37 == 0, F.lit('{"samples":[]}'))
+        F.when(F.col("batch_id") % 29 == 0, F.left(good, F.floor(F.length(good) / 2).cast("int")))
+        .when(F.col("batch_id") % 31 == 0, F.concat(F.left(good, F.length(good) - 1), F.lit(',"extra":1}')))
         .otherwise(good)
     )
-    uploads = bodies.select("batch_id", body.alias("body"), "sent_at", now().alias("received_at"))
-    return uploads.repartition(parallelism(spark), "batch_id")
+    own = F.struct("batch_id", body.alias("body"))
+    empty = F.struct((-1 - F.col("batch_id")).alias("batch_id"), F.lit('{"samples":[]}').alias("body"))
+    sent = F.when(F.col("batch_id") % 37 == 0, F.array(own, empty)).otherwise(F.array(own))
+    return bodies.select(F.explode(sent).alias("u"), "sent_at").select("u.batch_id", "u.body", "sent_at", now().alias("received_at"))
 
 
 def format_rfc3339_us(ts: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,22 +77,25 @@ def _decode(batches: DataFrame) -> DataFrame:
     return df.select("*", _once("status", status)).drop("_body", "_read")
 
 
-def batch_status(batches: DataFrame) -> DataFrame:
-    """`batch_id, status, samples` (samples that could be read; 0 for a malformed upload)."""
+def batch_status(batches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """`batch_id, status, samples` (samples that could be read; 0 for a malformed upload) and the columns `keep`."""
     n = F.when(F.col("status") == "malformed", 0).otherwise(F.size("_elements"))
-    return _decode(batches).select("batch_id", "status", n.cast("long").alias("samples"))
+    return _decode(batches).select("batch_id", "status", n.cast("long").alias("samples"), *keep)
 
 
 def parse_batches(batches: DataFrame) -> DataFrame:
     """The samples of the readable uploads: `batch_id, received_at, index` and the sample's columns."""
-    rows = (
-        _decode(batches)
-        .where(F.col("status") == "ok")
-        .select("batch_id", "received_at", F.posexplode("_elements").alias("index", "v"))
-    )
+    return uploaded_rows(batches).where(F.col("status") == "ok").drop("status")
+
+
+def uploaded_rows(batches: DataFrame) -> DataFrame:
+    """`status`, and the columns of `parse_batches`; an upload that is not ok is one row without an index."""
+    elements = F.when(F.col("status") == "ok", F.col("_elements"))
+    rows = _decode(batches).select("batch_id", "received_at", "status", F.posexplode_outer(elements).alias("index", "v"))
     return rows.select(
         "batch_id",
         "received_at",
+        "status",
         F.col("index").cast("long").alias("index"),
         "v.ts",
         "v.site_id",
@@ -100,10 +105,20 @@ def parse_batches(batches: DataFrame) -> DataFrame:
     )
 
 
+_SAMPLE = "ts string, " + ", ".join([f"{f} string" for f in ("site_id", "robot_id", "state")] + [f"{f} double" for f in S.NUMERIC_FIELDS])
+_CORRUPT = {"columnNameOfCorruptRecord": "_line"}
+
+
 def read_samples_ndjson(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """One sample per line."""
+    """One sample per line; lines that cannot be read are in `corrupt_lines`."""
     reader = spark.readStream if streaming else spark.read
-    as_text = "ts string, " + ", ".join(
-        [f"{f} string" for f in ("site_id", "robot_id", "state")] + [f"{f} double" for f in S.NUMERIC_FIELDS]
-    )
-    return reader.schema(as_text).json(path).withColumn("ts", parse_rfc3339("ts"))
+    lines = reader.schema(f"{_SAMPLE}, _line string").options(**_CORRUPT).json(path)
+    return lines.where(F.col("_line").isNull()).withColumn("ts", parse_rfc3339("ts")).drop("_line")
+
+
+def corrupt_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """The text (`line`) of what is not a sample: no JSON object, or a value of a wrong type."""
+    reader = spark.readStream if streaming else spark.read
+    lines = reader.text(path).select(F.col("value").alias("line")).where(F.trim("line") != "")
+    read = F.from_json("line", f"{_SAMPLE}, _line string", _CORRUPT)
+    return lines.where(read.isNull() | read["_line"].isNotNull())

@@ -42,7 +42,7 @@ def _queue_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
         out.append((c.id, robot_id, c.type, move.before, move.after, move.actor, move.reason, at_ms, c.seq, step))
         step += 1
 
-    for r in sorted(requests, key=lambda r: (r.at_ms, r.seq)):
+    for r in sorted(requests, key=lambda r: r.seq):
         pending, moves, _ = advance(pending, r, robot_id)
         for move in moves:
             emit(move, r.at_ms)
@@ -61,20 +61,23 @@ def _queue_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
 def stream_commands(requests: DataFrame, delay: str) -> DataFrame:
     """Transitions as they happen (append mode).
 
-    `delay` has no default: it bounds how far a request may lie behind the newest one of
-    any robot.  Spark drops what is later than that before it reaches the queue, so it
-    must cover the real disorder of the source; with a log in order of time it may be zero.
+    No request is lost, however late: a robot's requests are applied in the order of
+    arrival (`seq`), each at its own time.  The clock that expires commands of silent
+    robots runs `delay` behind the newest request of anyone.
 
     An ack or cancel is routed by the `robot_id` of its request.  An expiry is
     stamped with the robot's next request or with the watermark, whichever finds it
     first; the batch replay stamps it with the next request of anyone.
     """
     ship_package(requests.sparkSession)
+    # Spark drops rows behind the watermark.  Each request therefore comes twice: a tick with
+    # its time, which moves the watermark and ends here, and the request without, which is never late.
+    twice = requests.where(_dto_error().isNull()).select("*", F.explode(F.array(F.lit(None).cast("timestamp"), F.col("at"))).alias("_clock"))
     steps = (
-        requests.where(_dto_error().isNull())
-        .withWatermark("at", delay)
+        twice.withWatermark("_clock", delay)
+        .where(F.col("_clock").isNull())
         .select(
-            "at", "robot_id", "seq", F.unix_millis("at").alias("at_ms"), "kind", "command_id", "type",
+            "_clock", "robot_id", "seq", F.unix_millis("at").alias("at_ms"), "kind", "command_id", "type",
             _param_error().alias("param_error"), "actor", "ack_status", "ack_reason",
         )
     )

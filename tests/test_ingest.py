@@ -28,6 +28,7 @@ CASES = [
     ({"ts": NOW + timedelta(minutes=5)}, None),
     ({"ts": NOW + timedelta(hours=1)}, "ts 2026-10-01T13:00:00Z is more than 5m0s in the future"),
     ({"state": "dancing"}, 'unknown state "dancing"'),
+    ({"state": 'a"b\\'}, 'unknown state "a\\"b\\\\"'),
     ({"injection_pressure_kpa": NAN}, "injection_pressure_kpa must be finite"),
     ({"x_m": INF}, "x_m must be finite"),
     ({"x_m": NAN, "battery_pct": -INF}, "x_m must be finite"),
@@ -103,20 +104,22 @@ def test_uploads_are_refused_as_a_whole(uploads):
 
 
 def test_responses(uploads):
-    out = ingest.upload_responses(B.parse_batches(uploads), B.batch_status(uploads), F.lit(NOW))
+    out = ingest.upload_responses(B.uploaded_rows(uploads), F.lit(NOW))
     got = {r.batch_id: r for r in out.collect()}
     assert {n: (r.code, r.accepted) for n, r in got.items()} == {n: (c, a) for n, (_, _, c, a) in BODIES.items()}
     assert [x["index"] for x in got["mixed"].rejected] == [1]
 
 
 def test_counters(uploads):
-    counted = ingest.ingest_counters(B.parse_batches(uploads), B.batch_status(uploads), F.lit(NOW))
+    counted = ingest.ingest_counters(B.uploaded_rows(uploads), F.lit(NOW))
     malformed = sum(s == "malformed" for _, s, _, _ in BODIES.values())
     assert {r.outcome: r.n for r in counted.collect()} == {"accepted": 5, "validation": 3, "malformed": malformed}
 
 
 def test_ndjson(spark, tmp_path):
-    (tmp_path / "a.json").write_text("\n".join(json.dumps(sample(x_m=i)) for i in range(3)))
+    broken = ['{"x_m": 1', "[1]", '{"x_m": "far"}']
+    (tmp_path / "a.json").write_text("\n".join([json.dumps(sample(x_m=i)) for i in range(3)] + broken))
     got = B.read_samples_ndjson(spark, str(tmp_path)).orderBy("x_m").collect()
     assert [r.x_m for r in got] == [0, 1, 2]
+    assert sorted(r.line for r in B.corrupt_lines(spark, str(tmp_path)).collect()) == sorted(broken)
     assert got[0].ts is not None and got[0].robot_id == "unit-01"

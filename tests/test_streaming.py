@@ -118,3 +118,27 @@ def test_ingest_equals_batch(spark, tmp_path):
     assert (spark.read.parquet(good).count(), spark.read.parquet(bad).count()) == first
     st.stream_ingest(source, good, bad, str(tmp_path / "cp2"))  # a replay from the start overwrites its epochs
     assert (spark.read.parquet(good).count(), spark.read.parquet(bad).count()) == first
+
+
+def test_requests_behind_the_watermark_are_applied(spark, tmp_path):
+    """Three batches: another robot runs ahead, then an e-stop from before that, then a poll."""
+    blank = dict.fromkeys(("command_id", "type", "flow_lpm", "actor", "ack_status", "ack_reason"))
+    start = 1_767_225_600_000
+
+    def request(seq, s, kind, robot_id, **more):
+        return {**blank, "seq": seq, "ms": start + s * 1000, "at_ms": start + s * 1000, "kind": kind, "robot_id": robot_id, **more}
+
+    requests = [
+        request(1, 0, "issue", "a", command_id="c1", type="pause", actor="op"),
+        request(2, 61, "next", "b"),
+        request(3, 50, "issue", "a", command_id="c2", type="estop", actor="op"),
+        request(4, 50, "list", "b"),
+        request(5, 62, "next", "a"),
+    ]
+    df = log(spark, requests)
+    stream = sc.stream_commands(files(df, str(tmp_path / "in"), [log(spark, requests[i : i + 2]) for i in (0, 2, 4)]), "0 seconds")
+    sinks.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    trail = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).orderBy("step").collect()
+    assert [(r.command_id, r.to_status) for r in trail if r.robot_id == "a" and r.to_status != "expired"] == [
+        ("c1", "queued"), ("c1", "cancelled"), ("c2", "queued"), ("c2", "sent")
+    ]
