@@ -164,6 +164,11 @@ def latest_per_robot(
     return best.select("site_id", "robot_id", "s.*")
 
 
+def sort_by_robot(df: DataFrame) -> DataFrame:
+    """Robots by name, as reports list them; for small results such as the latest samples or the links."""
+    return df.orderBy(*[c for c in ("robot_id", "site_id") if c in df.columns])
+
+
 def robot_history(df: DataFrame, length: int = S.HISTORY_LEN) -> DataFrame:
     """The newest `length` samples of each robot.
 

@@ -302,6 +302,7 @@ def _sql() -> dict[str, str]:
         "quarantine": 'SELECT batch_id, "index", reason, error FROM explained WHERE reason IS NOT NULL',
         "telemetry_scan": f"SELECT seq, {_SAMPLE} FROM telemetry WHERE site_id = 'site-1' AND {_RANGE}",
         "expire_partitions": f"SELECT {_DAYS} FROM telemetry WHERE ts >= TIMESTAMP '2024-01-16'",
+        "drop_expired": f"SELECT {_DAYS} FROM telemetry WHERE ts >= TIMESTAMP '2024-01-16'",
         "compact_partitions": f"SELECT {_DAYS} FROM telemetry",
         "validate_samples": "SELECT seq, reason IS NULL AS valid, reason, error FROM explained",
         "accepted_samples": f"SELECT seq, {_SAMPLE} FROM telemetry",
@@ -334,6 +335,7 @@ def _sql() -> dict[str, str]:
     site: dict[str, str] = {
         "stale_robots": "SELECT site_id, robot_id, ts FROM latest WHERE ts < (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) FROM latest) - INTERVAL 15 SECOND",
         "latest_per_robot": f"SELECT seq, {_SAMPLE} FROM latest",
+        "sort_by_robot": f"SELECT seq, {_SAMPLE} FROM latest",
         "stream_latest": f"SELECT seq, {_SAMPLE} FROM latest",
         "latest_last_day": "SELECT site_id, robot_id, seq, ts FROM latest WHERE ts > TIMESTAMP '2024-01-29 12:00:00'",
         "survey_cells": "SELECT * FROM survey",
@@ -375,7 +377,11 @@ FROM uploads u LEFT JOIN (
         "UNION ALL SELECT 'malformed', count(*) FROM uploads WHERE status = 'malformed'",
         "batch_size_histogram": "SELECT le, count(*) FILTER (n <= le) AS n FROM (SELECT n FROM uploads WHERE status = 'ok'), "
         "(SELECT unnest(['1', '4', '16', '64', '256', '1024', '4096', 'inf']::DOUBLE[]) AS le) GROUP BY le",
+        "store_uploads": f"""SELECT arrival * 8192 + "index" AS seq, {_SAMPLE}, ts::DATE AS ts_date FROM uploaded
+  JOIN (SELECT batch_id, row_number() OVER (ORDER BY batch_id) - 1 AS arrival FROM uploads) USING (batch_id) WHERE reason IS NULL""",
         "stream_ingest": 'SELECT batch_id, "index", reason FROM uploaded',
+        "stream_ingest_latest": f"SELECT {_SAMPLE} FROM uploaded WHERE reason IS NULL "
+        "QUALIFY row_number() OVER (PARTITION BY site_id, robot_id ORDER BY ts DESC) = 1",
     }
     wells: dict[str, str] = {
         "all_injections": "SELECT site_id, x, y, depth_m, round(volume_m3, 6) AS volume_m3 FROM injections",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 from functools import wraps
@@ -81,6 +82,13 @@ def write_telemetry(spark, sf):
     return tables.read_telemetry(spark, path)
 
 
+@query
+def store_uploads(spark, sf):
+    path = fresh_path(spark, "telemetry")
+    tables.store_uploads(A.sample_batches(spark, sf), A.now(), path)
+    return tables.read_telemetry(spark, path)
+
+
 @query
 def quarantine(spark, sf):
     path = fresh_path(spark, "quarantine")
@@ -105,6 +113,15 @@ def expire_partitions(spark, sf):
     return tables.expire_partitions(table, TODAY, keep_days=14)
 
 
+@query
+def drop_expired(spark, sf):
+    name = f"telemetry_{uuid.uuid4().hex}"
+    days = tables.read_telemetry(spark, _stored(spark, sf))
+    days.write.partitionBy("ts_date").option("path", fresh_path(spark, "telemetry-days")).saveAsTable(name)
+    tables.drop_expired(spark, name, TODAY, keep_days=14)
+    return spark.table(name)
+
+
 @query
 def compact_partitions(spark, sf):
     out = fresh_path(spark, "compacted")
@@ -177,6 +194,11 @@ def latest_per_robot(spark, sf):
     return ts.latest_per_robot(A.telemetry(spark, sf))
 
 
+@query
+def sort_by_robot(spark, sf):
+    return ts.sort_by_robot(ts.latest_per_robot(A.telemetry(spark, sf)))
+
+
 @query
 def latest_last_day(spark, sf):
     return ts.latest_per_robot(A.telemetry(spark, sf), now=A.now(), max_age="1 DAY").select("site_id", "robot_id", "seq", "ts")
@@ -491,12 +513,23 @@ def _sample_stream(spark, sf) -> DataFrame:
     return ingest.accepted_samples(raw, A.now())
 
 
-@query
-def stream_ingest(spark, sf):
+def _ingested(spark, sf) -> str:
     uploads = A.sample_batches(spark, sf).select("batch_id", "body", "received_at")
     source = spark.readStream.schema(uploads.schema).parquet(store(uploads, "uploads"))
     path, checkpoint = sinks.scratch(spark, "stream-ingest")
     st.stream_ingest(source, f"{path}/accepted", f"{path}/rejected", checkpoint)
+    return path
+
+
+@query
+def stream_ingest_latest(spark, sf):
+    """From JSON uploads through the streamed table to the latest samples; all times differ, so `seq` decides nothing."""
+    return ts.latest_per_robot(tables.read_telemetry(spark, f"{_ingested(spark, sf)}/accepted")).drop("seq", "ts_date")
+
+
+@query
+def stream_ingest(spark, sf):
+    path = _ingested(spark, sf)
     good = spark.read.parquet(f"{path}/accepted").withColumn("reason", F.lit(None).cast("string"))
     bad = spark.read.parquet(f"{path}/rejected")
     return good.select("batch_id", "index", "reason").unionByName(bad.select("batch_id", "index", "reason"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundswell import schema as S
 from groundswell.functions.columns import parse_rfc3339
+from groundswell.plans.shared import materialize
 
 FIELDS = S.TEXT_FIELDS + S.NUMERIC_FIELDS
+UPLOAD_SLOTS = 1 << 13  # numbers set aside for the samples of one upload; S.MAX_BATCH is less
 _MISQUOTED = (
     '"(?:' + "|".join(S.NUMERIC_FIELDS) + r')"\s*:\s*"'
     + '|"(?:' + "|".join(S.TEXT_FIELDS) + r')"\s*:\s*[^"\sn]'
@@ -83,18 +85,44 @@ def batch_status(batches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return _decode(batches).select("batch_id", "status", n.cast("long").alias("samples"), *keep)
 
 
-def parse_batches(batches: DataFrame) -> DataFrame:
-    """The samples of the readable uploads: `batch_id, received_at, index` and the sample's columns."""
-    return uploaded_rows(batches).where(F.col("status") == "ok").drop("status")
+def with_arrival(uploads: DataFrame) -> DataFrame:
+    """Add `arrival`: an upload's place, from 0, in the order of `(received_at, batch_id)`.
+
+    The uploads' keys are cut into ranges, each numbered on its own and shifted by
+    the sizes of those before it; one row per range meets in one task.  Uploads of
+    the same id and time have one number.
+    """
+    keys = uploads.select(F.col("received_at").alias("_at"), F.col("batch_id").alias("_id")).distinct()
+    dealt = keys.repartitionByRange("_at", "_id").withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "arrivals")  # the cuts are sampled, so they must not be drawn again
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_at", "_id")) - 1
+    numbers = dealt.withColumn("_place", place).join(offsets, "_range").select("_at", "_id", (F.col("_before") + F.col("_place")).alias("arrival"))
+    same = F.col("received_at").eqNullSafe(F.col("_at")) & F.col("batch_id").eqNullSafe(F.col("_id"))
+    return uploads.join(numbers, same).drop("_at", "_id")
+
+
+def sequenced_rows(uploads: DataFrame) -> DataFrame:
+    """`parse_batches` with `seq`, which follows the order of arrival and then that inside an upload."""
+    rows = parse_batches(with_arrival(uploads), keep=["arrival"])
+    return rows.withColumn("seq", F.col("arrival") * UPLOAD_SLOTS + F.col("index")).drop("arrival")
+
+
+def parse_batches(batches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The samples of the readable uploads: `batch_id, received_at, index`, the sample's columns and the upload's columns `keep`."""
+    return uploaded_rows(batches, keep).where(F.col("status") == "ok").drop("status")
 
 
-def uploaded_rows(batches: DataFrame) -> DataFrame:
+def uploaded_rows(batches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """`status`, and the columns of `parse_batches`; an upload that is not ok is one row without an index."""
     elements = F.when(F.col("status") == "ok", F.col("_elements"))
-    rows = _decode(batches).select("batch_id", "received_at", "status", F.posexplode_outer(elements).alias("index", "v"))
+    rows = _decode(batches).select("batch_id", "received_at", *keep, "status", F.posexplode_outer(elements).alias("index", "v"))
     return rows.select(
         "batch_id",
         "received_at",
+        *keep,
         "status",
         F.col("index").cast("long").alias("index"),
         "v.ts",

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundswell import schema as S
-from groundswell.operators.ingest import validate_samples
+from groundswell.operators.ingest import accepted_samples, validate_samples
 from groundswell.operators.timeseries import series_range, site_feed
+from groundswell.sources.batches import sequenced_rows
 
 COLUMNS = [f.name for f in S.TELEMETRY.fields]
 
@@ -21,9 +22,15 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
     days.hint("rebalance", "ts_date").write.mode(mode).partitionBy("ts_date").parquet(path)
 
 
+def store_uploads(uploads: DataFrame, now, path: str, mode: str = "append") -> None:
+    """Decode, validate and append; `seq` counts from 0 in every call, so a table is filled by one call or by the stream."""
+    write_telemetry(accepted_samples(sequenced_rows(uploads), now), path, mode)
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
+    """The table, whether `write_telemetry` or `stream_ingest` has written it."""
     day = T.StructField("ts_date", T.DateType())
-    return spark.read.schema(T.StructType([*S.TELEMETRY.fields, day])).parquet(path)
+    return spark.read.schema(T.StructType([*S.TELEMETRY.fields, day])).parquet(path).select(*COLUMNS, "ts_date")
 
 
 def telemetry_scan(

@@ -14,22 +14,30 @@ from groundswell import schema as S
 from groundswell.functions.columns import cell
 from groundswell.operators.ingest import validate_samples
 from groundswell.plans.shared import ship_package
-from groundswell.sources.batches import parse_batches
+from groundswell.sources.batches import sequenced_rows
 from groundswell.streaming.sinks import run_epochs
 
 
+EPOCH_SLOTS = 1 << 40  # numbers set aside for one epoch: 2**27 uploads
+
+
 def stream_ingest(uploads: DataFrame, accepted_path: str, quarantine_path: str, checkpoint: str) -> None:
     """Parse, validate, append and quarantine; `received_at` is the clock, so a replay gives the same rows.
 
-    Both sinks own one folder per epoch and overwrite it on a retry.  The feed
-    follows the accepted table, so it never shows what was not stored.
+    The accepted table is cut by day and epoch and is read by `read_telemetry`.
+    Both sinks own one folder per epoch (and day) and overwrite it on a retry.  The
+    feed follows the accepted table, so it never shows what was not stored.  `seq`
+    follows the epochs and, inside one, the order of arrival.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        checked = validate_samples(parse_batches(batch), F.col("received_at")).persist()
+        rows = sequenced_rows(batch).withColumn("seq", F.col("seq") + F.lit(epoch * EPOCH_SLOTS))
+        checked = validate_samples(rows, F.col("received_at")).persist()
         good = checked.where("valid").drop("valid", "reason", "error")
         bad = checked.where(~F.col("valid")).select("batch_id", "index", "reason", "error")
-        good.write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch}")
+        good = good.withColumns({"ts_date": F.to_date("ts"), "epoch": F.lit(epoch)}).hint("rebalance", "ts_date")
+        only_own = good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        only_own.partitionBy("ts_date", "epoch").parquet(accepted_path)
         bad.write.mode("overwrite").parquet(f"{quarantine_path}/epoch={epoch}")
         checked.unpersist()
 

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import json
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import utc
@@ -110,6 +110,18 @@ def test_responses(uploads):
     assert [x["index"] for x in got["mixed"].rejected] == [1]
 
 
+def test_arrival_numbers_are_dense_and_ordered(spark):
+    late, early = datetime(2026, 1, 2), datetime(2026, 1, 1)
+    rows = [(f"b{i:03d}", body(sample(), sample()), late if i % 3 == 0 else early) for i in range(200)] + [(None, "{}", None)]
+    df = spark.createDataFrame(rows, "batch_id string, body string, received_at timestamp").repartition(7)
+    numbered = {r.arrival: r.batch_id for r in B.with_arrival(df).collect()}
+    want = [None] + [n for n, _, at in sorted(rows[:-1], key=lambda r: (r[2], r[0]))]
+    assert numbered == dict(enumerate(want))
+    seqs = [r.seq for r in B.sequenced_rows(df).orderBy("received_at", "batch_id", "index").collect()]
+    assert seqs == sorted(seqs) and len(set(seqs)) == 400
+    assert B.with_arrival(df.limit(0)).count() == 0
+
+
 def test_counters(uploads):
     counted = ingest.ingest_counters(B.uploaded_rows(uploads), F.lit(NOW))
     malformed = sum(s == "malformed" for _, s, _, _ in BODIES.values())

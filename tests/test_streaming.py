@@ -9,9 +9,12 @@ from conftest import SMALL
 from test_commands import log, random_log
 from test_timeseries import frame, per_robot, random_rows
 
+from groundswell.operators import ingest
 from groundswell.operators import timeseries as ts
 from groundswell.plans.shared import store
 from groundswell.sources import adapters as A
+from groundswell.sources import batches as B
+from groundswell.sources import tables
 from groundswell.streaming import commands as sc
 from groundswell.streaming import sinks
 from groundswell.streaming import telemetry as st
@@ -120,6 +123,19 @@ def test_ingest_equals_batch(spark, tmp_path):
     assert (spark.read.parquet(good).count(), spark.read.parquet(bad).count()) == first
 
 
+def test_ingested_table_is_a_telemetry_table(spark, tmp_path):
+    uploads = A.sample_batches(spark, SMALL).select("batch_id", "body", "received_at")
+    source = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 1).parquet(store(uploads.repartition(3), "uploads"))
+    good = str(tmp_path / "good")
+    st.stream_ingest(source, good, str(tmp_path / "bad"), str(tmp_path / "cp"))
+    table = tables.read_telemetry(spark, good)
+    assert table.columns == [*tables.COLUMNS, "ts_date"]
+    n = table.count()
+    assert n > 0 and table.select("seq").distinct().count() == n
+    want = ingest.accepted_samples(B.parse_batches(uploads), A.now()).select(*[c for c in tables.COLUMNS if c != "seq"])
+    assert sorted(map(tuple, table.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_requests_behind_the_watermark_are_applied(spark, tmp_path):
     """Three batches: another robot runs ahead, then an e-stop from before that, then a poll."""
     blank = dict.fromkeys(("command_id", "type", "flow_lpm", "actor", "ack_status", "ack_reason"))

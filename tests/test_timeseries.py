@@ -188,3 +188,8 @@ def test_series_over_two_years_and_limits_of_a_request(spark):
     with pytest.raises(ValueError, match="31 days"):
         ts.requested_series(df, T0, T0, T0 + timedelta(days=800), "1h")
     assert ts.requested_series(df, T0 + timedelta(minutes=1)).count() == 1
+
+
+def test_robots_are_listed_by_name(spark):
+    df = spark.createDataFrame([("r2", "s1"), ("r10", "s1"), ("r1", "s2"), ("r1", "s1")], "robot_id string, site_id string")
+    assert [tuple(r) for r in ts.sort_by_robot(df).collect()] == [("r1", "s1"), ("r1", "s2"), ("r10", "s1"), ("r2", "s1")]
