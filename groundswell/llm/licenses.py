@@ -2,7 +2,9 @@
 
 Templates are licence notices and short phrases with a label; some of their phrases are
 mandatory.  Word frequencies come from all documents.  Every template is indexed under its
-rarest words (highest IDF): word -> (template, position).  A text's licence words are looked up in order;
+rarest positions (highest IDF): word -> (template, position).  A notice may lack a fifth of its words, so it
+is indexed under one position more than it may lack: every text that passes holds one of them in place.
+A text's licence words are looked up in order;
 each match fixes the template's place in the text by the difference of positions, and
 places that several words agree on are visited once.  There the template's words are
 compared one by one, and the mandatory phrases are searched in the stretch.
@@ -74,11 +76,16 @@ NOTICES = (
     Notice("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0", "public domain dedication")),
     Notice("cc-by-nc", "creative commons attribution noncommercial", ("creative commons attribution noncommercial",)),
 )
-ANCHORS, LEAST_SHARE = 3, 0.8
+LEAST_SHARE = 0.8
+
+
+def anchors(n_words: int) -> int:
+    """One more than the words that a notice of `n_words` may lack."""
+    return 1 + sum(k / n_words >= LEAST_SHARE for k in range(n_words))
 
 
 class Index:
-    """Postings of the templates' rarest words."""
+    """Postings of the templates' rarest positions."""
 
     def __init__(self, phrases, notices, frequency: dict[bytes, int], documents: int):
         self.templates = [(label, tuple(word_list(p.encode())), (), True) for p, label in phrases]
@@ -86,10 +93,9 @@ class Index:
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for number, (_, words, _, phrase) in enumerate(self.templates):
             idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in words}
-            rarest = sorted(idf, key=lambda w: (-idf[w], w))[: 1 if phrase else ANCHORS]
-            for position, word in enumerate(words):
-                if word in rarest:
-                    self.postings[word].append((number, position))
+            rarest = sorted(range(len(words)), key=lambda i: (-idf[words[i]], words[i], i))
+            for position in rarest[: 1 if phrase else anchors(len(words))]:
+                self.postings[words[position]].append((number, position))
         self.postings = dict(self.postings)
 
     @staticmethod

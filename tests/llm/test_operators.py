@@ -95,6 +95,34 @@ def test_notices_need_their_mandatory_phrase(spark):
     assert (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"], got[3]["base_labels"]) == (3, 0, 7, "cc-by-nc,mit")
 
 
+def brute_labels(text):
+    w = plain_words(text)
+    out = {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {' '.join(w)} "}
+    for n in licenses.NOTICES:
+        template = plain_words(n.text)
+        for start in range(-len(template), len(w)):
+            stretch = w[max(0, start) : max(0, start + len(template))]
+            same = sum(0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(template))
+            if same / len(template) >= 0.8 and all(f" {m} " in f" {' '.join(stretch)} " for m in n.mandatory):
+                out.add(n.label)
+    return ",".join(sorted(out))
+
+
+def test_reworded_notices_are_found_wherever_the_rare_words_went(spark):
+    reworded = "permission is hereby granted free of charge to any person acquiring a copy of this software and related manual files"
+    rows = [reworded] * 5 + ["some other words"] * 10
+    for n in licenses.NOTICES:
+        w = plain_words(n.text)
+        for first in range(len(w)):
+            for lost in range(1, len(w) // 5 + 2):
+                rows.append(" ".join(["x y"] + ["other" if 0 <= i - first < lost else x for i, x in enumerate(w)]))
+        rows.append(" ".join(w[len(w) // 5 :]))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found, name = licenses.scan_licenses(df)
+    got = {r["doc_id"]: r[name]["labels"] for r in found.collect()}
+    assert got[0] == "mit" and got == {i: brute_labels(t) for i, t in enumerate(rows)}
+
+
 def test_language(spark, docs, empty):
     df = spark.createDataFrame([(i, t * 20, l) for i in range(60) for t, l in (("the cat sat on that mat ", "en"), ("une école à côté ", "fr"))], "doc_id long, text string, lang string")
     net = language.fit(df)
