@@ -14,7 +14,9 @@ alphabet of their inferred encoding (hexadecimal, base32, base36, base62, base64
 
 The text p-values of all candidates of the corpus go through Benjamini and
 Hochberg's procedure, apart for each length class, on a histogram of fixed bins
-(rounded against discovery).  Accepted tokens that touch no base span are spans of kind `random`.
+(rounded against discovery).  Accepted tokens are spans of kind `random`, unless base spans hold all of them.
+A token that base spans hold in part is judged whole, and so is what they leave of it; accepted pieces count
+where the whole is not accepted, so a key does not hide the secret that is glued to it.
 
 Places are code points.  Texts are read once; per document only spans and
 candidates are kept, and the histogram is summed per task, so nothing is skewed.
@@ -94,6 +96,38 @@ def _candidates(text: Column) -> Column:
     return F.filter(found(text, CANDIDATE), lambda m: m["word"].rlike("[0-9]") & m["word"].rlike("[A-Za-z]"))
 
 
+def _uncovered(token: Column, base: Column) -> Column:
+    """The word of the token, with spaces for what base spans hold of it."""
+
+    def blank(word: Column, s: Column) -> Column:
+        at = F.greatest(s["start"], token["start"]) - token["start"]
+        n = F.least(s["end"], token["end"]) - token["start"] - at
+        return F.overlay(word, F.repeat(F.lit(" "), n.cast("int")), (at + 1).cast("int"), n.cast("int"))
+
+    return F.aggregate(F.filter(base, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"])), token["word"], blank)
+
+
+def _wholes(tokens: Column) -> Column:
+    """What is judged, of `(m, rest)`: each token, at its own place in the array."""
+    return F.transform(
+        tokens,
+        lambda t: F.struct(t["m"]["word"].alias("word"), t["m"]["start"].alias("start"), t["m"]["end"].alias("end"), F.lit(None).cast("int").alias("of"), (F.trim(t["rest"]) == "").alias("covered")),
+    )
+
+
+def _pieces(tokens: Column) -> Column:
+    """What is judged, of `(m, rest)`: pieces that base spans leave, with the place `of` their token."""
+
+    def pieces(t: Column, i: Column) -> Column:
+        at = t["m"]["start"]
+        return F.transform(
+            F.when(t["rest"] != t["m"]["word"], _candidates(t["rest"])).otherwise(F.array().cast("array<struct<word:string,start:bigint,end:bigint>>")),
+            lambda p: F.struct(p["word"].alias("word"), (at + p["start"]).alias("start"), (at + p["end"]).alias("end"), i.alias("of"), F.lit(False).alias("covered")),
+        )
+
+    return F.flatten(F.transform(tokens, pieces))
+
+
 def _battery(word: Column, concentration: float) -> Column:
     """struct(random: passes the battery, p: probability that text looks as random)."""
     bare = F.regexp_replace(F.regexp_replace(F.translate(word, "-_", "+/"), "=+$", ""), "=", "/")
@@ -183,10 +217,17 @@ def with_secrets(docs: DataFrame, text: str = "text", keep=None) -> tuple[DataFr
     def judged(m: Column) -> Column:
         return let(
             _battery(m["word"], kappa),
-            lambda t: F.struct(m["start"].alias("start"), m["end"].alias("end"), t["random"].alias("random"), _length_class(t["n"]).alias("cls"), _bin(t["p"]).alias("bin")),
+            lambda t: F.struct(
+                *[m[c].alias(c) for c in ("start", "end", "of", "covered")], t["random"].alias("random"), _length_class(t["n"]).alias("cls"), _bin(t["p"]).alias("bin")
+            ),
         )
 
-    rows = materialize(docs.select(*kept, base_spans(value).alias(base), F.transform(_candidates(value), judged).alias(tokens)), "secrets")
+    # One step for each depth of lambdas, which the analyzer bounds.
+    rows = docs.select(*kept, base_spans(value).alias(base), _candidates(value).alias(tokens))
+    rest = F.transform(F.col(tokens), lambda m: F.struct(m.alias("m"), _uncovered(m, F.col(base)).alias("rest")))
+    rows = rows.select(*kept, base, rest.alias(tokens))
+    rows = rows.select(*kept, base, F.concat(_wholes(F.col(tokens)), _pieces(F.col(tokens))).alias(tokens))
+    rows = materialize(rows.select(*kept, base, F.transform(F.col(tokens), judged).alias(tokens)), "secrets")
     histogram = (
         rows.select(F.explode(tokens).alias("c"))
         .groupBy("c.cls", F.when(F.col("c.random"), F.col("c.bin")).otherwise(0).alias("bin"))
@@ -194,12 +235,8 @@ def with_secrets(docs: DataFrame, text: str = "text", keep=None) -> tuple[DataFr
         .collect()  # at most classes x bins rows
     )
     cut = least_bins([(r["cls"], r["bin"], r["count"]) for r in histogram])
-    accepted = F.filter(
-        F.col(tokens),
-        lambda c: c["random"]
-        & _at_least(c, cut)
-        & ~F.exists(F.col(base), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])),
-    )
+    passes = lambda c: c["random"] & _at_least(c, cut)
+    accepted = F.filter(F.col(tokens), lambda c: passes(c) & ~c["covered"] & (c["of"].isNull() | ~passes(F.get(F.col(tokens), c["of"]))))
     everything = F.sort_array(F.concat(F.col(base), F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))))
     return rows.select(*kept, base, everything.alias(spans)), base, spans
 
