@@ -1,0 +1,106 @@
+"""Near-duplicates by word shingles: Jaccard similarity of at least LEAST of the sets of five words in a row.
+
+Candidates come from min-hashes: a text's least hash under PERMUTATIONS = BANDS x ROWS orders,
+ROWS of them in one key.  Texts of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS: at
+s = 0.8 one pair in 20,000 is missed (by that formula), above it fewer.  Every candidate is
+confirmed with the full sets, so nothing goes for a guess, and confirmed pairs are joined to groups.
+
+Words are runs of letters, digits and non-ASCII characters in lower case.  A text of fewer words is one
+shingle; a null text or one without words is similar to none.
+
+Equal and nearly equal texts should be gone before (`simhash.one_per_group`): the pairs of
+a key are made one by one, so many similar texts cost the square of their number.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from groundswell.llm.frames import annotate, encoded, slices
+from groundswell.llm.simhash import components
+from groundswell.llm.words import Words, mix
+from groundswell.plans.shared import materialize
+
+SHINGLE, BANDS, ROWS, SEED = 5, 25, 5, 42
+LEAST = (4, 5)  # similarity 0.8 as a fraction
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of each text's shingles, in order and with repeats."""
+    words = Words(texts)
+    by_length = {k: words.shingles(k) for k in range(1, SHINGLE + 1)}
+    out = []
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        k = min(SHINGLE, b - a)
+        out.append(by_length[k][a : b - k + 1] if k else np.empty(0, np.uint64))
+    return out
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BANDS keys for each set; sets must not be empty."""
+    if not sets:
+        return np.empty((0, BANDS), np.int64)
+    hashes = np.concatenate(sets)
+    starts = np.cumsum([0] + [len(s) for s in sets])[:-1]
+    rng = np.random.default_rng(SEED)
+    keys = np.empty((len(sets), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band, np.uint64)
+        for _ in range(ROWS):
+            flip, factor = rng.integers(0, 1 << 64, 2, np.uint64)
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat((hashes ^ flip) * (factor | np.uint64(1)), starts))
+        keys[:, band] = key
+    return keys.view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def candidates(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Distinct pairs `(a, b)`, a < b, of ids that share a key."""
+
+    def make():
+        def work(texts):
+            sets = shingle_sets(encoded(texts))
+            keys = band_keys([s for s in sets if len(s)])
+            offsets = np.cumsum([0] + [BANDS * (len(s) > 0) for s in sets])
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))]
+
+        return work
+
+    slim = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    keyed = annotate(slim, "text", [T.StructField("keys", T.ArrayType(T.LongType()))], make, ["id"])
+    rows = materialize(keyed.select("id", F.explode("keys").alias("key")), "band-keys")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rows = materialize(rows.join(shared, "key"), "shared-keys")
+    pairs = rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "key").where("a < b")
+    return pairs.select("a", "b").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The pairs whose texts are similar."""
+    side = lambda name: docs.select(F.col(id).alias(name), F.col(text).alias(f"{name}_text"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                left, right = (shingle_sets(encoded(part.column(i))) for i in (2, 3))
+                yield part.select([0, 1]).filter(pa.array([similar(x, y) for x, y in zip(left, right)], pa.bool_()))
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["a"], rows.schema["b"]]))
+
+
+def one_of_similar(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest id of every group of similar texts. Ids must be unique; rows without an id stay."""
+    named = docs.where(F.col(id).isNotNull())
+    links = confirmed(materialize(candidates(named, id, text), "similar-pairs"), named, id, text)
+    gone = components(links).where("node <> label").select(F.col("node").alias(id))
+    return docs.join(gone, id, "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, simhash, tokens, urls
+from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, similar, simhash, tokens, urls
 from groundswell.llm.pieces import Vocabulary
 from groundswell.llm.queries import tokenizer_path
 
@@ -247,6 +247,28 @@ def test_simhash(docs, empty, shard_rows):
     assert simhash.one_per_group(empty).count() == 0
 
 
+def test_pipeline_stage_drops_documents_that_share_four_fifths_of_their_shingles(spark, docs, empty):
+    import random
+
+    import corpus_pipeline
+
+    rng, rows = random.Random(3), [(1000, None), (1001, ""), (None, "no id"), (1002, "two words"), (1003, "Two, words!")]
+    for i in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        for copy, edits in enumerate((0, 1 + i % 4, 8)):  # similarity 0.95 to 0.82, and 0.67
+            rows.append((10 * i + copy, " ".join("new" + w if copy and j % 24 == 10 and j < 24 * edits else w for j, w in enumerate(base))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := plain_words(t))}
+    share = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    assert all(share(10 * i, 10 * i + 1) >= 0.8 > share(10 * i, 10 * i + 2) for i in range(40))
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    near = {r["doc_id"] for r in simhash.one_per_group(df).collect()}
+    assert not any(10 * i + 1 in kept for i in range(40)) and None in kept
+    gone = {a for a in near & set(grams) for b in near & set(grams) if b is not None and a is not None and b < a and share(a, b) >= 0.8}
+    assert sorted(x for x in kept if x is not None) == sorted(x for x in near - gone if x is not None)
+    assert similar.one_of_similar(empty).columns == empty.columns and similar.one_of_similar(empty).count() == 0
+
+
 @pytest.mark.parametrize("text", ["", "tiny", "naïve  ▁ text", "Wort " * 300, "ohneleerzeichen" * 40, None])
 def test_tokens_of_long_texts_in_chunks(spark, text):
     vocabulary = Vocabulary.load(tokenizer_path())
