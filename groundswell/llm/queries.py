@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL."""
+"""The registered queries of the dealt operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, simhash, tokens, urls
+from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, simhash, tokens, toxicity, urls
 from groundswell.llm.pieces import Vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,12 @@ def op8_sentencepiece(spark, sf):
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("exact"),
     )
+
+
+@query
+def op13_toxicity(spark, sf):
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, labels.where(~held_out))
+    rows, score, predicted = toxicity.toxicity(docs, model, keep=["doc_id"])
+    return rows.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), F.col(predicted).alias("predicted"))
