@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, simhash, tokens, toxicity, urls
+from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, simhash, tokens, toxicity, turns, urls
 from groundswell.llm.pieces import Vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,45 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
+ORACLE["op12_conversation_repair"] = r"""
+WITH RECURSIVE
+r0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+r1 AS (SELECT *, xor(list_reduce(list_transform(range(0, 8 * length(k)), lambda b: CASE WHEN b % 8 = 0 THEN ascii(k[b // 8 + 1]) ELSE 0 END::BIGINT),
+                                 lambda c, v: xor(xor(c, v) >> 1, (xor(c, v) & 1) * 3988292384), 4294967295), 4294967295) % 20 AS side FROM r0),
+r2 AS (SELECT conv_id, turn, CASE side WHEN 4 THEN 'user' ELSE role END AS role, CASE side WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS text,
+              unnest(range(CASE side WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM r1 WHERE side <> 0),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+              row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, dense_rank() OVER (ORDER BY conv_id) AS c FROM r2),
+r4 AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before,
+              CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
+                   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM r3),
+ins(state, n, pos, edits, said) AS (VALUES (0, 0, 0, '', ''), (0, 1, 2, 'I', 'u'), (0, 2, 3, 'II', 'ua'), (1, 0, 1, '', ''), (1, 1, 2, 'I', 'u'), (1, 2, 3, 'II', 'ua'),
+  (2, 0, 2, '', ''), (2, 1, 3, 'I', 'a'), (2, 2, 2, 'II', 'au'), (3, 0, 3, '', ''), (3, 1, 2, 'I', 'u'), (3, 2, 3, 'II', 'ua')),
+turned(pos, next, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+added AS (SELECT state, n, pos, edits, replace(replace(said, 'a', 'assistant:' || chr(10)), 'u', 'user:' || chr(10)) AS said FROM ins),
+dp(c, i, state, v) AS (
+  SELECT DISTINCT c, 0::BIGINT, 0, {'cost': 0, 'audit': '', 'said': ''} FROM r3
+  UNION ALL
+  SELECT c, i, state, min(v) FROM (
+    SELECT dp.c, r4.i, e.state, {'cost': dp.v.cost + 2 * added.n + e.cost, 'audit': dp.v.audit || added.edits || e.edit, 'said': dp.v.said || added.said || e.said} AS v
+    FROM dp JOIN r4 ON dp.c = r4.c AND r4.i = dp.i + 1 JOIN added ON added.state = dp.state JOIN turned ON turned.pos = added.pos,
+    LATERAL (SELECT unnest([{'edit': 'D', 'state': added.pos, 'cost': 3, 'said': '', 'ok': true},
+      {'edit': 'R', 'state': turned.next, 'cost': 2 + (fault = 3)::INT, 'said': turned.role || ':' || text || chr(10), 'ok': fault NOT IN (1, 2)},
+      {'edit': 'K', 'state': CASE WHEN initial = 's' THEN 1 ELSE turned.next END, 'cost': (fault = 3)::INT, 'said': r4.role || ':' || text || chr(10),
+       'ok': fault NOT IN (1, 2) AND ((initial = 's' AND added.pos = 0) OR initial = left(turned.role, 1))}]) AS x),
+    LATERAL (SELECT x.edit AS edit, x.state AS state, x.cost AS cost, x.said AS said) AS e WHERE x.ok)
+  GROUP BY c, i, state),
+ends AS (SELECT dp.c, min({'cost': dp.v.cost + 2 * n, 'audit': dp.v.audit || edits, 'said': dp.v.said || added.said}) AS v
+         FROM dp JOIN (SELECT c, max(i) AS i FROM r3 GROUP BY c) AS last ON dp.c = last.c AND dp.i = last.i JOIN added ON added.state = dp.state AND added.pos IN (0, 3)
+         GROUP BY dp.c),
+counts AS (SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+                  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+                  count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r4 GROUP BY c)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v.cost, 0)::BIGINT AS cost, coalesce(v.audit, '') AS audit,
+       sha256(coalesce(v.said[1:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN ends ON ends.c = counts.c
+"""
 
 
 def query(f):
@@ -188,3 +227,13 @@ def op13_toxicity(spark, sf):
     model = toxicity.fit(docs, labels.where(~held_out))
     rows, score, predicted = toxicity.toxicity(docs, model, keep=["doc_id"])
     return rows.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), F.col(predicted).alias("predicted"))
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    done = turns.audits(turns.damaged(rows)).withColumnRenamed("conv_id", "_id")
+    every = rows.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), digest)
