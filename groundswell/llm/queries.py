@@ -72,8 +72,8 @@ r1 AS (SELECT *, xor(list_reduce(list_transform(range(0, 8 * length(k)), lambda
                                  lambda c, v: xor(xor(c, v) >> 1, (xor(c, v) & 1) * 3988292384), 4294967295), 4294967295) % 20 AS side FROM r0),
 r2 AS (SELECT conv_id, turn, CASE side WHEN 4 THEN 'user' ELSE role END AS role, CASE side WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS text,
               unnest(range(CASE side WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM r1 WHERE side <> 0),
-r3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-              row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, dense_rank() OVER (ORDER BY conv_id) AS c FROM r2),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS seen
+       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, dense_rank() OVER (ORDER BY conv_id) AS c FROM r2)),
 r4 AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before,
               CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM r3),
