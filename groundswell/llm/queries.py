@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, simhash, tokens, toxicity, turns, urls
+from groundswell.llm import chat, decontamination, language, licenses, negatives, quality, repeats, secrets, simhash, tokens, toxicity, turns, urls
 from groundswell.llm.pieces import Vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,18 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
+ORACLE["op11_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT a.vec_id AS anchor_id, a.label, b.vec_id, b.label AS other, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v AS a, v AS b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, label FROM a WHERE label = other
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN a ON a.anchor_id = p.anchor_id AND a.other <> p.label AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
 ORACLE["op12_conversation_repair"] = r"""
 WITH RECURSIVE
 r0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
@@ -229,6 +241,12 @@ def op13_toxicity(spark, sf):
     return rows.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), F.col(predicted).alias("predicted"))
 
 
+@query
+def op11_hard_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 @query
 def op12_conversation_repair(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
