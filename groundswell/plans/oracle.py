@@ -379,6 +379,11 @@ FROM uploads u LEFT JOIN (
         "(SELECT unnest(['1', '4', '16', '64', '256', '1024', '4096', 'inf']::DOUBLE[]) AS le) GROUP BY le",
         "store_uploads": f"""SELECT arrival * 8192 + "index" AS seq, {_SAMPLE}, ts::DATE AS ts_date FROM uploaded
   JOIN (SELECT batch_id, row_number() OVER (ORDER BY batch_id) - 1 AS arrival FROM uploads) USING (batch_id) WHERE reason IS NULL""",
+        "stream_site_feed_handover": """
+SELECT 'seed' AS part, site_id, robot_id, ts, state, surface_uplift_mm FROM uploaded WHERE reason IS NULL AND site_id = 'site-1' AND batch_id % 2 = 0
+QUALIFY row_number() OVER (PARTITION BY robot_id ORDER BY ts DESC) = 1
+UNION ALL
+SELECT 'follow', site_id, robot_id, ts, state, surface_uplift_mm FROM uploaded WHERE reason IS NULL AND site_id = 'site-1' AND batch_id % 2 <> 0""",
         "stream_ingest": 'SELECT batch_id, "index", reason FROM uploaded',
         "stream_ingest_latest": f"SELECT {_SAMPLE} FROM uploaded WHERE reason IS NULL "
         "QUALIFY row_number() OVER (PARTITION BY site_id, robot_id ORDER BY ts DESC) = 1",

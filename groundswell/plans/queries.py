@@ -543,6 +543,21 @@ def stream_site_feed(spark, sf):
     return spark.read.schema(feed.schema).parquet(path)
 
 
+@query
+def stream_site_feed_handover(spark, sf):
+    """Half of the uploads are stored before the feed begins and half after; what the viewer is shown, by its two halves."""
+    uploads = A.sample_batches(spark, sf)
+    path = fresh_path(spark, "telemetry")
+    tables.store_uploads(uploads.where("batch_id % 2 = 0"), A.now(), path)
+    feed = st.site_feed(spark, path, SITE)
+    seed = materialize(feed.seed, "feed-seed")
+    tables.store_uploads(uploads.where("batch_id % 2 <> 0"), A.now(), path)
+    out, checkpoint = sinks.scratch(spark, "feed-follow")
+    sinks.run_to_table(feed.follow, out, checkpoint)
+    shown = seed.withColumn("part", F.lit("seed")).unionByName(spark.read.schema(feed.follow.schema).parquet(out).withColumn("part", F.lit("follow")))
+    return shown.select("part", "site_id", "robot_id", "ts", "state", "surface_uplift_mm")
+
+
 def _epochs(spark, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     path, checkpoint = sinks.scratch(spark, name)
     sinks.run_epochs(stream, sinks.epoch_writer(path), checkpoint)

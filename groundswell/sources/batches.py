@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from groundswell import schema as S
 from groundswell.functions.columns import parse_rfc3339
 from groundswell.plans.shared import materialize
+from groundswell.sources.ledger import Claim, Ledger
 
 FIELDS = S.TEXT_FIELDS + S.NUMERIC_FIELDS
 UPLOAD_SLOTS = 1 << 13  # numbers set aside for the samples of one upload; S.MAX_BATCH is less
@@ -86,7 +87,12 @@ def batch_status(batches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def with_arrival(uploads: DataFrame) -> DataFrame:
-    """Add `arrival`: an upload's place, from 0, in the order of `(received_at, batch_id)`.
+    """Add `arrival`: an upload's place, from 0, in the order of `(received_at, batch_id)`."""
+    return numbered_arrivals(uploads)[0]
+
+
+def numbered_arrivals(uploads: DataFrame) -> tuple[DataFrame, int]:
+    """`with_arrival` and the number of places.
 
     The uploads' keys are cut into ranges, each numbered on its own and shifted by
     the sizes of those before it; one row per range meets in one task.  Uploads of
@@ -101,13 +107,24 @@ def with_arrival(uploads: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("_range").orderBy("_at", "_id")) - 1
     numbers = dealt.withColumn("_place", place).join(offsets, "_range").select("_at", "_id", (F.col("_before") + F.col("_place")).alias("arrival"))
     same = F.col("received_at").eqNullSafe(F.col("_at")) & F.col("batch_id").eqNullSafe(F.col("_id"))
-    return uploads.join(numbers, same).drop("_at", "_id")
+    return uploads.join(numbers, same).drop("_at", "_id"), dealt.count()
+
+
+def sequenced_rows(uploads: DataFrame, first: int = 0) -> DataFrame:
+    """`parse_batches` with `seq`, which counts from `first` in the order of arrival and then that inside an upload."""
+    return _sequenced(with_arrival(uploads), first)
+
+
+def _sequenced(arrived: DataFrame, first: int) -> DataFrame:
+    rows = parse_batches(arrived, keep=["arrival"])
+    return rows.withColumn("seq", F.col("arrival") * UPLOAD_SLOTS + F.col("index") + F.lit(first).cast("long")).drop("arrival")
 
 
-def sequenced_rows(uploads: DataFrame) -> DataFrame:
-    """`parse_batches` with `seq`, which follows the order of arrival and then that inside an upload."""
-    rows = parse_batches(with_arrival(uploads), keep=["arrival"])
-    return rows.withColumn("seq", F.col("arrival") * UPLOAD_SLOTS + F.col("index")).drop("arrival")
+def claimed_rows(uploads: DataFrame, ledger: Ledger, owner: str, epoch: int | None = None) -> tuple[DataFrame, Claim]:
+    """`sequenced_rows` under numbers of the table's ledger; the claim is to be committed when the rows are stored."""
+    arrived, n = numbered_arrivals(uploads)
+    claim = ledger.claim(n * UPLOAD_SLOTS, owner, epoch)
+    return _sequenced(arrived, claim.first), claim
 
 
 def parse_batches(batches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 from groundswell import schema as S
 from groundswell.operators.ingest import accepted_samples, validate_samples
 from groundswell.operators.timeseries import series_range, site_feed
-from groundswell.sources.batches import sequenced_rows
+from groundswell.sources.batches import claimed_rows
+from groundswell.sources.ledger import Ledger
 
 COLUMNS = [f.name for f in S.TELEMETRY.fields]
 
@@ -22,13 +24,31 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
     days.hint("rebalance", "ts_date").write.mode(mode).partitionBy("ts_date").parquet(path)
 
 
-def store_uploads(uploads: DataFrame, now, path: str, mode: str = "append") -> None:
-    """Decode, validate and append; `seq` counts from 0 in every call, so a table is filled by one call or by the stream."""
-    write_telemetry(accepted_samples(sequenced_rows(uploads), now), path, mode)
+def write_epoch(df: DataFrame, path: str, epoch: str) -> None:
+    """Append samples by day in folders of their own, one per day and `epoch`; the same epoch again replaces them."""
+    days = df.withColumns({"ts_date": F.to_date("ts"), "epoch": F.lit(epoch)}).hint("rebalance", "ts_date")
+    own = days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    own.partitionBy("ts_date", "epoch").parquet(path)
+
+
+def store_uploads(uploads: DataFrame, now, path: str) -> None:
+    """Decode, validate and append under numbers of the table's ledger: `seq` is unique, and later calls have larger ones.
+
+    Calls and `stream_ingest` may fill one table together.  A call that fails gives its numbers up; what it
+    had written stays hidden from `read_telemetry`, as Spark only shows the files of finished jobs.
+    """
+    ledger = Ledger(uploads.sparkSession, path)
+    rows, claim = claimed_rows(uploads, ledger, f"call-{uuid.uuid4().hex}")
+    try:
+        write_epoch(accepted_samples(rows, now), path, f"call-{claim.number}")
+    except Exception:
+        ledger.void(claim)
+        raise
+    ledger.commit(claim)
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """The table, whether `write_telemetry` or `stream_ingest` has written it."""
+    """The table, whether `write_telemetry`, or `store_uploads` and `stream_ingest`, have written it."""
     day = T.StructField("ts_date", T.DateType())
     return spark.read.schema(T.StructType([*S.TELEMETRY.fields, day])).parquet(path).select(*COLUMNS, "ts_date")
 
