@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundswell.llm import decontamination, quality, secrets, similar, simhash, tokens
+from groundswell.llm import decontamination, quality, secrets, simhash, tokens
 from groundswell.llm.pieces import Vocabulary
 from groundswell.llm.queries import tokenizer_path
 from groundswell.plans.shared import materialize
@@ -21,11 +21,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id.
-
-    First by the contract of op7; of what stays, by a similarity of at least 0.8 of five-word shingles.
-    """
-    return similar.one_of_similar(materialize(simhash.one_per_group(docs), "one-per-group"))
+    """One document of each group of near-duplicates stays, the one with the smallest id: four-word shingles, four bits at most."""
+    return simhash.one_per_group(docs, shingle=simhash.SHINGLE, budget=simhash.BUDGET)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
