@@ -110,13 +110,13 @@ def beta_prior(hosts: int, n: int, failures: int, squares: float) -> tuple[float
 
 def with_rules(docs: DataFrame, text: str = "text", host: str = "source", keep=None) -> tuple[DataFrame, str]:
     """`keep` (default: all columns) and a struct column, whose name is returned: the counts, base_failed, host_failed, kept."""
-    name, key = fresh(docs, "quality"), fresh(docs, "_host")
+    name, key, flag = fresh(docs, "quality"), fresh(docs, "_host"), fresh(docs, "_host_failed")
     kept = list(docs.columns if keep is None else keep)
     rows = docs.select(*kept, F.col(host).alias(key), counts(F.col(text)).alias(name))
     rows = materialize(rows, "quality-counts")
-    verdicts = host_verdicts(rows, key, fails(F.col(name))).select(F.col("host").alias(key), "host_failed")
-    judged = rows.join(verdicts.withColumnRenamed("host_failed", f"{key}_failed"), key, "left")
-    host_failed = F.coalesce(F.col(f"{key}_failed"), F.lit(False))
+    verdicts = host_verdicts(rows, key, fails(F.col(name))).select(F.col("host").alias(key), F.col("host_failed").alias(flag))
+    judged = rows.join(verdicts, key, "left")
+    host_failed = F.coalesce(F.col(flag), F.lit(False))
     c = F.col(name)
     verdict = F.struct(f"{name}.*", fails(c).alias("base_failed"), host_failed.alias("host_failed"), (~fails(c) & ~host_failed).alias("kept"))
     return judged.select(*kept, verdict.alias(name)), name
