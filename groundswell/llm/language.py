@@ -4,8 +4,8 @@ Bytes fall into classes (letters, other ASCII, UTF-8 lead and continuation bytes
 of width w adds up w learned numbers, one for the class at each of its places.
 Filters of several widths run over windows of WINDOW bytes, the maximum over the
 window is taken, and a softmax layer gives the languages.  Training is Adam on the
-cross-entropy of windows from a bounded sample of labelled texts (TRAIN_ROWS rows, about as
-many of each language, a stretch of SAMPLE_CHARS characters at a place given by a
+cross-entropy of windows from a bounded sample of labelled texts (TRAIN_ROWS rows, as
+many of each language, however many languages there are, a stretch of SAMPLE_CHARS characters at a place given by a
 hash).  A text is judged by the mean log-odds of all of its windows.
 
 The sample and the weights are all that passes through the driver, both of fixed size.
@@ -21,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundswell.llm.frames import annotate, fresh
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
-TRAIN_ROWS, SAMPLE_CHARS, MAX_LANGUAGES, EPOCHS, BATCH, LEARNING_RATE = 6_000, 400, 256, 8, 64, 0.02
+TRAIN_ROWS, SAMPLE_CHARS, EPOCHS, BATCH, LEARNING_RATE = 6_000, 400, 8, 64, 0.02
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -154,23 +154,21 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], seed
 
 
 def sample(labelled: DataFrame, id: str, text: str, label: str, train_rows: int = TRAIN_ROWS) -> list:
-    """At most `train_rows` stretches `(text, label)`, about as many of each label.
+    """At most `train_rows` stretches `(text, label)`, the same share for each label, but at least one row of each.
 
-    Rows are drawn by a hash of id and text against a share per label, which needs only the labels' counts.
+    A label's rows are those with the least hash of id and text, so no label can crowd out another.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     rows = rows.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    labels = rows.agg(F.count_distinct("label").alias("n")).first()["n"]
+    if not labels:
         return []
-    scale, each = 1 << 40, train_rows / len(counts)
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(scale))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("label") == r["label"], F.lit(min(scale, int(scale * each / r["count"])))).otherwise(share)
     place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    picked = rows.where(draw < share).select("label", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw"))
-    return picked.orderBy("draw", "label", "text").limit(train_rows).collect()
+    drawn = rows.select("label", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("id", "text").alias("draw"))
+    # Spark keeps the first rows of each label before it shuffles, so a frequent label is no hot key.
+    order = F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))
+    picked = drawn.withColumn("place", order).where(F.col("place") <= max(1, train_rows // labels))
+    return picked.orderBy("draw", "label", "text").select("label", "text").collect()
 
 
 def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", train_rows: int = TRAIN_ROWS) -> Network | None:
