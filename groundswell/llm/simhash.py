@@ -25,11 +25,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundswell.llm.frames import annotate, encoded
+from groundswell.llm.frames import annotate, encoded, fresh
 from groundswell.plans.shared import materialize, parallelism, ship_package
 
 BITS, BUDGET, SHINGLE, SEED, AGREE = 64, 4, 4, 42, 2
@@ -227,12 +227,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = small
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """`(id, _fp, component_id)` for every row: its fingerprint and the smallest id of its group.
-
-    A null id takes part in its group but is never its smallest; a group of null
-    ids alone has a null component.  Repeated rows are returned as often as they occur.
-    """
+def _grouped(docs: DataFrame, id: str, text: str, budget: int, shingle: int, shard_rows: int) -> DataFrame:
+    """`(id, fp, label, component_id)` for every row; `label` names the group, `component_id` is its smallest id."""
     slim = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = materialize(with_fingerprints(slim, "text", "fp", ["id"], shingle), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
@@ -240,20 +236,48 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", bud
     grouped = prints.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     grouped = materialize(grouped, "fingerprint-groups")
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id), F.col("fp").alias("_fp"), "component_id")
+    named = grouped.join(least, "label").select("fp", "label", "component_id")
+    return rows.join(named, "fp").select("id", "fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """`(id, _fp, component_id)` for every row: its fingerprint and the smallest id of its group.
+
+    A null id takes part in its group but is never its smallest; a group of null
+    ids alone has a null component.  Repeated rows are returned as often as they occur.
+    """
+    rows = _grouped(docs, id, text, budget, shingle, shard_rows)
+    return rows.select(F.col("id").alias(id), F.col("fp").alias("_fp"), "component_id")
 
 
 def hex64(column) -> "F.Column":
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The row with the smallest id of every group, with its own columns; of rows that repeat an id, one.
+def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of the keys: the least by its other columns, in their order."""
+    others = [c.name for c in rows.schema if c.name not in keys and not isinstance(c.dataType, (T.MapType, T.VariantType))]
+    place = fresh(rows, "_place")
+    order = Window.partitionBy(*keys).orderBy(*(others or keys))
+    return rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+
+
+def one_per_group(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
+    """The row with the smallest id of every group, with its own columns.
 
-    Rows without an id cannot be named by a group; they are kept and stand for nobody.
+    Rows that share an id but not a group stand for their groups each.  Of rows that share both, the one with the smallest
+    fingerprint stays, then the least by its columns.  Rows without an id cannot be named by a group; they are kept and stand for nobody.
     """
     named = docs.where(F.col(id).isNotNull())
-    least = near_duplicates(named, id, text, **options).select(F.col("component_id").alias(id)).distinct()
-    # The join deals both sides by id, and dropping repeated ids needs no other shuffle.
-    return named.join(least, id, "left_semi").dropDuplicates([id]).unionByName(docs.where(F.col(id).isNull()))
+    rows = materialize(_grouped(named, id, text, budget, shingle, shard_rows), "groups")
+    heads = rows.where(F.col("id") == F.col("component_id")).groupBy("label").agg(F.min(F.struct("id", "fp")).alias("head"))
+    heads = materialize(heads.select(F.col("head.id").alias(id), F.col("head.fp").alias("_head")), "heads")
+    # Where an id has one text only, which is the rule, the id says all; the others' rows are told apart by their fingerprints.
+    several = materialize(rows.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("id").alias(id)), "shared-ids")
+    plain = named.join(heads.select(id).distinct(), id, "left_semi").join(several, id, "left_anti")
+    mark = fresh(named, "_fp")
+    mixed = with_fingerprints(named.join(several, id, "left_semi"), text, mark, shingle=shingle)
+    mixed = mixed.join(heads.withColumnRenamed("_head", mark), [id, mark], "left_semi")
+    return _first(plain, [id]).unionByName(_first(mixed, [id, mark]).select(*docs.columns)).unionByName(docs.where(F.col(id).isNull()))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, similar, simhash, tokens, urls
+from groundswell.llm import chat, decontamination, language, licenses, quality, repeats, secrets, simhash, tokens, urls
 from groundswell.llm.pieces import Vocabulary
 from groundswell.llm.queries import tokenizer_path
 
@@ -65,6 +65,7 @@ def test_quality(docs, empty):
         assert (r["r"], r["d"]) == (len(hit), len(lines) - len(set(lines)))
         assert r["f"] == (len(w) < 50 or 2 * len(hit) > len(w))
     assert quality.good_documents(docs).columns == docs.columns
+    assert quality.good_documents(docs.withColumn("_host_failed", F.lit("mine"))).count() == quality.good_documents(docs).count()
     assert quality.good_documents(empty).count() == 0
 
 
@@ -247,26 +248,14 @@ def test_simhash(docs, empty, shard_rows):
     assert simhash.one_per_group(empty).count() == 0
 
 
-def test_pipeline_stage_drops_documents_that_share_four_fifths_of_their_shingles(spark, docs, empty):
-    import random
-
-    import corpus_pipeline
-
-    rng, rows = random.Random(3), [(1000, None), (1001, ""), (None, "no id"), (1002, "two words"), (1003, "Two, words!")]
-    for i in range(40):
-        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
-        for copy, edits in enumerate((0, 1 + i % 4, 8)):  # similarity 0.95 to 0.82, and 0.67
-            rows.append((10 * i + copy, " ".join("new" + w if copy and j % 24 == 10 and j < 24 * edits else w for j, w in enumerate(base))))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := plain_words(t))}
-    share = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
-    assert all(share(10 * i, 10 * i + 1) >= 0.8 > share(10 * i, 10 * i + 2) for i in range(40))
-    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
-    near = {r["doc_id"] for r in simhash.one_per_group(df).collect()}
-    assert not any(10 * i + 1 in kept for i in range(40)) and None in kept
-    gone = {a for a in near & set(grams) for b in near & set(grams) if b is not None and a is not None and b < a and share(a, b) >= 0.8}
-    assert sorted(x for x in kept if x is not None) == sorted(x for x in near - gone if x is not None)
-    assert similar.one_of_similar(empty).columns == empty.columns and similar.one_of_similar(empty).count() == 0
+def test_rows_that_share_an_id_keep_their_different_texts(spark):
+    other = " ".join(f"other{i}" for i in range(30))
+    near = PASSAGE + " tail one"
+    rows = [(1, near, "x"), (2, PASSAGE, "y"), (2, other, "b"), (2, other, "a"), (3, other, "c"), (4, "alone", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _fp string")
+    kept = sorted(map(tuple, simhash.one_per_group(df).collect()))
+    same = (brute_fingerprint(near) ^ brute_fingerprint(PASSAGE)).bit_count() <= 4
+    assert kept == sorted([(1, near, "x"), (2, other, "a"), (4, "alone", "d")] + ([] if same else [(2, PASSAGE, "y")]))
 
 
 @pytest.mark.parametrize("text", ["", "tiny", "naïve  ▁ text", "Wort " * 300, "ohneleerzeichen" * 40, None])
@@ -304,6 +293,19 @@ def test_repeats(spark, docs, empty, hot_runs, batch):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_repeats_of_many_texts_under_one_id_and_of_text_ids(spark):
+    shared = "0123456789" * 12
+    rows = [(7, "ab" * (i % 3) + f"{shared}{i:05d}" + chr(97 + i % 26) * 99) for i in range(1500)]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(r[1].encode(), 42) & (1 << repeats.TAG_BITS) - 1)
+    expected = brute_repeats([(i, t) for i, (_, t) in enumerate(rows)])
+    assert Counter(bytes(r["kept"]) for r in got) == Counter(expected.values())
+    plain = "".join(f"{i:03d}" for i in range(40))
+    named = [("b", plain + "x"), ("a", plain + "y"), (None, plain), ("a", plain + "y")]
+    got = repeats.without_repeats(spark.createDataFrame(named, "name string, text string"), id="name").collect()
+    assert Counter((r["name"], r["n_removed"]) for r in got) == Counter({("b", 120): 1, ("a", 120): 2, (None, 0): 1})
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 300])
 def test_decontamination(spark, docs, empty, block_bytes):
     items = [("i1", " ".join(PASSAGE.split()[10:40])), ("i2", "NOBODY owns, this"), ("i3", None), ("i4", "..."), ("i1", "tail two"), ("i5", "x same line x same line x")]
