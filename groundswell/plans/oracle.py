@@ -328,8 +328,10 @@ def _sql() -> dict[str, str]:
         "ramp_bin": f"SELECT seq, {_ramp('surface_uplift_mm / 40')} AS light, {_ramp('surface_uplift_mm / 40', True)} AS dark FROM telemetry",
         "stream_site_feed": "SELECT site_id, robot_id, seq, ts, state, surface_uplift_mm FROM telemetry WHERE site_id = 'site-1'",
         "stream_buckets": "SELECT robot_id, b AS bucket, count(*) AS count, round(avg(injection_pressure_kpa), 4) AS avg_pressure_kpa, "
-        "max(injection_pressure_kpa) AS max_pressure_kpa, round(avg(flow_rate_lpm), 4) AS avg_flow_lpm, max(surface_uplift_mm) AS max_uplift_mm "
-        "FROM (SELECT *, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01') AS b FROM telemetry) "
+        "max(injection_pressure_kpa) AS max_pressure_kpa, round(avg(flow_rate_lpm), 4) AS avg_flow_lpm, max(surface_uplift_mm) AS max_uplift_mm, "
+        "round(coalesce(sum((flow_rate_lpm + f_prev) / 2 * dt), 0), 4) AS volume_injected_l FROM (SELECT *, "
+        "time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01') AS b, lag(flow_rate_lpm) OVER w AS f_prev, "
+        "(epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 60e6 AS dt FROM telemetry WINDOW w AS (PARTITION BY robot_id ORDER BY ts, seq)) "
         f"WHERE b + INTERVAL '1 hour' <= {_CLOSED} GROUP BY robot_id, b",
     }
     site: dict[str, str] = {

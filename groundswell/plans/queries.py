@@ -20,7 +20,7 @@ from groundswell.sources import adapters as A
 from groundswell.sources import batches as B
 from groundswell.sources import tables
 from groundswell.streaming import commands as stream_commands_mod
-from groundswell.streaming import sinks
+from groundswell.streaming import sinks, stateful
 from groundswell.streaming import telemetry as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,14 +577,17 @@ def stream_survey(spark, sf):
 @query
 def stream_buckets(spark, sf):
     path, checkpoint = sinks.scratch(spark, "stream-buckets")
-    buckets = st.stream_buckets(_sample_stream(spark, sf), 3600, STREAM_DELAY)
+    buckets = stateful.stream_buckets(_sample_stream(stateful.stateful_session(spark), sf), 3600, STREAM_DELAY)
     sinks.run_to_table(buckets, path, checkpoint)
-    return _rounded(spark.read.schema(buckets.schema).parquet(path), 4, "avg_pressure_kpa", "avg_flow_lpm")
+    return _rounded(spark.read.schema(buckets.schema).parquet(path), 4, "avg_pressure_kpa", "avg_flow_lpm", "volume_injected_l")
 
 
 @query
 def stream_fleet_state(spark, sf):
-    out = _epochs(spark, st.stream_fleet_state(_sample_stream(spark, sf), STREAM_DELAY), "stream-fleet", ["site_id", "robot_id"])
+    states = stateful.stream_fleet_state(_sample_stream(stateful.stateful_session(spark), sf), STREAM_DELAY)
+    path, checkpoint = sinks.scratch(spark, "stream-fleet")
+    sinks.run_epochs(states, sinks.epoch_writer(path), checkpoint)
+    out = sinks.newest(sinks.read_epochs(spark, path, states.schema), ["site_id", "robot_id"])
     return out.select(
         "site_id", "robot_id", F.timestamp_micros("latest_us").alias("ts"), F.col("latest_seq").alias("seq"), "state", "flow_rate_lpm",
         F.size("history").cast("long").alias("history_points"),

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from groundswell import schema as S
 from groundswell.functions.columns import cell
 from groundswell.operators.ingest import validate_samples
 from groundswell.operators.timeseries import latest_per_robot
-from groundswell.plans.shared import ship_package
 from groundswell.sources.batches import claimed_rows
 from groundswell.sources.ledger import Ledger
 from groundswell.sources.tables import COLUMNS, read_telemetry, write_epoch
@@ -89,80 +84,3 @@ def stream_survey(samples: DataFrame) -> DataFrame:
         F.max_by("surface_uplift_mm", "seq").alias("uplift"),
         F.min("seq").alias("first_seq"),
     )
-
-
-def stream_buckets(samples: DataFrame, bucket_s: int, delay: str = "10 minutes") -> DataFrame:
-    """Closed buckets per robot (append mode)."""
-    width = f"{bucket_s} seconds"
-    window = F.window("ts", width, width, f"{S.BIN_ORIGIN_S % bucket_s} seconds")
-    return (
-        samples.withWatermark("ts", delay)
-        .groupBy("robot_id", window.alias("w"))
-        .agg(
-            F.count("*").alias("count"),
-            F.avg("injection_pressure_kpa").alias("avg_pressure_kpa"),
-            F.max("injection_pressure_kpa").alias("max_pressure_kpa"),
-            F.avg("flow_rate_lpm").alias("avg_flow_lpm"),
-            F.max("surface_uplift_mm").alias("max_uplift_mm"),
-        )
-        .select(
-            "robot_id", F.col("w.start").alias("bucket"), "count", "avg_pressure_kpa", "max_pressure_kpa",
-            "avg_flow_lpm", "max_uplift_mm",
-        )
-    )
-
-
-FLEET_STATE = (
-    "site_id string, robot_id string, latest_us long, latest_seq long, state string, flow_rate_lpm double, "
-    "history array<struct<ts_us:long,seq:long,pressure:double>>, volume_l double"
-)
-
-
-def _fleet_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Latest row, newest 120 readings and the litres of the part of the flow that no late row can change.
-
-    Rows newer than the watermark wait in the state, in order; when the watermark
-    has passed them they are integrated and only the last one is kept.
-    """
-    kept = json.loads(state.get[0]) if state.exists else {"latest": None, "history": [], "waiting": [], "last": None, "litres": 0.0}
-    for frame in frames:
-        rows = list(
-            zip(frame["ts_us"].tolist(), frame["seq"].tolist(), frame["state"].tolist(), frame["flow_rate_lpm"].tolist(),
-                frame["injection_pressure_kpa"].tolist(), strict=True)
-        )
-        if not rows:  # a timeout comes with an empty frame
-            continue
-        newest = max(rows, key=lambda r: r[:2])
-        if kept["latest"] is None or list(newest[:2]) >= kept["latest"][:2]:
-            kept["latest"] = list(newest[:4])
-        readings = kept["history"] + [[r[0], r[1], r[4]] for r in rows]
-        kept["history"] = sorted(readings)[-S.HISTORY_LEN :]
-        kept["waiting"] += [[r[0], r[1], r[3]] for r in rows]
-    settled_us = state.getCurrentWatermarkMs() * 1000
-    waiting = sorted(kept["waiting"])
-    for ts, _, flow in (w for w in waiting if w[0] <= settled_us):
-        if kept["last"] is not None:
-            last_ts, last_flow = kept["last"]
-            kept["litres"] += (flow + last_flow) / 2 * (ts - last_ts) / 60e6
-        kept["last"] = [ts, flow]
-    kept["waiting"] = [w for w in waiting if w[0] > settled_us]
-    state.update((json.dumps(kept),))
-    if kept["waiting"]:
-        state.setTimeoutTimestamp(max(kept["waiting"][0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
-    ts, seq, mode, flow = kept["latest"]
-    history = [{"ts_us": t, "seq": s, "pressure": p} for t, s, p in kept["history"]]
-    yield pd.DataFrame(
-        {"site_id": [key[0]], "robot_id": [key[1]], "latest_us": [ts], "latest_seq": [seq], "state": [mode],
-         "flow_rate_lpm": [flow], "history": [history], "volume_l": [kept["litres"]]}
-    )
-
-
-def stream_fleet_state(samples: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Per site and robot: latest, bounded history and settled litres (update mode)."""
-    ship_package(samples.sparkSession)
-    rows = samples.withWatermark("ts", delay).select(
-        "ts", "site_id", "robot_id", F.unix_micros("ts").alias("ts_us"), "seq", "state", "flow_rate_lpm", "injection_pressure_kpa"
-    )
-    return rows.groupBy("site_id", "robot_id").applyInPandasWithState(
-        _fleet_step, FLEET_STATE, "kept string", "update", GroupStateTimeout.EventTimeTimeout
-    )

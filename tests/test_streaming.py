@@ -5,7 +5,8 @@ from datetime import timedelta
 
 import command_model
 import pytest
-from conftest import SMALL
+from conftest import SMALL, utc
+from pyspark.sql import functions as F
 from test_commands import log, random_log
 from test_timeseries import frame, per_robot, random_rows
 
@@ -16,15 +17,15 @@ from groundswell.sources import adapters as A
 from groundswell.sources import batches as B
 from groundswell.sources import tables
 from groundswell.streaming import commands as sc
-from groundswell.streaming import sinks
+from groundswell.streaming import sinks, stateful
 from groundswell.streaming import telemetry as st
 
 
-def files(df, path, parts):
+def files(spark, df, path, parts):
     """Write in `parts` files, one after another, so that the stream takes several batches."""
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def chunks(spark, rows, n):
@@ -41,7 +42,7 @@ def test_latest_over_batches_with_late_rows(spark, tmp_path, rows):
     shuffled = rows[:]
     random.Random(1).shuffle(shuffled)
     df = frame(spark, shuffled)
-    stream = st.stream_latest(files(df, str(tmp_path / "in"), chunks(spark, shuffled, 4)))
+    stream = st.stream_latest(files(spark, df, str(tmp_path / "in"), chunks(spark, shuffled, 4)))
     path, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     sinks.run_epochs(stream, sinks.epoch_writer(path), checkpoint)
     epochs = sinks.read_epochs(spark, path, stream.schema)
@@ -58,7 +59,8 @@ def test_fleet_state_over_batches(spark, tmp_path, rows):
         if swapped[i + 1]["ts"] - swapped[i]["ts"] < timedelta(minutes=10):
             swapped[i], swapped[i + 1] = swapped[i + 1], swapped[i]
     df = frame(spark, swapped)
-    stream = st.stream_fleet_state(files(df, str(tmp_path / "in"), chunks(spark, swapped, 4)))
+    spark = stateful.stateful_session(spark)
+    stream = stateful.stream_fleet_state(files(spark, df, str(tmp_path / "in"), chunks(spark, swapped, 4)))
     path = str(tmp_path / "out")
     sinks.run_epochs(stream, sinks.epoch_writer(path), str(tmp_path / "cp"))
     got = {r.robot_id: r for r in sinks.newest(sinks.read_epochs(spark, path, stream.schema), ["site_id", "robot_id"]).collect()}
@@ -76,11 +78,19 @@ def test_fleet_state_over_batches(spark, tmp_path, rows):
 
 def test_buckets_close_behind_the_watermark(spark, tmp_path, rows):
     df = frame(spark, rows)
-    stream = st.stream_buckets(files(df, str(tmp_path / "in"), chunks(spark, rows, 3)), 3600)
+    stream = stateful.stream_buckets(files(stateful.stateful_session(spark), df, str(tmp_path / "in"), chunks(spark, rows, 3)), 3600)
     sinks.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < got.agg({"count": "sum"}).first()[0] <= len(rows)
     assert got.groupBy("robot_id", "bucket").count().where("count > 1").count() == 0
+    end = max(r["ts"] for r in rows) - timedelta(minutes=10)
+    series = ts.robot_series(df, rows[0]["ts"] - timedelta(days=1), end + timedelta(days=1), 3600)
+    closed = {(r.robot_id, r.bucket): r for r in series.collect() if r.bucket.replace(tzinfo=end.tzinfo) + timedelta(hours=1) <= end}
+    assert {(r.robot_id, r.bucket) for r in got.collect()} == set(closed)
+    for r in got.collect():
+        want = closed[r.robot_id, r.bucket]
+        assert r["count"] == want["count"] and r.max_uplift_mm == want.max_uplift_mm and r.max_pressure_kpa == want.max_pressure_kpa
+        assert r.volume_injected_l == pytest.approx(want.volume_injected_l) and r.avg_flow_lpm == pytest.approx(want.avg_flow_lpm)
 
 
 @pytest.mark.parametrize("seed", [31, 32])
@@ -97,7 +107,7 @@ def test_commands_over_batches(spark, tmp_path, seed):
     requests.append(closing)
     df = log(spark, requests)
     parts = [log(spark, requests[i : i + 130]) for i in range(0, len(requests), 130)]
-    stream = sc.stream_commands(files(df, str(tmp_path / "in"), parts), "0 seconds")
+    stream = sc.stream_commands(files(spark, df, str(tmp_path / "in"), parts), "0 seconds")
     sinks.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     trail = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     got = {r.command_id: r["count"] for r in trail.groupBy("command_id").count().collect()}
@@ -111,6 +121,40 @@ def test_commands_over_batches(spark, tmp_path, seed):
     assert {r.command_id: r.to_status for r in last.collect()} == want_status
 
 
+@pytest.mark.parametrize("keep_days", [7.0, None])
+def test_fleet_state_loses_no_late_row(spark, tmp_path, keep_days):
+    """Rows behind the watermark split segments that were already integrated; times may be equal."""
+    start = utc("2026-01-01 00:00:00")
+    minutes = [60, 120, 0, 180, 61, 61, 90, 200, 30, 119, 240, 1, 239, 300]
+    rows = [dict(ts=start + timedelta(minutes=m), robot_id=f"r{i % 2 if i > 3 else 0}", flow_rate_lpm=float(7 * i % 11 + 1)) for i, m in enumerate(minutes)]
+    spark = stateful.stateful_session(spark)
+    df = frame(spark, rows)
+    parts = [df.where(F.col("seq") == i) for i in range(len(rows))]
+    stream = stateful.stream_fleet_state(files(spark, df, str(tmp_path / "in"), parts), keep_days=keep_days)
+    sinks.run_epochs(stream, sinks.epoch_writer(str(tmp_path / "out")), str(tmp_path / "cp"))
+    epochs = sinks.read_epochs(spark, str(tmp_path / "out"), stream.schema)
+    assert epochs.select("epoch").distinct().count() >= len(rows)
+    got = {r.robot_id: r for r in sinks.newest(epochs, ["site_id", "robot_id"]).collect()}
+    settled = start + timedelta(minutes=290)
+    for robot, group in per_robot(df.collect()):
+        r = got[robot]
+        assert r.unplaced == 0 and [h.seq for h in r.history] == [g["seq"] for g in group] and r.latest_seq == group[-1]["seq"]
+        done = [g for g in group if g["ts"].replace(tzinfo=settled.tzinfo) <= settled]
+        want = sum((a["flow_rate_lpm"] + b["flow_rate_lpm"]) / 2 * (b["ts"] - a["ts"]).total_seconds() / 60 for a, b in zip(done, done[1:], strict=False))
+        assert r.volume_l == pytest.approx(want)
+
+
+def test_rows_older_than_what_is_kept_are_counted(spark, tmp_path):
+    start = utc("2026-01-01 00:00:00")
+    rows = [dict(ts=start + timedelta(hours=h)) for h in (0, 30, 60, 90, 1, 91)]
+    spark = stateful.stateful_session(spark)
+    df = frame(spark, rows)
+    stream = stateful.stream_fleet_state(files(spark, df, str(tmp_path / "in"), [df.where(F.col("seq") == i) for i in range(6)]), keep_days=1.0)
+    sinks.run_epochs(stream, sinks.epoch_writer(str(tmp_path / "out")), str(tmp_path / "cp"))
+    got = sinks.newest(sinks.read_epochs(spark, str(tmp_path / "out"), stream.schema), ["site_id", "robot_id"]).collect()
+    assert [(r.unplaced, len(r.history)) for r in got] == [(1, 6)]
+
+
 def test_ingest_equals_batch(spark, tmp_path):
     uploads = A.sample_batches(spark, SMALL).select("batch_id", "body", "received_at")
     source = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 2).parquet(store(uploads, "uploads"))
@@ -152,7 +196,7 @@ def test_requests_behind_the_watermark_are_applied(spark, tmp_path):
         request(5, 62, "next", "a"),
     ]
     df = log(spark, requests)
-    stream = sc.stream_commands(files(df, str(tmp_path / "in"), [log(spark, requests[i : i + 2]) for i in (0, 2, 4)]), "0 seconds")
+    stream = sc.stream_commands(files(spark, df, str(tmp_path / "in"), [log(spark, requests[i : i + 2]) for i in (0, 2, 4)]), "0 seconds")
     sinks.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     trail = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).orderBy("step").collect()
     assert [(r.command_id, r.to_status) for r in trail if r.robot_id == "a" and r.to_status != "expired"] == [
