@@ -598,8 +598,10 @@ def stream_fleet_state(spark, sf):
 
 @query
 def stream_commands(spark, sf):
-    requests = A.command_requests(spark, sf)
-    source = spark.readStream.schema(requests.schema).parquet(store(requests, "command-requests"))
+    """Acks and cancels name their command only."""
+    anonymous = F.when(~F.col("kind").isin("ack", "cancel"), F.col("robot_id"))
+    requests = A.command_requests(spark, sf).withColumn("robot_id", anonymous)
+    source = stateful.stateful_session(spark).readStream.schema(requests.schema).parquet(store(requests, "command-requests"))
     moves = stream_commands_mod.stream_commands(source, delay="0 seconds")
     path, checkpoint = sinks.scratch(spark, "stream-commands")
     sinks.run_to_table(moves, path, checkpoint)

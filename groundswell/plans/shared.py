@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
@@ -61,3 +65,17 @@ def ship_package(spark: SparkSession) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for rows that are few bytes but much work, which adaptive coalescing would join into one task."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@contextmanager
+def by_value() -> Iterator[None]:
+    """Functions and classes of this package that are given to Spark inside are sent with their code.
+
+    State processors are also loaded by a helper of the driver that does not see shipped files.
+    """
+    package = sys.modules[__name__.split(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)

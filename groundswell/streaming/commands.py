@@ -1,71 +1,115 @@
-"""The command queue as a stateful stream with deadlines."""
+"""The command queue as two chained stateful streams: by command id, then by robot."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from groundswell.operators.commands import _dto_error, _param_error
 from groundswell.operators.lifecycle import Open, Request, advance, expiry
-from groundswell.plans.shared import ship_package
+from groundswell.plans.shared import by_value, ship_package
 
 MOVES = (
     "command_id string, robot_id string, type string, from_status string, to_status string, actor string, "
     "reason string, at_ms long, command_seq long, step long"
 )
 _NAMES = [part.split()[0] for part in MOVES.split(", ")]
+STEPS = "robot_id string, seq long, at_ms long, kind string, command_id string, type string, param_error string, actor string, ack_status string, ack_reason string"
+_STEP_NAMES = [part.split()[0] for part in STEPS.split(", ")]
 
 
-def _queue_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Feed a robot's new requests, in order, to its open commands; expire what is due at the watermark.
+def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The key's rows of this trigger by arrival; what a trigger takes is bounded by its source."""
+    return pd.concat(list(frames)).sort_values("seq", kind="stable")
+
+
+class CommandRouter(StatefulProcessor):
+    """Per command id: which robot it was issued to. Acks and cancels leave with that robot; those of an unknown id end here."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.robot = handle.getValueState("robot", "robot_id string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows)
+        known = self.robot.get()[0] if self.robot.exists() else None
+        robots, before = [], known
+        for kind, robot in zip(frame["kind"], frame["robot_id"], strict=True):
+            if kind == "issue" and known is None:
+                known = robot
+            robots.append(robot if kind == "issue" else known)
+        if known is not None and before is None:
+            self.robot.update((known,))
+        frame["robot_id"], frame["command_id"] = robots, key[0]  # keys are not among a frame's columns
+        yield frame.loc[frame["robot_id"].notna(), _STEP_NAMES]
+
+    def close(self) -> None:
+        pass
+
+
+class RobotQueue(StatefulProcessor):
+    """Per robot: its open commands as a typed list; a timer stands for the earliest deadline.
 
     `step` counts the robot's moves, so the trail keeps its order across epochs.
     """
-    robot_id = key[0]
-    stored, step = json.loads(state.get[0]) if state.exists else ([], 0)
-    pending = [Open(*c) for c in stored]
-    requests = [
-        Request(*values)
-        for frame in frames
-        for values in zip(*[frame[f].astype(object).where(frame[f].notna(), None) for f in Request._fields], strict=True)
-    ]
-    out = []
-
-    def emit(move, at_ms):
-        nonlocal step
-        c = move.command
-        out.append((c.id, robot_id, c.type, move.before, move.after, move.actor, move.reason, at_ms, c.seq, step))
-        step += 1
-
-    for r in sorted(requests, key=lambda r: r.seq):
-        pending, moves, _ = advance(pending, r, robot_id)
-        for move in moves:
-            emit(move, r.at_ms)
-    now = state.getCurrentWatermarkMs()
-    for c in [c for c in pending if c.deadline is not None and c.deadline < now]:
-        emit(expiry(c), now)
-        pending.remove(c)
-    state.update((json.dumps([pending, step]),))
-    due = [c.deadline for c in pending if c.deadline is not None]
-    if due:
-        state.setTimeoutTimestamp(max(min(due), now) + 1)
-    if out:
-        yield pd.DataFrame(out, columns=_NAMES)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "id string, type string, seq long, created long, sent long")
+        self.step = handle.getValueState("step", "step long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows)
+        columns = [frame[f].astype(object).where(frame[f].notna(), None) for f in Request._fields]
+        requests = [Request(*values)._replace(seq=int(values[0]), at_ms=int(values[1])) for values in zip(*columns, strict=True)]
+        yield self._apply(key[0], requests, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._apply(key[0], [], timerValues.getCurrentWatermarkInMs())
+
+    def _apply(self, robot_id: str, requests: list[Request], now: int) -> pd.DataFrame:
+        pending = [Open(*c) for c in self.open.get()] if self.open.exists() else []
+        step = self.step.get()[0] if self.step.exists() else 0
+        out = []
+
+        def emit(move, at_ms):
+            c = move.command
+            out.append((c.id, robot_id, c.type, move.before, move.after, move.actor, move.reason, at_ms, c.seq, step + len(out)))
+
+        for r in requests:
+            pending, moves, _ = advance(pending, r, robot_id)
+            for move in moves:
+                emit(move, r.at_ms)
+        for c in [c for c in pending if c.deadline is not None and c.deadline < now]:
+            emit(expiry(c), now)
+            pending.remove(c)
+        if pending:
+            self.open.put([tuple(c) for c in pending])
+        elif self.open.exists():
+            self.open.clear()
+        self.step.update((step + len(out),))
+        due = min((c.deadline for c in pending if c.deadline is not None), default=None)
+        if due is not None:
+            at = max(due, now) + 1
+            if not any(now < t <= at for t in self.handle.listTimers()):
+                self.handle.registerTimer(at)
+        return pd.DataFrame(out, columns=_NAMES)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_commands(requests: DataFrame, delay: str) -> DataFrame:
-    """Transitions as they happen (append mode).
+    """Transitions as they happen (append mode); the session must use the RocksDB state store (`stateful_session`).
 
-    No request is lost, however late: a robot's requests are applied in the order of
-    arrival (`seq`), each at its own time.  The clock that expires commands of silent
-    robots runs `delay` behind the newest request of anyone.
+    No request is lost, however late: requests are applied in the order of arrival (`seq`), each at its own time, as long as
+    triggers follow that order.  The clock that expires commands of silent robots runs `delay` behind the newest request of anyone.
 
-    An ack or cancel is routed by the `robot_id` of its request.  An expiry is
+    An ack or cancel needs no robot: the first operator learns from the issue whose command it is, and what it sends on reaches
+    the second one in the same trigger.  An id keeps the robot of its first issue.  An expiry is
     stamped with the robot's next request or with the watermark, whichever finds it
     first; the batch replay stamps it with the next request of anyone.
     """
@@ -73,14 +117,18 @@ def stream_commands(requests: DataFrame, delay: str) -> DataFrame:
     # Spark drops rows behind the watermark.  Each request therefore comes twice: a tick with
     # its time, which moves the watermark and ends here, and the request without, which is never late.
     twice = requests.where(_dto_error().isNull()).select("*", F.explode(F.array(F.lit(None).cast("timestamp"), F.col("at"))).alias("_clock"))
+    # What later filters ask for depends on the clock, else they would be moved below the watermark and keep ticks from it.
+    settled = {c: F.when(F.col("_clock").isNull(), F.col(c)) for c in ("robot_id", "kind", "command_id")}
     steps = (
         twice.withWatermark("_clock", delay)
         .where(F.col("_clock").isNull())
         .select(
-            "_clock", "robot_id", "seq", F.unix_millis("at").alias("at_ms"), "kind", "command_id", "type",
-            _param_error().alias("param_error"), "actor", "ack_status", "ack_reason",
+            settled["robot_id"].alias("robot_id"), "seq", F.unix_millis("at").alias("at_ms"), settled["kind"].alias("kind"),
+            settled["command_id"].alias("command_id"), "type", _param_error().alias("param_error"), "actor", "ack_status", "ack_reason",
         )
     )
-    return steps.groupBy("robot_id").applyInPandasWithState(
-        _queue_step, MOVES, "open string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    named = F.col("kind").isin("issue", "ack", "cancel") & F.col("command_id").isNotNull()
+    with by_value():
+        routed = steps.where(named).groupBy("command_id").transformWithStateInPandas(CommandRouter(), STEPS, "append", "eventtime")
+        both = routed.unionByName(steps.where(F.col("kind") == "next")).where(F.col("robot_id").isNotNull())
+        return both.groupBy("robot_id").transformWithStateInPandas(RobotQueue(), MOVES, "append", "eventtime")

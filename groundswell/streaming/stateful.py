@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from groundswell import schema as S
-from groundswell.plans.shared import ship_package
+from groundswell.plans.shared import by_value, ship_package
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -193,7 +193,8 @@ def stream_fleet_state(samples: DataFrame, delay: str = "10 minutes", keep_days:
         "_clock", "site_id", "robot_id", F.unix_micros("ts").alias("ts_us"), "seq", "state", "flow_rate_lpm", "injection_pressure_kpa"
     )
     keep_us = None if keep_days is None else int(keep_days * 86_400_000_000)
-    return rows.groupBy("site_id", "robot_id").transformWithStateInPandas(FleetFold(keep_us), FLEET_STATE, "update", "eventtime")
+    with by_value():
+        return rows.groupBy("site_id", "robot_id").transformWithStateInPandas(FleetFold(keep_us), FLEET_STATE, "update", "eventtime")
 
 
 # ---- buckets ------------------------------------------------------------------
@@ -267,5 +268,6 @@ def stream_buckets(samples: DataFrame, bucket_s: int, delay: str = "10 minutes")
         "ts", "robot_id", F.unix_micros("ts").alias("ts_us"), "seq", "flow_rate_lpm", "injection_pressure_kpa", "surface_uplift_mm"
     )
     fold = BucketFold(bucket_s * 1_000_000, S.BIN_ORIGIN_S * 1_000_000)
-    closed = rows.groupBy("robot_id").transformWithStateInPandas(fold, BUCKETS, "append", "eventtime")
+    with by_value():
+        closed = rows.groupBy("robot_id").transformWithStateInPandas(fold, BUCKETS, "append", "eventtime")
     return closed.select("robot_id", F.timestamp_micros("bucket_us").alias("bucket"), *[p.split()[0] for p in BUCKETS.split(", ")[2:]])
