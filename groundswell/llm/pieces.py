@@ -241,14 +241,14 @@ class Encoder:
             self.older, self.units = self.units, {}
         if len(self.pairs) >= CACHED_PAIRS:
             self.pairs.clear()
-        known, missing = self.units, []
-        for unit in units:
-            if unit not in known:
-                ids = self.older.get(unit)
-                if ids is None:
-                    missing.append(unit)
-                else:
-                    known[unit] = ids
+        known = self.units
+        missing = []
+        for unit in set(units) - known.keys():
+            ids = self.older.get(unit)
+            if ids is None:
+                missing.append(unit)
+            else:
+                known[unit] = ids
         missing.sort()
         known.update(zip(missing, (np.array(ids, ID).tobytes() for ids in self.sorted_units(missing))))
         return known
@@ -268,7 +268,7 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Units are cut and looked up together; their memory is that of the texts."""
         cuts = [self.cut(MARK + self.marked(text)) if text else [] for text in texts]
-        distinct = {unit for units in cuts for unit in units}
+        distinct = set().union(*cuts)
         known = self.learn(distinct)
         out = [np.frombuffer(b"".join(map(known.__getitem__, units)), ID) for units in cuts]
         self.forget_long(distinct)

@@ -197,4 +197,4 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
 
 def ids_digest(ids: Column) -> Column:
     """SHA-256 of the comma-joined ids."""
-    return F.sha2(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), 256)
+    return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
