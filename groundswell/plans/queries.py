@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime
@@ -15,10 +16,12 @@ from groundswell.functions import columns as fn
 from groundswell.operators import commands as C
 from groundswell.operators import fleet, ingest, metrics, spatial
 from groundswell.operators import timeseries as ts
-from groundswell.plans.shared import fresh_path, materialize, store
+from groundswell.plans.shared import fresh_path, materialize, shared_dir, store
 from groundswell.sources import adapters as A
 from groundswell.sources import batches as B
 from groundswell.sources import tables
+from groundswell.session import beside
+from groundswell.sources.trail import StoredTrail
 from groundswell.streaming import commands as stream_commands_mod
 from groundswell.streaming import sinks, stateful
 from groundswell.streaming import telemetry as st
@@ -33,13 +36,19 @@ SITE = "site-1"
 STREAM_DELAY = "10 minutes"
 
 
+def utc_session(spark: SparkSession) -> SparkSession:
+    """The caller's session, or one beside it if the caller's has another time zone, whose settings stay as they are."""
+    if spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"):
+        return spark
+    return beside(spark, {"spark.sql.session.timeZone": "UTC"})
+
+
 def query(f: Query) -> Query:
     """Register under the function's name; timestamps leave as plain UTC date-times."""
 
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        df = f(spark, sf_dir)
+        df = f(utc_session(spark), sf_dir)
         return df.select(
             *[
                 F.col(c.name).cast("timestamp_ntz").alias(c.name) if isinstance(c.dataType, T.TimestampType) else F.col(c.name)
@@ -279,8 +288,8 @@ def last_uplift_gauge(spark, sf):
 
 @query
 def robot_cards(spark, sf):
-    requests, _, commands = _control(spark, sf)
-    cards = fleet.robot_cards(A.telemetry(spark, sf), C.robot_links(requests, commands), A.now())
+    trail = _control(spark, sf)
+    cards = fleet.robot_cards(A.telemetry(spark, sf), C.robot_links(trail.polls, trail.commands), A.now())
     return cards.select(
         "site_id", "robot_id", "ts", "state", "stale", "last_poll_at", "pending", "control_age_s",
         F.size("history").cast("long").alias("history_points"),
@@ -407,11 +416,11 @@ def rfc3339_text(spark, sf):
 
 # ---- commands -----------------------------------------------------------------
 
-def _control(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requests, audit trail and command table; every view below replays the log of its own."""
-    requests = A.command_requests(spark, sf)
-    audit = C.replay_commands(requests).audit
-    return requests, audit, C.commands_table(audit, requests)
+def _control(spark, sf) -> StoredTrail:
+    """The stored trail, brought up to date with the log first."""
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId} {sf}".encode()).hexdigest()[:16]
+    trail = StoredTrail(spark, f"{shared_dir(spark)}/groundswell/trail-{name}")
+    return trail.refresh(A.command_requests(spark, sf), A.events(spark, sf))
 
 
 @query
@@ -440,67 +449,67 @@ def expiry_time(spark, sf):
 
 @query
 def superseded_by_estop(spark, sf):
-    return C.superseded_by_estop(_control(spark, sf)[1])
+    return C.superseded_by_estop(_control(spark, sf).audit)
 
 
 @query
 def audit_current_state(spark, sf):
-    return C.audit_current_state(_control(spark, sf)[1]).drop("seq")
+    return C.audit_current_state(_control(spark, sf).audit).drop("seq")
 
 
 @query
 def command_latency(spark, sf):
-    return C.command_latency(_control(spark, sf)[1])
+    return C.command_latency(_control(spark, sf).audit)
 
 
 @query
 def audit_log(spark, sf):
-    return C.audit_log(_control(spark, sf)[1]).drop("ordinal", "phase")
+    return C.audit_log(_control(spark, sf).audit).drop("ordinal", "phase")
 
 
 @query
 def audit_ring(spark, sf):
-    return C.audit_ring(_control(spark, sf)[1]).drop("ordinal", "phase")
+    return C.audit_ring(_control(spark, sf).audit).drop("ordinal", "phase")
 
 
 @query
 def next_command(spark, sf):
-    return C.next_command(_control(spark, sf)[2])
+    return C.next_command(_control(spark, sf).commands)
 
 
 @query
 def get_command(spark, sf):
     """The first command that was admitted."""
-    commands = _control(spark, sf)[2]
+    commands = _control(spark, sf).commands
     first = commands.agg(F.min_by("command_id", "seq").alias("id")).first().id
     return C.get_command(commands, first).drop("seq")
 
 
 @query
 def list_commands(spark, sf):
-    return C.list_commands(_control(spark, sf)[2], status="completed").drop("seq")
+    return C.list_commands(_control(spark, sf).commands, status="completed").drop("seq")
 
 
 @query
 def command_log_view(spark, sf):
-    return C.command_log_view(_control(spark, sf)[2])
+    return C.command_log_view(_control(spark, sf).commands)
 
 
 @query
 def pending_per_robot(spark, sf):
-    return C.pending_per_robot(_control(spark, sf)[2])
+    return C.pending_per_robot(_control(spark, sf).commands)
 
 
 @query
 def known_robots(spark, sf):
-    requests, _, commands = _control(spark, sf)
-    return C.known_robots(requests, commands)
+    trail = _control(spark, sf)
+    return C.known_robots(trail.polls, trail.commands)
 
 
 @query
 def robot_links(spark, sf):
-    requests, _, commands = _control(spark, sf)
-    return C.robot_links(requests, commands)
+    trail = _control(spark, sf)
+    return C.robot_links(trail.polls, trail.commands)
 
 
 # ---- streams, run to the end of what is there ---------------------------------

@@ -1,4 +1,4 @@
-"""A local session with the settings the package expects; clusters bring their own."""
+"""Sessions: a local one with the settings the package expects, and one beside a cluster's own."""
 
 from __future__ import annotations
 
@@ -19,3 +19,19 @@ def local_session(cores: str | int = "*", app: str = "groundswell", **extra: str
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+# What a caller may have set at run time and a new session would not know.
+_CARRIED = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes", "spark.checkpoint.dir")
+
+
+def beside(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session of the same application with other settings; the caller's stay as they are."""
+    other = spark.newSession()
+    for key in _CARRIED:
+        value = spark.conf.get(key, None)
+        if value is not None and other.conf.isModifiable(key):
+            other.conf.set(key, value)
+    for key, value in settings.items():
+        other.conf.set(key, value)
+    return other

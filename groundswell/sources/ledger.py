@@ -2,8 +2,7 @@
 
 A small file per append lies in `_ledger` inside the table's folder, where readers of the table do not look.
 `claim` sets a range aside before the write, `commit` says that its rows are all there, `void` that they never will be.
-Files are made with the file system's create-if-absent, so of two writers that want the same place one moves on to the next; on a
-file system without it (an object store) a table must have one writer at a time.
+Files are made with the file system's create-if-absent (`folder`), so of two writers that want the same place one moves on to the next.
 
 Claims of one stream name their epoch, so a repeated epoch gets the range it had, unless it has grown.  Only the driver works here, with one
 file per append; the ranges' rows are never looked at.
@@ -12,11 +11,12 @@ file per append; the ranges' rows are never looked at.
 from __future__ import annotations
 
 import json
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from groundswell.sources.folder import Folder
+
 
 @dataclass(frozen=True)
 class Claim:
@@ -29,49 +29,13 @@ class Claim:
 
 class Ledger:
     def __init__(self, spark: SparkSession, table: str):
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._dir = f"{table.rstrip('/')}/_ledger"
-        self._fs = self._path(self._dir).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._read_all = jvm.org.apache.commons.io.IOUtils.toByteArray
+        self.folder = Folder(spark, f"{table.rstrip('/')}/_ledger")
 
     def _names(self) -> list[str]:
-        where = self._path(self._dir)
-        if not self._fs.exists(where):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where))
-
-    def _create(self, name: str, text: str = "") -> bool:
-        """False if the file is there already."""
-        where = self._path(f"{self._dir}/{name}")
-        if self._fs.exists(where):
-            return False
-        try:
-            out = self._fs.create(where, False)
-        except Exception as e:  # lost the race
-            if "AlreadyExists" in str(e):
-                return False
-            raise
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        return True
-
-    def _claim(self, name: str, patience_s: float = 10.0) -> Claim:
-        """A claim's content; a file that is just being written is waited for."""
-        until = time.monotonic() + patience_s
-        while True:
-            stream = self._fs.open(self._path(f"{self._dir}/{name}"))
-            try:
-                text = bytes(self._read_all(stream)).decode()
-            finally:
-                stream.close()
-            if text.endswith("}"):
-                return Claim(**json.loads(text))
-            if time.monotonic() > until:
-                raise RuntimeError(f"claim {name} of {self._dir} was never written; remove it if its writer is gone")
-            time.sleep(0.1)
+        return self.folder.names()
+
+    def _claim(self, name: str) -> Claim:
+        return Claim(**json.loads(self.folder.read(name, last="}")))
 
     def claims(self) -> list[Claim]:
         return [self._claim(n) for n in self._names() if n.startswith("claim-")]
@@ -90,16 +54,16 @@ class Ledger:
         last = self._claim(names[-1]) if names else Claim(-1, 0, 0, "", None)
         while True:
             new = Claim(last.number + 1, last.end, last.end + count, owner, epoch)
-            if self._create(f"claim-{new.number:012d}", json.dumps(new.__dict__)):
+            if self.folder.create(f"claim-{new.number:012d}", json.dumps(new.__dict__)):
                 return new
             last = self._claim(f"claim-{new.number:012d}")
 
     def commit(self, claim: Claim) -> None:
-        self._create(f"done-{claim.number:012d}")
+        self.folder.create(f"done-{claim.number:012d}")
 
     def void(self, claim: Claim) -> None:
         """Give up a range whose write has failed; its rows, if any were written, must not become visible."""
-        self._create(f"void-{claim.number:012d}")
+        self.folder.create(f"void-{claim.number:012d}")
 
     def mark(self) -> int:
         """The number below which everything is stored: the start of the first range that is neither complete nor given up."""

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from groundswell import schema as S
 from groundswell.plans.shared import by_value, ship_package
+from groundswell.session import beside
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,11 +25,7 @@ SPAN_US = 300_000_000  # settled flows are kept in pieces of five minutes
 
 def stateful_session(spark: SparkSession) -> SparkSession:
     """A session beside the caller's, whose own settings stay as they are."""
-    other = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        other.conf.set(key, spark.conf.get(key))
-    other.conf.set(_STORE, _ROCKS)
-    return other
+    return beside(spark, {_STORE: _ROCKS})
 
 
 def litres(a: tuple, b: tuple) -> float:

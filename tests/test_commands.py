@@ -10,6 +10,7 @@ from conftest import utc
 from groundswell import schema as S
 from groundswell.operators import commands as C
 from groundswell.plans import slices
+from groundswell.sources.trail import StoredTrail
 
 T0 = utc("2026-10-01 12:00:00")
 FIELDS = ("kind", "robot_id", "command_id", "type", "flow_lpm", "actor", "ack_status", "ack_reason")
@@ -170,3 +171,33 @@ def test_views(spark):
     assert trail[-3:] == [("queued", "sent", "robot:unit-01"), ("sent", "completed", "robot:unit-01"), (None, "queued", "alice")]
     with pytest.raises(ValueError):
         C.list_commands(table, status="lost")
+
+
+def test_stored_trail_follows_the_log(spark, tmp_path, monkeypatch):
+    requests = random_log(17, 300)
+    path = str(tmp_path / "trail")
+    with pytest.raises(FileNotFoundError):
+        StoredTrail(spark, path).audit
+    first = StoredTrail(spark, path).refresh(log(spark, requests[:200]))
+    want = C.replay_commands(log(spark, requests[:200]))
+    assert sorted(map(tuple, first.audit.collect()), key=str) == sorted(map(tuple, want.audit.collect()), key=str)
+    with monkeypatch.context() as m:  # the same log again: nothing is replayed
+        m.setattr(C, "replay_commands", None)
+        StoredTrail(spark, path).refresh(log(spark, requests[:200]))
+
+    def broken(*_):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(C, "commands_table", broken)
+        StoredTrail(spark, path).refresh(log(spark, requests))
+    assert first.audit.count() == want.audit.count(), "a replay that fails leaves the old generation"
+    grown = StoredTrail(spark, path).refresh(log(spark, requests))
+    want = C.replay_commands(log(spark, requests))
+    assert sorted(map(tuple, grown.audit.collect()), key=str) == sorted(map(tuple, want.audit.collect()), key=str)
+    assert sorted(map(tuple, grown.errors.collect())) == sorted(map(tuple, want.errors.collect()))
+    df = log(spark, requests)
+    table = C.commands_table(want.audit, df)
+    assert sorted(map(tuple, C.robot_links(grown.polls, grown.commands).collect())) == sorted(map(tuple, C.robot_links(df, table).collect()))
+    assert sorted(map(tuple, grown.commands.collect()), key=str) == sorted(map(tuple, table.collect()), key=str)
+    assert "PushedFilters: [IsNotNull(command_id), EqualTo(command_id,c3)]" in C.get_command(grown.commands, "c3")._jdf.queryExecution().executedPlan().toString()
