@@ -18,6 +18,7 @@ from groundswell.functions.columns import time_bin
 SLICE_S = 3600
 # Rows that one piece should not much exceed; every slice is cut by its own count.
 PIECE_ROWS = 4_000_000
+LEVELS = 32  # of a binary tree over days: more days than timestamps have
 SLICE = ["_start", "_instant", "_block"]
 
 
@@ -94,12 +95,18 @@ def carry_forward(
     )
 
 
-def first_after(points: DataFrame, marks: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
+DAY_S = 86_400
+
+
+def first_after(points: DataFrame, marks: DataFrame, slice_s: int = SLICE_S, group_s: int = DAY_S) -> DataFrame:
     """For each distinct `at` of `points`, the first `(at, seq)` of `marks` strictly later.
 
     Returns `at, mark_at, mark_seq`; points that no mark follows are absent.  Both
     sides shrink to distinct milliseconds first, so a slice holds at most
     `2000 * slice_s` rows however many requests it stands for.
+
+    The first mark of what lies behind a slice is found on two levels: among the slices of its group (a day), and, for
+    a group's last slices, among the groups that have a mark, each of which only asks for the nearest one after it.
     """
     marks = (
         marks.groupBy(F.unix_millis("at").alias("_ms"))
@@ -107,14 +114,15 @@ def first_after(points: DataFrame, marks: DataFrame, slice_s: int = SLICE_S) ->
         .select("_ms", F.struct(F.col("_ms"), F.col("_seq")).alias("_mark"))
     )
     points = points.select(F.unix_millis("at").alias("_ms")).distinct()
-    both = points.unionByName(marks, allowMissingColumns=True).withColumn(
-        "_slice", F.floor(F.col("_ms") / F.lit(slice_s * 1000))
-    )
-    # One row per slice: bounded by the covered time span, so one task is enough.
-    heads = both.groupBy("_slice").agg(F.min("_mark").alias("_head"))
-    later = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
-    heads = heads.select("_slice", F.first("_head", ignorenulls=True).over(later).alias("_mark"))
-    everything = both.withColumn("_tail", F.lit(False)).unionByName(
+    both = points.unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_slice", F.floor(F.col("_ms") / F.lit(slice_s * 1000)))
+    both = both.withColumn("_group", F.floor(F.col("_slice") * slice_s / F.lit(group_s)))
+    heads = both.groupBy("_group", "_slice").agg(F.min("_mark").alias("_head"))
+    later = Window.partitionBy("_group").orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    within = heads.select("_group", "_slice", F.first("_head", ignorenulls=True).over(later).alias("_mark"))
+    beyond = _next_group(heads.groupBy("_group").agg(F.min("_head").alias("_head")))
+    heads = within.join(beyond, "_group", "left").select("_slice", F.coalesce("_mark", "_beyond").alias("_mark"))
+    everything = both.drop("_group").withColumn("_tail", F.lit(False)).unionByName(
         heads.withColumn("_tail", F.lit(True)), allowMissingColumns=True
     )
     # Backwards in time; at equal times a point comes before a mark, so "strictly later" holds.
@@ -132,3 +140,22 @@ def first_after(points: DataFrame, marks: DataFrame, slice_s: int = SLICE_S) ->
             F.col("_next._seq").alias("mark_seq"),
         )
     )
+
+
+def _next_group(groups: DataFrame) -> DataFrame:
+    """`(_group, _beyond)`: the head of the nearest later group that has one.
+
+    Numbers are cut into aligned blocks of 1, 2, 4, ... groups (a binary tree of LEVELS levels).  What lies behind a group is
+    the union of at most LEVELS such blocks, so each group looks its blocks up by an equi-join and takes the least head:
+    rows meet by block, and no window runs over all of them.
+    """
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    number = F.col("_group") + F.lit(1 << LEVELS - 1)  # none is negative, so all have one root
+    block = lambda k: F.call_function("shiftright", number, k)
+    kept = groups.where(F.col("_head").isNotNull())
+    tree = kept.select(F.explode(F.transform(levels, lambda k: F.struct(k.alias("k"), block(k).alias("b")))).alias("n"), "_head")
+    tree = tree.groupBy("n").agg(F.min("_head").alias("_head"))
+    # To the right of a path from the leaf: at every level where the path goes left, the sibling.
+    behind = F.filter(levels, lambda k: block(k) % 2 == 0)
+    asks = groups.select("_group", F.explode(F.transform(behind, lambda k: F.struct(k.alias("k"), (block(k) + 1).alias("b")))).alias("n"))
+    return asks.join(tree, "n").groupBy("_group").agg(F.min("_head").alias("_beyond"))

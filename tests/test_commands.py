@@ -6,6 +6,7 @@ from datetime import timedelta
 import command_model
 import pytest
 from conftest import utc
+from pyspark.sql import functions as F
 
 from groundswell import schema as S
 from groundswell.operators import commands as C
@@ -201,3 +202,24 @@ def test_stored_trail_follows_the_log(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, C.robot_links(grown.polls, grown.commands).collect())) == sorted(map(tuple, C.robot_links(df, table).collect()))
     assert sorted(map(tuple, grown.commands.collect()), key=str) == sorted(map(tuple, table.collect()), key=str)
     assert "PushedFilters: [IsNotNull(command_id), EqualTo(command_id,c3)]" in C.get_command(grown.commands, "c3")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("slice_s,group_s", [(3600, 86_400), (1, 4), (2, 2)])
+def test_first_mark_after_a_point(spark, slice_s, group_s):
+    """Gaps of many days, marks before 1970, equal times and points behind the last mark."""
+    rng = random.Random(group_s)
+    span = [rng.choice([rng.randrange(-9000, 9000), rng.randrange(0, 4_000_000), rng.randrange(10**10, 10**10 + 5000)]) for _ in range(400)]
+    points, marks = span[:200] + [10**12], span[200:] + span[:20]
+    at = F.timestamp_millis(F.col("ms"))
+    p = spark.createDataFrame([(m,) for m in points], "ms long").select(at.alias("at"))
+    m = spark.createDataFrame([(v, i) for i, v in enumerate(marks)], "ms long, seq long").select(at.alias("at"), "seq")
+    out = slices.first_after(p, m, slice_s, group_s)
+    got = {(a, b, c) for a, b, c in out.select(F.unix_millis("at"), F.unix_millis("mark_at"), "mark_seq").collect()}
+    want = set()
+    for v in points:
+        later = min(((k, i) for i, k in enumerate(marks) if k > v), default=None)
+        if later:
+            want.add((v, *later))
+    assert got == want
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("partition" in line or ", [" in line for line in text.splitlines() if "Window" in line and "windowspec" in line)
