@@ -16,10 +16,14 @@ from groundswell.plans.slices import carry_forward, first_after
 
 _MOVES = (
     "robot_id string, command_id string, type string, from_status string, to_status string, actor string, "
-    "reason string, at_ms long, due_ms long, order_seq long, phase int, ordinal long, error int"
+    "reason string, at_ms long, due_ms long, order_seq long, phase int, ordinal long, error int, episode long, segment long, "
+    "created long, sent long"
 )
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 _MOVES_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in _MOVES.split(", "))])
+_SEGMENT = ["robot_id", "episode", "segment"]
+SEGMENT_ROWS = 100_000  # steps of an episode that are folded in one go
+_EXIT = 2  # phase of the rows that tell what is open at the end of a segment
 # After this long without a new command, none but an e-stop can be open.
 _SETTLED_MS = S.QUEUE_TTL_MS + S.ACK_TIMEOUT_MS
 
@@ -116,35 +120,97 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One episode in order; only its open commands and the ids it created stay in memory."""
-    robot_id = key[0].as_py()
+    """One segment in order, from the commands that are open at its start; only open commands stay in memory.
+
+    The last rows say what is open at its end, in the form of the expiry it would come to.
+    """
+    robot_id, episode, segment = (k.as_py() for k in key)
     pending: list[Open] = []
-    created: set[str] = set()
     last = (0, -1)
 
     def row(m, r, phase, ordinal):
         at, seq = (None, None) if m.due is not None else (r.at_ms, r.seq)
         c = m.command
-        return robot_id, c.id, c.type, m.before, m.after, m.actor, m.reason, at, m.due, seq, phase, ordinal, None
+        return robot_id, c.id, c.type, m.before, m.after, m.actor, m.reason, at, m.due, seq, phase, ordinal, None, episode, segment, None, None
 
     for batch in batches:
         out = []
-        for values in zip(*[batch.column(f).to_pylist() for f in Request._fields], strict=True):
+        opened = zip(batch.column("created").to_pylist(), batch.column("sent").to_pylist(), strict=True)
+        for (created, sent), values in zip(opened, zip(*[batch.column(f).to_pylist() for f in Request._fields], strict=True), strict=True):
             r = Request(*values)
+            if created is not None:
+                pending.append(Open(r.command_id, r.type, r.seq, created, sent))
+                continue
             if (r.at_ms, r.seq) < last:
-                raise RuntimeError("requests of an episode must arrive in order")
+                raise RuntimeError("requests of a segment must arrive in order")
             last = (r.at_ms, r.seq)
             pending, moves, error = advance(pending, r, robot_id)
             for i, m in enumerate(moves):
                 due = m.due is not None
                 out.append(row(m, r, 0 if due else 1, m.command.seq if due else i))
-                if m.after == "queued":
-                    created.add(m.command.id)
             if error is not None:
-                code = 404 if error == 409 and r.command_id not in created else error
-                out.append((robot_id, r.command_id, r.type, None, None, r.actor, None, r.at_ms, None, r.seq, 1, 0, code))
+                out.append((robot_id, r.command_id, r.type, None, None, r.actor, None, r.at_ms, None, r.seq, 1, 0, error, episode, segment, None, None))
         yield _batch(out)
-    yield _batch([row(expiry(c), None, 0, c.seq) for c in pending if c.deadline is not None])
+    # A waiting e-stop has no deadline.
+    yield _batch([(*row(expiry(c), Request(c.seq, *[None] * 8), _EXIT, c.seq)[:-2], c.created, c.sent) for c in pending])
+
+
+def _segments(steps: DataFrame) -> DataFrame:
+    """Add `segment`: an episode of more than SEGMENT_ROWS steps is cut into equal spans of time with about so many each."""
+    cuts = (
+        steps.groupBy("robot_id", "episode")
+        .agg(F.count("*").alias("n"), F.min("at_ms").alias("_from"), F.max("at_ms").alias("_to"))
+        .where(F.col("n") > SEGMENT_ROWS)
+        .select("robot_id", "episode", "_from", "_to", F.ceil(F.col("n") / F.lit(SEGMENT_ROWS)).alias("_cuts"))
+    )
+    part = F.floor((F.col("at_ms") - F.col("_from")) * F.col("_cuts") / (F.col("_to") - F.col("_from") + 1))
+    return steps.join(cuts, ["robot_id", "episode"], "left").withColumn("segment", F.coalesce(part, F.lit(0).cast("long"))).drop("_from", "_to", "_cuts")
+
+
+def _run_segments(steps: DataFrame, entries: DataFrame | None) -> DataFrame:
+    rows = steps if entries is None else steps.unionByName(entries, allowMissingColumns=True)
+    dealt = rows.repartition(parallelism(steps.sparkSession), *_SEGMENT).sortWithinPartitions(
+        *_SEGMENT, F.col("created").isNull(), F.when(F.col("created").isNull(), F.col("at_ms")), "seq"
+    )
+    return materialize(dealt.groupBy(*_SEGMENT).applyInArrow(_fold, _MOVES), "moves")
+
+
+def _fold_segments(steps: DataFrame) -> DataFrame:
+    """The moves of all segments, each from the commands its predecessor leaves open.
+
+    Segments run side by side, first from nothing. Those whose predecessor turns out to leave something else open than was
+    assumed run again, until nothing changes: then every segment has followed from the one before, as if in one go.
+    Queues forget: a command is gone 150 s after it was issued, so a wrong start seldom reaches the end of a segment, and few
+    rounds are needed; each costs no more than the segments that changed.
+    """
+    steps = materialize(steps.withColumns({"created": F.lit(None).cast("long"), "sent": F.lit(None).cast("long")}), "steps")
+    moves = _run_segments(steps, None)
+    ends = moves.where(F.col("phase") == _EXIT)
+    order = Window.partitionBy("robot_id", "episode").orderBy("segment")
+    following = steps.select(*_SEGMENT).distinct().withColumn("_next", F.lead("segment").over(order)).where(F.col("_next").isNotNull())
+    following = materialize(following, "segments-that-go-on")
+    if following.isEmpty():
+        return moves
+    # What stays open at the end of a segment that goes on is an entry of the next one, and no expiry.
+    assumed = None
+    while True:
+        entries = ends.join(following, _SEGMENT).select(
+            "robot_id", "episode", F.col("_next").alias("segment"), F.lit("open").alias("kind"), "command_id", "type",
+            F.col("ordinal").alias("seq"), "created", "sent",
+        )
+        entries = materialize(entries, "entries")
+        signature = F.sort_array(F.collect_list(F.struct("seq", "command_id", "created", F.coalesce("sent", F.lit(-1)))))  # a queue's open commands
+        now = entries.groupBy(*_SEGMENT).agg(signature.alias("now"))
+        before = entries.where("false") if assumed is None else assumed
+        before = before.groupBy(*_SEGMENT).agg(signature.alias("before"))
+        changed = materialize(now.join(before, _SEGMENT, "full").where(~F.col("now").eqNullSafe(F.col("before"))).select(*_SEGMENT), "changed")
+        if changed.isEmpty():
+            last = following.select(*_SEGMENT, F.lit(True).alias("_goes_on"))
+            moves = moves.join(last, _SEGMENT, "left")
+            return moves.where((F.col("phase") != _EXIT) | F.col("_goes_on").isNull()).drop("_goes_on")
+        again = _run_segments(steps.join(changed, _SEGMENT, "left_semi"), entries.join(changed, _SEGMENT, "left_semi"))
+        moves = materialize(moves.join(changed, _SEGMENT, "left_anti").unionByName(again), "moves-so-far")
+        ends, assumed = moves.where(F.col("phase") == _EXIT), entries
 
 
 def replay_commands(requests: DataFrame) -> Replay:
@@ -171,13 +237,11 @@ def replay_commands(requests: DataFrame) -> Replay:
         "robot_id", "episode", "seq", _ms("at").alias("at_ms"), "kind", "command_id", "type",
         _param_error().alias("param_error"), "actor", "ack_status", "ack_reason",
     )
-    moves = (
-        steps.repartition(parallelism(requests.sparkSession), "robot_id", "episode")
-        .sortWithinPartitions("robot_id", "episode", "at_ms", "seq")
-        .groupBy("robot_id", "episode")
-        .applyInArrow(_fold, _MOVES)
-    )
-    moves = materialize(moves, "moves")
+    moves = _fold_segments(_segments(materialize(steps, "routed-steps")))
+    # What is open at the end of an episode runs out; a waiting e-stop does not.
+    moves = moves.where((F.col("phase") != _EXIT) | F.col("due_ms").isNotNull())
+    moves = moves.withColumn("phase", F.when(F.col("phase") == _EXIT, 0).otherwise(F.col("phase"))).drop("episode", "segment", "created", "sent")
+    moves = materialize(moves, "all-moves")
     columns = ["at", "command_id", "robot_id", "type", "from_status", "to_status", "actor", "reason", "order_seq", "phase", "ordinal"]
     done = moves.where(F.col("to_status").isNotNull())
     timed = done.where(F.col("due_ms").isNull()).withColumn("at", F.timestamp_millis("at_ms")).select(*columns)
@@ -195,8 +259,13 @@ def replay_commands(requests: DataFrame) -> Replay:
         "code", F.when(F.col("_created"), 409).otherwise(404)
     )
     unknown = aimed.where(F.col("command_id").isNull()).unionByName(known.where(F.col("_robot").isNull()).select(aimed.columns))
+    # A target that is not open is finished (409) if it was admitted before, else unknown (404).
+    admitted = timed.where(F.col("to_status") == "queued").groupBy("command_id").agg(F.min(F.struct(_ms("at"), "order_seq")).alias("_admitted"))
+    missed = moves.where(F.col("error") == 409).join(admitted, "command_id", "left")
+    before = F.coalesce(F.col("_admitted") < F.struct("at_ms", "order_seq"), F.lit(False))
     parts = [
-        moves.where(F.col("error").isNotNull()).select(F.col("order_seq").alias("seq"), F.col("error").alias("code")),
+        moves.where(F.col("error") != 409).select(F.col("order_seq").alias("seq"), F.col("error").alias("code")),
+        missed.select(F.col("order_seq").alias("seq"), F.when(before, 409).otherwise(404).alias("code")),
         tardy.select("seq", "code"),
         unknown.select("seq", F.lit(404).alias("code")),
         refused.select("seq", F.lit(400).alias("code")),

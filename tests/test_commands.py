@@ -123,10 +123,13 @@ def random_log(seed, n=900):
     return out
 
 
-@pytest.mark.parametrize("seed", [11, 12, 13])
-def test_replay_equals_the_sequential_service(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed,segment", [(11, None), (12, None), (13, None), (11, 7), (13, 3), (14, 40)])
+def test_replay_equals_the_sequential_service(spark, monkeypatch, seed, segment):
+    """Wherever the log is cut, also inside a stretch that never pauses."""
     if seed == 12:
         monkeypatch.setattr(slices, "PIECE_ROWS", 3)
+    if segment:
+        monkeypatch.setattr(C, "SEGMENT_ROWS", segment)
     requests = random_log(seed)
     if seed == 13:  # a burst without polls reaches the pending limit
         end = requests[-1]["ms"]
