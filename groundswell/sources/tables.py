@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import date, datetime, timedelta
 
@@ -13,6 +14,7 @@ from groundswell import schema as S
 from groundswell.operators.ingest import accepted_samples, validate_samples
 from groundswell.operators.timeseries import series_range, site_feed
 from groundswell.sources.batches import claimed_rows
+from groundswell.sources.folder import Folder
 from groundswell.sources.ledger import Ledger
 
 COLUMNS = [f.name for f in S.TELEMETRY.fields]
@@ -85,19 +87,63 @@ def drop_expired(spark: SparkSession, table: str, today: date, keep_days: int =
     return old
 
 
+def _manifests(spark: SparkSession, out: str) -> Folder:
+    return Folder(spark, f"{out.rstrip('/')}/_compacted")
+
+
+def compacted_days(spark: SparkSession, out: str) -> dict[date, str]:
+    """The folder of every day that has been compacted: one entry a day."""
+    folder = _manifests(spark, out)
+    found: dict[date, str] = {}
+    for name in folder.names("run-"):
+        found |= {date.fromisoformat(day): where for day, where in json.loads(folder.read(name, last="}")).items()}
+    return found
+
+
 def compact_partitions(
     spark: SparkSession, path: str, out: str, today: date, after_days: int = S.COMPRESS_AFTER_DAYS
-) -> None:
-    """Rewrite cold days clustered by site, robot and falling time; recent days move as they are.
+) -> list[date]:
+    """Rewrite the days that have turned cold since the last run, clustered by site, robot and falling time; returns them.
 
-    Range partitioning cuts a heavy day into several files instead of one task.
+    Each run writes a folder of its own under `out` and then a manifest that names its days, so readers see all of a run or nothing, and a
+    run that fails changes nothing.  Days in a manifest are not looked at again: a second run reads no file.
+    Range partitioning cuts a heavy day into several files instead of one task.  `read_compacted` reads cold days
+    from here and the others from `path`, whose cold folders may then be dropped.
     """
+    done = compacted_days(spark, out)
     table = read_telemetry(spark, path)
-    cold = F.col("ts_date") < F.lit(_cutoff(today, after_days))
+    cutoff = _cutoff(today, after_days)
+    # Partition names alone answer this; at most one row a day reaches the driver.
+    days = table.where((F.col("ts_date") < F.lit(cutoff)) & ~F.col("ts_date").isin(*done)) if done else table.where(F.col("ts_date") < F.lit(cutoff))
+    cold = sorted(r.ts_date for r in days.select("ts_date").distinct().collect())
+    if not cold:
+        return []
+    run = uuid.uuid4().hex
     clustered = (
-        table.where(cold)
+        table.where(F.col("ts_date").isin(*cold))
         .repartitionByRange("ts_date", "site_id", "robot_id", "ts")
         .sortWithinPartitions("ts_date", "site_id", "robot_id", F.desc("ts"))
     )
-    clustered.write.mode("append").partitionBy("ts_date").parquet(out)
-    table.where(~cold).hint("rebalance", "ts_date").write.mode("append").partitionBy("ts_date").parquet(out)
+    clustered.write.partitionBy("ts_date").parquet(f"{out.rstrip('/')}/{run}")
+    folder = _manifests(spark, out)
+    if set(cold) & set(compacted_days(spark, out)):
+        raise RuntimeError("another run has compacted the same days; this one's folder is not used")
+    number = len(folder.names("run-"))
+    text = json.dumps({day.isoformat(): run for day in cold})
+    while not folder.create(f"run-{number:09d}", text):
+        number += 1
+    return cold
+
+
+def read_compacted(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """The table with its compacted days from `out` and all others from `path`; days are pruned on both sides."""
+    done = compacted_days(spark, out)
+    recent = read_telemetry(spark, path)
+    if not done:
+        return recent
+    recent = recent.where(~F.col("ts_date").isin(*done))
+    cold = None
+    for run in sorted(set(done.values())):
+        part = read_telemetry(spark, f"{out.rstrip('/')}/{run}").where(F.col("ts_date").isin(*[d for d, r in done.items() if r == run]))
+        cold = part if cold is None else cold.unionByName(part)
+    return recent.unionByName(cold)

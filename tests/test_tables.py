@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import shutil
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -62,11 +63,46 @@ def test_drop_expired(spark):
 def test_compaction_keeps_the_content(spark, tmp_path):
     path, out = str(tmp_path / "t"), str(tmp_path / "c")
     tables.write_telemetry(frame(spark, rows()), path)
-    tables.compact_partitions(spark, path, out, date(2024, 1, 20))
-    before, after = (tables.read_telemetry(spark, p) for p in (path, out))
+    assert tables.read_compacted(spark, path, out).count() == 120
+    days = tables.compact_partitions(spark, path, out, date(2024, 1, 20))
+    assert days == [date(2024, 1, d) for d in range(1, 13)]
+    before, after = tables.read_telemetry(spark, path), tables.read_compacted(spark, path, out)
     assert sorted(map(tuple, before.collect())) == sorted(map(tuple, after.collect()))
 
 
+def test_a_second_compaction_reads_nothing(spark, tmp_path, monkeypatch):
+    path, out = str(tmp_path / "t"), str(tmp_path / "c")
+    tables.write_telemetry(frame(spark, rows()), path)
+    tables.compact_partitions(spark, path, out, date(2024, 1, 20))
+    files = sorted(str(p) for p in (tmp_path / "c").rglob("*.parquet"))
+    assert tables.compact_partitions(spark, path, out, date(2024, 1, 20)) == []
+    assert tables.compact_partitions(spark, path, out, date(2024, 1, 22)) == [date(2024, 1, 13), date(2024, 1, 14)]
+    grown = sorted(str(p) for p in (tmp_path / "c").rglob("*.parquet"))
+    assert set(files) < set(grown) and len({p.split("/")[-3] for p in grown}) == 2
+    table = tables.read_telemetry(spark, path)
+    want = sorted(map(tuple, table.collect()))
+    shutil.rmtree(tmp_path / "t" / "ts_date=2024-01-05")  # retention of the raw side
+    spark.catalog.refreshByPath(path)
+    assert sorted(map(tuple, tables.read_compacted(spark, path, out).collect())) == want
+    one = tables.read_compacted(spark, path, out).where("ts_date = DATE'2024-01-03'")
+    assert one.count() == 6 and plan(one).count("PartitionFilters: [isnotnull(ts_date") >= 1
+
+
+def test_a_failed_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    path, out = str(tmp_path / "t"), str(tmp_path / "c")
+    tables.write_telemetry(frame(spark, rows()), path)
+
+    def broken(*_, **__):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(tables.Folder, "create", broken)  # after the files, before the manifest
+        tables.compact_partitions(spark, path, out, date(2024, 1, 20))
+    assert tables.compacted_days(spark, out) == {} and tables.read_compacted(spark, path, out).count() == 120
+    assert len(tables.compact_partitions(spark, path, out, date(2024, 1, 20))) == 12
+    assert tables.read_compacted(spark, path, out).count() == 120
+
+
 def test_ledger_ranges(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "t"))
     assert ledger.mark() == 0 and ledger.claims() == []
