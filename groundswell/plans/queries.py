@@ -34,6 +34,7 @@ SCAN_START, SCAN_END = datetime(2024, 1, 5, 6), datetime(2024, 1, 20, 18)
 TODAY = date(2024, 1, 30)
 SITE = "site-1"
 STREAM_DELAY = "10 minutes"
+TRIGGER_BYTES = 1 << 30  # a trigger takes no more, so its state and sorts stay bounded
 
 
 def utc_session(spark: SparkSession) -> SparkSession:
@@ -519,7 +520,8 @@ def robot_links(spark, sf):
 
 def _sample_stream(spark, sf) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    ev = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")  # a stream reads folders or patterns
+    files = spark.readStream.schema(schema).option("maxBytesPerTrigger", TRIGGER_BYTES)
+    ev = files.parquet(f"{sf}/events.parquet*")  # a stream reads folders or patterns
     raw = A.raw_samples(ev.withColumn("ts", F.col("ts").cast("timestamp")))
     return ingest.accepted_samples(raw, A.now())
 
@@ -571,8 +573,8 @@ def stream_site_feed_handover(spark, sf):
 
 def _epochs(spark, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     path, checkpoint = sinks.scratch(spark, name)
-    sinks.run_epochs(stream, sinks.epoch_writer(path), checkpoint)
-    return sinks.newest(sinks.read_epochs(spark, path, stream.schema), keys)
+    sinks.run_epochs(stream, sinks.merging_writer(path, keys), checkpoint)
+    return sinks.read_merged(spark, path, stream.schema, keys)
 
 
 @query

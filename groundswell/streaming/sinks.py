@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from groundswell.plans.shared import fresh_path
+from groundswell.sources.folder import Folder
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -38,6 +40,51 @@ def epoch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def merging_writer(path: str, keys: list[str], least_rows: int = 100_000) -> Callable[[DataFrame, int], None]:
+    """`epoch_writer` for updates of keyed rows, with a merge now and then, so that readers need not see every epoch.
+
+    When the epochs since the last merge hold as many rows as its result (and `least_rows`), the newest row of each key is
+    written to a folder of its own and a manifest names it: the result doubles or the epochs have turned over all of it, so a row
+    is rewritten about as often as the number of keys doubles, and a reader's cost follows the keys, not the epochs.
+    """
+    write_epoch = epoch_writer(path)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        write_epoch(batch, epoch)
+        spark = batch.sparkSession
+        base = _base(spark, path, below=epoch)
+        waiting = read_epochs(spark, path, batch.schema).where(F.col("epoch").between(base["epoch"] + 1, epoch))
+        if waiting.count() < max(least_rows, base["rows"]):  # counted from the files' footers
+            return
+        merged = newest(_from_base(spark, path, batch.schema, base, upto=epoch), keys)
+        merged.write.mode("overwrite").parquet(f"{path}/_merged/upto={epoch}")
+        rows = spark.read.parquet(f"{path}/_merged/upto={epoch}").count()
+        Folder(spark, f"{path}/_merges").create(f"merge-{epoch:012d}", json.dumps({"epoch": epoch, "rows": rows}))
+
+    return write
+
+
+def _base(spark: SparkSession, path: str, below: int | None = None) -> dict:
+    """The last merge; that of a repeated epoch, or of one behind it, does not count."""
+    folder = Folder(spark, f"{path}/_merges")
+    names = [n for n in folder.names("merge-") if below is None or int(n.removeprefix("merge-")) < below]
+    return json.loads(folder.read(names[-1], last="}")) if names else {"epoch": -1, "rows": 0}
+
+
+def _from_base(spark: SparkSession, path: str, schema: StructType, base: dict, upto: int | None = None) -> DataFrame:
+    later = read_epochs(spark, path, schema).where(F.col("epoch") > base["epoch"])
+    later = later if upto is None else later.where(F.col("epoch") <= upto)
+    if base["epoch"] < 0:
+        return later
+    merged = spark.read.schema(schema).parquet(f"{path}/_merged/upto={base['epoch']}")
+    return merged.withColumn("epoch", F.lit(base["epoch"]).cast("long")).unionByName(later)
+
+
+def read_merged(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """The last update of each key, from the last merge and the epochs after it; other epochs are pruned."""
+    return newest(_from_base(spark, path, schema, _base(spark, path)), keys)
+
+
 def read_epochs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(StructType([*schema.fields]).add("epoch", "long")).parquet(path)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 from datetime import timedelta
 
 import command_model
@@ -52,6 +53,27 @@ def test_latest_over_batches_with_late_rows(spark, tmp_path, rows):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_merged_epochs_are_all_a_reader_needs(spark, tmp_path):
+    """A merge when the epochs hold as many rows as the last one, a retried epoch, and readers that skip what is merged."""
+    path = str(tmp_path / "out")
+    write = sinks.merging_writer(path, ["k"], least_rows=6)
+    schema = "k long, v long"
+    truth, rng = {}, random.Random(4)
+    for epoch in range(12):
+        rows = {rng.randrange(10): 100 * epoch + i for i in range(3)}
+        batch = spark.createDataFrame(list(rows.items()), schema)
+        truth |= rows
+        write(batch, epoch)
+        if epoch % 5 == 4:
+            write(batch, epoch)  # a retry
+        got = sinks.read_merged(spark, path, batch.schema, ["k"])
+        assert {r.k: r.v for r in got.collect()} == truth
+    merges = sorted(p.name for p in (tmp_path / "out" / "_merges").glob("merge-*"))
+    assert 2 <= len(merges) < 6
+    shutil.rmtree(tmp_path / "out" / "epoch=0")  # behind the last merge: nobody looks there any more
+    assert {r.k: r.v for r in sinks.read_merged(spark, path, batch.schema, ["k"]).collect()} == truth
+
+
 def test_fleet_state_over_batches(spark, tmp_path, rows):
     """Rows may come out of order inside the delay; the settled litres do not notice."""
     swapped = rows[:]
