@@ -49,7 +49,8 @@ def _param_error() -> Column:
     return F.when(
         F.col("kind") == "issue",
         F.when(setpoint, f"set_flow requires params.flow_lpm in (0, {S.MAX_SETPOINT_LPM:.0f}]").when(
-            (F.col("type") != "set_flow") & flow.isNotNull(), F.concat(F.col("type"), F.lit(" takes no params"))
+            # A parameter that is given as null is given; without any the struct is null.
+            (F.col("type") != "set_flow") & F.col("params").isNotNull(), F.concat(F.col("type"), F.lit(" takes no params"))
         ),
     )
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from groundswell import schema as S
 from groundswell.functions.columns import expected_pressure_kpa, mogi_uplift_m, ramp_colour
-from groundswell.plans.shared import parallelism
+from groundswell.plans.shared import materialize, parallelism
 
 BLOCK = 4096
 SALTS = 16
+PACKED = 1024  # spots of a tile that are packed into one row
+MAX_DEPTH = 24  # cuts of a tile; the last cells are 2**-24 of it
 
 
 def _tile(coord: Column | str, size: float) -> Column:
@@ -121,9 +123,44 @@ def nearest_robot(latest: DataFrame, queries: DataFrame, limit: float = S.PICK_L
 
     Robots on one spot count as their lowest id.  The robots around a tile are packed
     into one row, so a query meets one row and no pairs are made.
+
+    A tile with more than PACKED spots is cut into quarters until none is, and its neighbours see its cells instead
+    of its spots.  A query keeps the cells that may hold its nearest robot: those no farther than the least distance within
+    which some cell surely has one.  Only those cells' quarters, and at last their spots, are looked at.
     """
     spots = latest.groupBy("site_id", F.col("x_m").alias("x"), F.col("y_m").alias("y")).agg(F.min("robot_id").alias("robot_id"))
-    near = _copies(spots, limit).groupBy("site_id", "tx", "ty").agg(F.collect_list(F.struct("robot_id", "x", "y")).alias("near"))
+    crowded = spots.groupBy("site_id", _tile("x", limit).alias("tx"), _tile("y", limit).alias("ty")).agg(F.count("*").alias("n"))
+    crowded = crowded.where(F.col("n") > PACKED).select("site_id", "tx", "ty")
+    if crowded.isEmpty():
+        return _with_nearest(queries, _packed_spots(spots, limit), limit)
+    crowded = materialize(crowded, "crowded-tiles")
+    own = ["site_id", "tx", "ty"]
+    tiled = spots.withColumns({"tx": _tile("x", limit), "ty": _tile("y", limit)})
+    sparse = tiled.join(crowded, own, "left_anti").drop("tx", "ty")
+    dense = materialize(tiled.join(crowded, own, "left_semi").drop("tx", "ty"), "crowded-spots")
+    key = fresh_name(queries, "_query")
+    asked = materialize(queries.select("*", F.monotonically_increasing_id().alias(key)), "queries")  # written, so the numbers stay
+    first = materialize(_with_nearest(asked, _packed_spots(sparse, limit), limit), "nearest-of-sparse")
+    found = _best_first(first.select(key, "site_id", "x", "y", "distance_m"), dense, key, limit)
+    both = first.join(found, key, "left")
+    closer = F.col("_d").isNotNull() & (
+        F.col("distance_m").isNull() | (F.struct("_d", "_robot") < F.struct("distance_m", "robot_id"))
+    )
+    pick = lambda new, old: F.when(closer, F.col(new)).otherwise(F.col(old)).alias(old)
+    return both.select(*queries.columns, pick("_robot", "robot_id"), pick("_d", "distance_m"))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _packed_spots(spots: DataFrame, limit: float) -> DataFrame:
+    return _copies(spots, limit).groupBy("site_id", "tx", "ty").agg(F.collect_list(F.struct("robot_id", "x", "y")).alias("near"))
+
+
+def _with_nearest(queries: DataFrame, near: DataFrame, limit: float) -> DataFrame:
     tiled = queries.withColumns({"tx": _tile("x", limit), "ty": _tile("y", limit)})
     ranked = F.transform("near", lambda p: F.struct(F.sqrt(_d2(p)).alias("d"), p["robot_id"].alias("robot_id")))
     best = F.array_min(F.filter(ranked, lambda p: p["d"] < limit))
@@ -132,6 +169,57 @@ def nearest_robot(latest: DataFrame, queries: DataFrame, limit: float = S.PICK_L
     )
 
 
+def _best_first(asked: DataFrame, dense: DataFrame, key: str, limit: float) -> DataFrame:
+    """`(key, _d, _robot)`: the nearest of the crowded spots closer than `limit` and than what the query already has."""
+    cell = ["site_id", "cx", "cy"]
+
+    def cells(size: float) -> DataFrame:
+        return dense.groupBy("site_id", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).agg(F.count("*").alias("n"))
+
+    def bounds(size: float) -> tuple[Column, Column]:
+        """Least and largest distance from the query to a point of the cell."""
+        gaps, reach = [], []
+        for at, c in (("x", "cx"), ("y", "cy")):
+            low, high = F.col(c) * size, (F.col(c) + 1) * size
+            gaps.append(F.greatest(low - F.col(at), F.col(at) - high, F.lit(0.0)))
+            reach.append(F.greatest(F.abs(F.col(at) - low), F.abs(F.col(at) - high)))
+        return (F.sqrt(g[0] * g[0] + g[1] * g[1]) for g in (gaps, reach))
+
+    size, steps = limit, F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    asks = asked.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
+    asks = asks.withColumn("cx", F.floor(F.col("x") / size) + F.col("_dx")).withColumn("cy", F.floor(F.col("y") / size) + F.col("_dy"))
+    asks = asks.drop("_dx", "_dy")
+    ready = None
+    for _ in range(MAX_DEPTH):
+        near, far = bounds(size)
+        level = asks.join(cells(size), cell).withColumns({"_near": near, "_far": far})
+        least = level.groupBy(key).agg(F.min("_far").alias("_within"))
+        slack = 1e-9 * limit
+        level = level.join(least, key).where(F.col("_near") <= F.least("_within", F.coalesce("distance_m", F.lit(limit))) + slack)
+        level = materialize(level.select(*asked.columns, "cx", "cy", "n"), "candidate-cells")
+        small = level.where(F.col("n") <= PACKED).withColumn("size", F.lit(size)).drop("n")
+        ready = small if ready is None else ready.unionByName(small)
+        large = level.where(F.col("n") > PACKED).drop("n")
+        if large.isEmpty():
+            break
+        half = F.array(F.lit(0), F.lit(1))
+        asks = large.withColumn("_dx", F.explode(half)).withColumn("_dy", F.explode(half))
+        asks = asks.withColumns({"cx": F.col("cx") * 2 + F.col("_dx"), "cy": F.col("cy") * 2 + F.col("_dy")}).drop("_dx", "_dy")
+        size /= 2
+    else:  # spots that no cut tells apart are looked at one by one
+        ready = ready.unionByName(large.withColumn("size", F.lit(2 * size)))
+    # Each size's spots under their own cells; a query meets PACKED spots of a cell at most.
+    sizes = [r["size"] for r in ready.select("size").distinct().collect()]  # at most MAX_DEPTH
+    spots = None
+    for s in sizes:
+        part = dense.withColumns({"size": F.lit(s), "cx": F.floor(F.col("x") / s), "cy": F.floor(F.col("y") / s)})
+        part = part.select("site_id", "size", "cx", "cy", F.struct("robot_id", "x", "y").alias("p"))
+        spots = part if spots is None else spots.unionByName(part)
+    pairs = ready.join(spots, ["site_id", "size", "cx", "cy"]).withColumn("_d", F.sqrt(_d2(F.col("p"))))
+    best = pairs.where(F.col("_d") < limit).groupBy(key).agg(F.min(F.struct("_d", F.col("p.robot_id").alias("_robot"))).alias("b"))
+    return best.select(key, "b._d", "b._robot")
+
+
 def uplift_field(points: DataFrame, injections: DataFrame) -> DataFrame:
     """Surface uplift in mm at each distinct point (`site_id, x, y, …`) from all injections of its site.
 

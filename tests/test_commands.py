@@ -226,3 +226,11 @@ def test_first_mark_after_a_point(spark, slice_s, group_s):
     assert got == want
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("partition" in line or ", [" in line for line in text.splitlines() if "Window" in line and "windowspec" in line)
+
+
+def test_a_parameter_given_as_null_is_given(spark):
+    df = log(spark, [request(0, 0, "issue", command_id="a", type="pause"), request(1, 0, "issue", command_id="b", type="set_flow")])
+    given = df.withColumn("params", F.struct(F.lit(None).cast("double").alias("flow_lpm")))
+    errors = [r.param_error for r in C.valid_command_params(given).orderBy("seq").collect()]
+    assert errors[0] == "pause takes no params" and errors[1].startswith("set_flow requires")
+    assert C.valid_command_params(df).where("seq = 0").first().param_error is None

@@ -127,3 +127,24 @@ def test_grid_follows_the_survey_and_not_an_outlier(spark):
     cells = {(r.x0, r.y0): r.uplift for r in spatial.uplift_grid(survey, bounds, scale).collect()}
     near = lambda x, y: {(i, j) for i in range(x - 13, x + 14) for j in range(y - 13, y + 14) if (i + 0.5 - x) ** 2 + (j + 0.5 - y) ** 2 <= 144}
     assert set(cells) == {c for c in near(0, 0) if min(c) >= -5} | {c for c in near(10**6, 10**6) if c[1] < 1e6 + 5}
+
+
+@pytest.mark.parametrize("packed,depth", [(8, 24), (40, 24), (8, 1)])
+def test_nearest_robot_in_crowded_tiles(spark, monkeypatch, packed, depth):
+    """Crowds in one tile and across corners, ties, robots on one spot, sparse neighbours and queries around all of them."""
+    monkeypatch.setattr(spatial, "PACKED", packed)
+    monkeypatch.setattr(spatial, "MAX_DEPTH", depth)
+    rng = random.Random(packed + depth)
+    spots = [(round(rng.gauss(4, 0.3), 2), round(rng.gauss(4, 0.3), 2)) for _ in range(300)]
+    spots += [(round(rng.uniform(-2, 2), 1), round(rng.uniform(-2, 2), 1)) for _ in range(200)]
+    spots += [(3.0 + k, -7.0) for k in range(5)] + [(40.0, 40.0)] + [(4.0, 4.0)] * 30
+    rows = [("s" if i % 7 else "other", f"r{i:04d}", float(x), float(y)) for i, (x, y) in enumerate(spots)]
+    latest = spark.createDataFrame(rows, "site_id string, robot_id string, x_m double, y_m double")
+    places = [("s", float(rng.uniform(-12, 14)), float(rng.uniform(-12, 14))) for _ in range(150)] + [("s", 4.0, 4.0), ("s", 0.0, 0.0), ("other", 5.0, 5.0), ("none", 0.0, 0.0)]
+    queries = spark.createDataFrame(places * 2, "site_id string, x double, y double")
+    got = spatial.nearest_robot(latest, queries, limit=9.0).collect()
+    assert len(got) == 2 * len(places)
+    for r in got:
+        near = [(math.sqrt((x - r.x) ** 2 + (y - r.y) ** 2), i) for s, i, x, y in rows if s == r.site_id]
+        d, robot = min(near, default=(math.inf, None))
+        assert (r.robot_id, r.distance_m) == ((robot, pytest.approx(d)) if d < 9 else (None, None))
