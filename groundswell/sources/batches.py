@@ -15,7 +15,7 @@ from groundswell.sources.ledger import Claim, Ledger
 FIELDS = S.TEXT_FIELDS + S.NUMERIC_FIELDS
 UPLOAD_SLOTS = 1 << 13  # numbers set aside for the samples of one upload; S.MAX_BATCH is less
 _MISQUOTED = (
-    '"(?:' + "|".join(S.NUMERIC_FIELDS) + r')"\s*:\s*"'
+    '(?i)"(?:' + "|".join(S.NUMERIC_FIELDS) + r')"\s*:\s*"'
     + '|"(?:' + "|".join(S.TEXT_FIELDS) + r')"\s*:\s*[^"\sn]'
 )
 
@@ -25,6 +25,15 @@ def _once(name: str, value: Column) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
+def _plain_keys(m: Column) -> Column:
+    """Keys in lower case, as fields are matched in any case; of keys that only differ in case the last one counts."""
+    entries = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    later = lambda i: F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(0)))
+    last = F.filter(entries, lambda e, i: ~F.exists(later(i), lambda x: x["key"] == e["key"]))
+    known = F.array(*[F.lit(f) for f in FIELDS])
+    return F.when(F.size(F.array_except(F.map_keys(m), known)) > 0, F.map_from_entries(last)).otherwise(m)
+
+
 def _typed(p: Column) -> Column:
     """The element's values, and `given`: the text of each number and of the time."""
     m = p["map"]
@@ -52,9 +61,14 @@ def _decode(batches: DataFrame) -> DataFrame:
     one bad leaf can refuse the whole without a shuffle.
     """
     strict = {"allowNonNumericNumbers": "false"}
+    given = F.json_object_keys("body")
+    # The usual spelling is read in one go; in any other case the list is looked up under its own key.
+    other = F.try_element_at(F.filter(given, lambda k: F.lower(k) == "samples"), F.lit(-1))
+    spelled = F.from_json(F.from_json("body", "map<string,string>", strict)[other], "array<string>", strict)
+    listed = F.from_json("body", "struct<samples:array<string>>", strict)["samples"]
     body = F.struct(
-        F.from_json("body", "struct<samples:array<string>>", strict)["samples"].alias("samples"),
-        F.json_object_keys("body").alias("keys"),
+        F.when(F.array_contains(given, "samples") | ~F.exists(given, lambda k: F.lower(k) == "samples"), listed).otherwise(spelled).alias("samples"),
+        F.transform(given, F.lower).alias("keys"),
     )
     read = F.transform(
         F.coalesce("_body.samples", F.array().cast("array<string>")),
@@ -64,10 +78,12 @@ def _decode(batches: DataFrame) -> DataFrame:
     )
     df = batches.select("*", _once("_body", body))
     df = df.select("*", _once("_read", read))
+    plain = F.transform("_read", lambda p: F.struct(p["text"].alias("text"), _plain_keys(p["map"]).alias("map"), p["misquoted"].alias("misquoted")))
+    df = df.withColumn("_plain", _once("_plain", plain)).drop("_read").withColumnRenamed("_plain", "_read")
     df = df.select("*", _once("_elements", F.transform("_read", _typed)))
     keys = F.col("_body.keys")
     not_a_list = (
-        F.array_contains(keys, "samples") & F.col("_body.samples").isNull() & ~F.col("body").rlike(r'"samples"\s*:\s*null')
+        F.array_contains(keys, "samples") & F.col("_body.samples").isNull() & ~F.col("body").rlike(r'(?i)"samples"\s*:\s*null')
     )
     unreadable = keys.isNull() | (F.size(F.array_except(keys, F.array(F.lit("samples")))) > 0) | not_a_list
     malformed = (

@@ -24,8 +24,12 @@ SPAN_US = 300_000_000  # settled flows are kept in pieces of five minutes
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session beside the caller's, whose own settings stay as they are."""
-    return beside(spark, {_STORE: _ROCKS})
+    """A session beside the caller's, whose own settings stay as they are.
+
+    Each state partition is a store of its own that every trigger opens, so there are no more of them than cores.
+    """
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return beside(spark, {_STORE: _ROCKS, "spark.sql.shuffle.partitions": str(partitions)})
 
 
 def litres(a: tuple, b: tuple) -> float:

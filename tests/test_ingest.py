@@ -122,6 +122,24 @@ def test_arrival_numbers_are_dense_and_ordered(spark):
     assert B.with_arrival(df.limit(0)).count() == 0
 
 
+OTHER_CASE = {
+    "other case": (body(sample(), sample(battery_pct=180)).replace("samples", "Samples").replace("robot_id", "Robot_ID").replace("x_m", "X_M"), "ok", 202, 1),
+    "twice in other case": (body({**sample(depth_m=999), "Depth_M": 15}), "ok", 202, 1),
+    "stray key in other case": (body(sample(Colour="red")), "malformed", 400, 0),
+    "number as text in other case": (body(sample()).replace('"x_m": 1', '"X_m": "1"'), "malformed", 400, 0),
+    "null list in other case": ('{"SAMPLES": null}', "refused", 400, 0),
+}
+
+
+def test_keys_are_matched_in_any_letter_case(spark):
+    df = spark.createDataFrame([(name, text, NOW) for name, (text, *_) in OTHER_CASE.items()], "batch_id string, body string, received_at timestamp")
+    assert {r.batch_id: r.status for r in B.batch_status(df).collect()} == {name: status for name, (_, status, _, _) in OTHER_CASE.items()}
+    accepted = ingest.accepted_samples(B.parse_batches(df), F.lit(NOW)).collect()
+    assert [(r.batch_id, r.robot_id, r.x_m, r.depth_m) for r in sorted(accepted)] == [
+        ("other case", "unit-01", 1.0, 15.0), ("twice in other case", "unit-01", 1.0, 15.0)
+    ]
+
+
 def test_counters(uploads):
     counted = ingest.ingest_counters(B.uploaded_rows(uploads), F.lit(NOW))
     malformed = sum(s == "malformed" for _, s, _, _ in BODIES.values())
