@@ -20,6 +20,7 @@ MOVES = (
 _NAMES = [part.split()[0] for part in MOVES.split(", ")]
 STEPS = "robot_id string, seq long, at_ms long, kind string, command_id string, type string, param_error string, actor string, ack_status string, ack_reason string"
 _STEP_NAMES = [part.split()[0] for part in STEPS.split(", ")]
+ROUTER_BUCKETS = 1024  # of command ids; fixed, as a stream's state outlives a session
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -28,22 +29,27 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class CommandRouter(StatefulProcessor):
-    """Per command id: which robot it was issued to. Acks and cancels leave with that robot; those of an unknown id end here."""
+    """Per bucket of command ids: which robot each was issued to. Acks and cancels leave with that robot; those of an unknown id end here.
+
+    A call of Python costs milliseconds and an entry of state a fraction of one, so ids share buckets and only their entries are their own.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.robot = handle.getValueState("robot", "robot_id string")
+        self.robots = handle.getMapState("robots", "command_id string", "robot_id string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _in_order(rows)
-        known = self.robot.get()[0] if self.robot.exists() else None
-        robots, before = [], known
-        for kind, robot in zip(frame["kind"], frame["robot_id"], strict=True):
-            if kind == "issue" and known is None:
-                known = robot
-            robots.append(robot if kind == "issue" else known)
-        if known is not None and before is None:
-            self.robot.update((known,))
-        frame["robot_id"], frame["command_id"] = robots, key[0]  # keys are not among a frame's columns
+        held = self.robots.exists()
+        known: dict[str, str | None] = {}
+        robots = []
+        for kind, command_id, robot in zip(frame["kind"].tolist(), frame["command_id"].tolist(), frame["robot_id"].tolist(), strict=True):
+            if command_id not in known:
+                known[command_id] = self.robots.getValue((command_id,))[0] if held and self.robots.containsKey((command_id,)) else None
+            if kind == "issue" and known[command_id] is None and robot is not None:
+                known[command_id] = robot
+                self.robots.updateValue((command_id,), (robot,))
+            robots.append(robot if kind == "issue" else known[command_id])
+        frame["robot_id"] = robots
         yield frame.loc[frame["robot_id"].notna(), _STEP_NAMES]
 
     def close(self) -> None:
@@ -129,6 +135,7 @@ def stream_commands(requests: DataFrame, delay: str) -> DataFrame:
     )
     named = F.col("kind").isin("issue", "ack", "cancel") & F.col("command_id").isNotNull()
     with by_value():
-        routed = steps.where(named).groupBy("command_id").transformWithStateInPandas(CommandRouter(), STEPS, "append", "eventtime")
+        dealt = steps.where(named).withColumn("bucket", F.pmod(F.xxhash64("command_id"), F.lit(ROUTER_BUCKETS)))
+        routed = dealt.groupBy("bucket").transformWithStateInPandas(CommandRouter(), STEPS, "append", "eventtime")
         both = routed.unionByName(steps.where(F.col("kind") == "next")).where(F.col("robot_id").isNotNull())
         return both.groupBy("robot_id").transformWithStateInPandas(RobotQueue(), MOVES, "append", "eventtime")

@@ -5,6 +5,7 @@ import shutil
 from datetime import timedelta
 
 import command_model
+import pandas as pd
 import pytest
 from conftest import SMALL, utc
 from pyspark.sql import functions as F
@@ -225,3 +226,30 @@ def test_requests_behind_the_watermark_are_applied(spark, tmp_path):
     assert [(r.command_id, r.to_status) for r in trail if r.robot_id == "a" and r.to_status != "expired"] == [
         ("c1", "queued"), ("c1", "cancelled"), ("c2", "queued"), ("c2", "sent")
     ]
+
+
+class _Entries(dict):
+    """A map state in memory."""
+
+    exists = dict.__len__
+    containsKey = dict.__contains__
+    getValue = dict.__getitem__
+    updateValue = dict.__setitem__
+
+
+def test_router_takes_many_commands_in_one_call():
+    """A call of Python for each command id is what took the time; ids share one, keep the robot of their first issue and are written once."""
+    router, entries = sc.CommandRouter(), _Entries()
+    router.init(type("Handle", (), {"getMapState": lambda self, *_: entries})())
+
+    def call(*requests):
+        rows = [dict.fromkeys(sc._STEP_NAMES) | dict(zip(("seq", "kind", "command_id", "robot_id"), r, strict=True)) for r in requests]
+        out = list(router.handleInputRows((0,), iter([pd.DataFrame(rows)]), None))
+        assert len(out) == 1
+        return [(int(s), c, r) for s, c, r in zip(out[0]["seq"], out[0]["command_id"], out[0]["robot_id"], strict=True)]
+
+    first = call((3, "ack", "c1", None), (1, "issue", "c1", "a"), (2, "issue", "c2", "b"), (0, "cancel", "c2", None), (4, "issue", "c1", "b"))
+    assert first == [(1, "c1", "a"), (2, "c2", "b"), (3, "c1", "a"), (4, "c1", "b")]
+    assert call((5, "ack", "c1", None), (6, "ack", "c9", None), (7, "ack", "c2", "x")) == [(5, "c1", "a"), (7, "c2", "b")]
+    assert call((8, "issue", "c3", None), (9, "issue", "c3", "d"), (10, "ack", "c3", None)) == [(9, "c3", "d"), (10, "c3", "d")]
+    assert entries == {("c1",): ("a",), ("c2",): ("b",), ("c3",): ("d",)}
