@@ -120,24 +120,41 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One segment in order, from the commands that are open at its start; only open commands stay in memory.
+def _values(column: pa.Array) -> list:
+    """As `to_pylist`, but without a scalar object for each value where there is a shorter way."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_string(column.type) or not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
 
-    The last rows say what is open at its end, in the form of the expiry it would come to.
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of a sorted partition, one after another, each from the commands that are open at its start.
+
+    Only open commands stay in memory.  The last rows of a segment say what is open at its end, in the form of the expiry it would come to.
+    Most segments are short, so they share batches: a call of Python for each costs more than its steps.
     """
-    robot_id, episode, segment = (k.as_py() for k in key)
+    key: tuple | None = None
     pending: list[Open] = []
     last = (0, -1)
 
     def row(m, r, phase, ordinal):
         at, seq = (None, None) if m.due is not None else (r.at_ms, r.seq)
         c = m.command
-        return robot_id, c.id, c.type, m.before, m.after, m.actor, m.reason, at, m.due, seq, phase, ordinal, None, episode, segment, None, None
+        return key[0], c.id, c.type, m.before, m.after, m.actor, m.reason, at, m.due, seq, phase, ordinal, None, key[1], key[2], None, None
+
+    def ends():
+        # A waiting e-stop has no deadline.
+        return [(*row(expiry(c), Request(c.seq, *[None] * 8), _EXIT, c.seq)[:-2], c.created, c.sent) for c in pending]
 
     for batch in batches:
         out = []
-        opened = zip(batch.column("created").to_pylist(), batch.column("sent").to_pylist(), strict=True)
-        for (created, sent), values in zip(opened, zip(*[batch.column(f).to_pylist() for f in Request._fields], strict=True), strict=True):
+        columns = [_values(batch.column(f)) for f in (*_SEGMENT, "created", "sent", *Request._fields)]
+        for robot_id, episode, segment, created, sent, *values in zip(*columns, strict=True):
+            if (robot_id, episode, segment) != key:
+                out += ends()
+                key, pending, last = (robot_id, episode, segment), [], (0, -1)
             r = Request(*values)
             if created is not None:
                 pending.append(Open(r.command_id, r.type, r.seq, created, sent))
@@ -152,8 +169,7 @@ def _fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iter
             if error is not None:
                 out.append((robot_id, r.command_id, r.type, None, None, r.actor, None, r.at_ms, None, r.seq, 1, 0, error, episode, segment, None, None))
         yield _batch(out)
-    # A waiting e-stop has no deadline.
-    yield _batch([(*row(expiry(c), Request(c.seq, *[None] * 8), _EXIT, c.seq)[:-2], c.created, c.sent) for c in pending])
+    yield _batch(ends())
 
 
 def _segments(steps: DataFrame) -> DataFrame:
@@ -164,6 +180,7 @@ def _segments(steps: DataFrame) -> DataFrame:
         .where(F.col("n") > SEGMENT_ROWS)
         .select("robot_id", "episode", "_from", "_to", F.ceil(F.col("n") / F.lit(SEGMENT_ROWS)).alias("_cuts"))
     )
+    cuts = materialize(cuts, "cuts")  # at most rows / SEGMENT_ROWS entries
     part = F.floor((F.col("at_ms") - F.col("_from")) * F.col("_cuts") / (F.col("_to") - F.col("_from") + 1))
     return steps.join(cuts, ["robot_id", "episode"], "left").withColumn("segment", F.coalesce(part, F.lit(0).cast("long"))).drop("_from", "_to", "_cuts")
 
@@ -173,7 +190,7 @@ def _run_segments(steps: DataFrame, entries: DataFrame | None) -> DataFrame:
     dealt = rows.repartition(parallelism(steps.sparkSession), *_SEGMENT).sortWithinPartitions(
         *_SEGMENT, F.col("created").isNull(), F.when(F.col("created").isNull(), F.col("at_ms")), "seq"
     )
-    return materialize(dealt.groupBy(*_SEGMENT).applyInArrow(_fold, _MOVES), "moves")
+    return materialize(dealt.mapInArrow(_fold, _MOVES), "moves")
 
 
 def _fold_segments(steps: DataFrame) -> DataFrame:
@@ -184,7 +201,7 @@ def _fold_segments(steps: DataFrame) -> DataFrame:
     Queues forget: a command is gone 150 s after it was issued, so a wrong start seldom reaches the end of a segment, and few
     rounds are needed; each costs no more than the segments that changed.
     """
-    steps = materialize(steps.withColumns({"created": F.lit(None).cast("long"), "sent": F.lit(None).cast("long")}), "steps")
+    steps = steps.withColumns({"created": F.lit(None).cast("long"), "sent": F.lit(None).cast("long")})
     moves = _run_segments(steps, None)
     ends = moves.where(F.col("phase") == _EXIT)
     order = Window.partitionBy("robot_id", "episode").orderBy("segment")
@@ -208,20 +225,22 @@ def _fold_segments(steps: DataFrame) -> DataFrame:
         if changed.isEmpty():
             last = following.select(*_SEGMENT, F.lit(True).alias("_goes_on"))
             moves = moves.join(last, _SEGMENT, "left")
-            return moves.where((F.col("phase") != _EXIT) | F.col("_goes_on").isNull()).drop("_goes_on")
+            return materialize(moves.where((F.col("phase") != _EXIT) | F.col("_goes_on").isNull()).drop("_goes_on"), "all-moves")
         again = _run_segments(steps.join(changed, _SEGMENT, "left_semi"), entries.join(changed, _SEGMENT, "left_semi"))
         moves = materialize(moves.join(changed, _SEGMENT, "left_anti").unionByName(again), "moves-so-far")
         ends, assumed = moves.where(F.col("phase") == _EXIT), entries
 
 
-def replay_commands(requests: DataFrame) -> Replay:
+def replay_commands(requests: DataFrame, stored: bool = False) -> Replay:
     """Walk the request log: the audit trail and the refused requests.
 
+    `stored` says that `requests` is a table, which costs little to read again.
     Statuses depend on the robot's own requests only; the time of an expiry is that
     of the first request of anyone after the deadline, found by `expiry_time`.
     """
     ship_package(requests.sparkSession)
-    requests = materialize(requests.withColumn("at", F.timestamp_millis(F.unix_millis("at"))), "requests")
+    requests = requests.withColumn("at", F.timestamp_millis(F.unix_millis("at")))
+    requests = requests if stored else materialize(requests, "requests")
     refused = requests.where(_dto_error().isNotNull())
     log = requests.where(_dto_error().isNull())
     own = materialize(_episodes(log), "episodes")
@@ -230,10 +249,11 @@ def replay_commands(requests: DataFrame) -> Replay:
     )
     aimed = log.where(F.col("kind").isin("ack", "cancel"))
     # A null id cannot match; it stays out of the join so that it forms no hot key.
-    known = aimed.where(F.col("command_id").isNotNull()).join(attempts, "command_id", "left")
+    known = materialize(aimed.where(F.col("command_id").isNotNull()).drop("type", "params").join(attempts, "command_id", "left"), "aimed")
     late = (_ms("at") - _ms("_issued") > _SETTLED_MS) & (F.col("_type") != "estop")
     routed = known.where(F.col("_robot").isNotNull() & ~late).withColumn("robot_id", F.col("_robot"))
-    steps = own.unionByName(routed.drop("_robot", "_type", "_issued"))
+    routed = routed.drop("_robot", "_type", "_issued")
+    steps = own.unionByName(routed, allowMissingColumns=True)
     steps = steps.select(
         "robot_id", "episode", "seq", _ms("at").alias("at_ms"), "kind", "command_id", "type",
         _param_error().alias("param_error"), "actor", "ack_status", "ack_reason",
@@ -242,7 +262,6 @@ def replay_commands(requests: DataFrame) -> Replay:
     # What is open at the end of an episode runs out; a waiting e-stop does not.
     moves = moves.where((F.col("phase") != _EXIT) | F.col("due_ms").isNotNull())
     moves = moves.withColumn("phase", F.when(F.col("phase") == _EXIT, 0).otherwise(F.col("phase"))).drop("episode", "segment", "created", "sent")
-    moves = materialize(moves, "all-moves")
     columns = ["at", "command_id", "robot_id", "type", "from_status", "to_status", "actor", "reason", "order_seq", "phase", "ordinal"]
     done = moves.where(F.col("to_status").isNotNull())
     timed = done.where(F.col("due_ms").isNull()).withColumn("at", F.timestamp_millis("at_ms")).select(*columns)
@@ -259,7 +278,7 @@ def replay_commands(requests: DataFrame) -> Replay:
     tardy = known.where(late).join(queued, "command_id", "left").withColumn(
         "code", F.when(F.col("_created"), 409).otherwise(404)
     )
-    unknown = aimed.where(F.col("command_id").isNull()).unionByName(known.where(F.col("_robot").isNull()).select(aimed.columns))
+    unknown = aimed.where(F.col("command_id").isNull()).select("seq").unionByName(known.where(F.col("_robot").isNull()).select("seq"))
     # A target that is not open is finished (409) if it was admitted before, else unknown (404).
     admitted = timed.where(F.col("to_status") == "queued").groupBy("command_id").agg(F.min(F.struct(_ms("at"), "order_seq")).alias("_admitted"))
     missed = moves.where(F.col("error") == 409).join(admitted, "command_id", "left")
