@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundswell.operators import commands as C
+from groundswell.plans.shared import materialize
 from groundswell.sources.folder import Folder
 
 class StoredTrail:
@@ -38,7 +39,9 @@ class StoredTrail:
         if last is not None and last["log"] == state:
             return self
         where = f"{self.path}/{uuid.uuid4().hex}"
-        audit, errors = C.replay_commands(requests)
+        # The log is a view; the replay, the flows and the polls read one copy of it.
+        requests = materialize(requests, "requests")
+        audit, errors = C.replay_commands(requests, stored=True)
         # Arrival order, so that the newest entries and ranges of time are in few row groups.
         audit.repartitionByRange("order_seq").sortWithinPartitions("order_seq", "phase", "ordinal").write.parquet(f"{where}/audit")
         errors.write.parquet(f"{where}/errors")

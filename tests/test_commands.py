@@ -251,3 +251,14 @@ def test_segments_of_a_partition_share_a_fold():
         ("a", "c1", "queued", 1), ("a", "c2", "queued", 1), ("a", "c1", "expired", C._EXIT), ("a", "c2", "expired", C._EXIT),
         ("b", "c3", "queued", 1), ("b", "c3", "expired", C._EXIT),
     ]
+
+
+def test_a_refresh_reads_one_stored_copy_of_the_log(spark, tmp_path, monkeypatch):
+    """The log is a view that costs several shuffles; the replay, the flows and the polls must not each derive it again."""
+    seen = []
+    real = C.commands_table
+    monkeypatch.setattr(C, "commands_table", lambda audit, requests: seen.append(requests) or real(audit, requests))
+    df = log(spark, random_log(18, 40))
+    assert not df.inputFiles()
+    StoredTrail(spark, str(tmp_path / "trail")).refresh(df)
+    assert seen[0].inputFiles() and seen[0].count() == 40
