@@ -42,28 +42,39 @@ def _rows(frames: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
 
 
 class _Timed(StatefulProcessor):
-    """Samples wait in a list until the watermark has passed them; one timer stands for the earliest."""
+    """Samples wait in a list until the watermark has passed them; one timer stands for the earliest.
+
+    The list is read only when the watermark has reached its earliest row, whose time is kept beside it, and a row that
+    the watermark has already passed never enters it.
+    """
 
     WAITING = "ts_us long, seq long, flow double, pressure double, uplift double"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.WAITING)
+        self.earliest = handle.getValueState("earliest", "ts_us long")
 
     def hold(self, rows: list[tuple], watermark_us: int) -> list[tuple]:
         """Put rows on the list; returns, in order, those that the watermark has passed."""
-        if rows:
-            self.waiting.appendList(rows)
-        if not self.waiting.exists():
-            return []
-        held = sorted(tuple(r) for r in self.waiting.get())
-        cut = bisect_left(held, (watermark_us + 1,))
-        if cut:
-            if cut < len(held):
-                self.waiting.put(held[cut:])
+        ready = [r for r in rows if r[0] <= watermark_us]
+        rest = [r for r in rows if r[0] > watermark_us]
+        first = self.next_waiting()
+        if first is not None and first <= watermark_us:
+            held = [tuple(r) for r in self.waiting.get()]
+            ready += [r for r in held if r[0] <= watermark_us]
+            rest += [r for r in held if r[0] > watermark_us]
+            first = None
+            if rest:
+                self.waiting.put(rest)
             else:
                 self.waiting.clear()
-        return held[:cut]
+                self.earliest.clear()
+        elif rest:
+            self.waiting.appendList(rest)
+        if rest:
+            self.earliest.update((min([r[0] for r in rest] + ([] if first is None else [first])),))
+        return sorted(ready)
 
     def wake(self, at_us: int, watermark_us: int) -> None:
         due = max(at_us, watermark_us) // 1000 + 1
@@ -72,6 +83,9 @@ class _Timed(StatefulProcessor):
             self.handle.registerTimer(due)
 
     def next_waiting(self) -> int | None:
+        if self.earliest.exists():
+            return self.earliest.get()[0]
+        # State from before the time was kept.
         return min((r[0] for r in self.waiting.get()), default=None) if self.waiting.exists() else None
 
     def close(self) -> None:
@@ -129,12 +143,12 @@ class FleetFold(_Timed):
                 unplaced += 1
                 continue
             total += litres(row, after) + (litres(before, row) - litres(before, after) if before else 0.0)
-            self._keep([row])
+            self._keep([row], last)
         ready, settled = self.hold([r for r in new if last is None or r[:2] >= last[:2]], watermark), last
         for row in (r[:3] for r in ready):
             total += litres(last, row) if last else 0.0
             last = row
-        self._keep([r[:3] for r in ready])
+        self._keep([r[:3] for r in ready], settled)
         oldest = self._forget(settled, last, oldest)
         if last is not None:
             self.sums.update((*last, total, unplaced, oldest))
@@ -148,12 +162,14 @@ class FleetFold(_Timed):
     def _piece(self, span: int) -> list[tuple]:
         return [tuple(r) for r in self.settled.getValue((span,))[0]] if self.settled.containsKey((span,)) else []
 
-    def _keep(self, rows: list[tuple]) -> None:
+    def _keep(self, rows: list[tuple], newest: tuple | None) -> None:
+        """Add to the pieces; none lies behind that of the `newest` settled row, so those need no look."""
         pieces: dict[int, list[tuple]] = {}
         for r in rows:
             pieces.setdefault(r[0] // SPAN_US, []).append(r)
         for span, more in pieces.items():
-            self.settled.updateValue((span,), (sorted(self._piece(span) + more),))
+            own = self._piece(span) if newest is not None and span <= newest[0] // SPAN_US else []
+            self.settled.updateValue((span,), (sorted(own + more),))
 
     def _neighbours(self, row: tuple, last: tuple) -> tuple[tuple | None, tuple]:
         """The settled rows around a late one; there always is one after it."""
