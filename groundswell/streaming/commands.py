@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from groundswell.operators.commands import _dto_error, _param_error
 from groundswell.operators.lifecycle import Open, Request, advance, expiry
 from groundswell.plans.shared import by_value, ship_package
+from groundswell.streaming.arrival import arrow_schema, by_arrival
 
 MOVES = (
     "command_id string, robot_id string, type string, from_status string, to_status string, actor string, "
@@ -20,12 +22,11 @@ MOVES = (
 _NAMES = [part.split()[0] for part in MOVES.split(", ")]
 STEPS = "robot_id string, seq long, at_ms long, kind string, command_id string, type string, param_error string, actor string, ack_status string, ack_reason string"
 _STEP_NAMES = [part.split()[0] for part in STEPS.split(", ")]
+_STEP_ROWS = arrow_schema(STEPS)
+_REQUEST_ROWS = pa.schema([_STEP_ROWS.field(f) for f in Request._fields])
 ROUTER_BUCKETS = 1024  # of command ids; fixed, as a stream's state outlives a session
-
-
-def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The key's rows of this trigger by arrival; what a trigger takes is bounded by its source."""
-    return pd.concat(list(frames)).sort_values("seq", kind="stable")
+KNOWN_IDS = 50_000  # that a call of the router keeps at hand
+OUT_ROWS = 10_000
 
 
 class CommandRouter(StatefulProcessor):
@@ -38,19 +39,22 @@ class CommandRouter(StatefulProcessor):
         self.robots = handle.getMapState("robots", "command_id string", "robot_id string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows)
         held = self.robots.exists()
         known: dict[str, str | None] = {}
-        robots = []
-        for kind, command_id, robot in zip(frame["kind"].tolist(), frame["command_id"].tolist(), frame["robot_id"].tolist(), strict=True):
-            if command_id not in known:
-                known[command_id] = self.robots.getValue((command_id,))[0] if held and self.robots.containsKey((command_id,)) else None
-            if kind == "issue" and known[command_id] is None and robot is not None:
-                known[command_id] = robot
-                self.robots.updateValue((command_id,), (robot,))
-            robots.append(robot if kind == "issue" else known[command_id])
-        frame["robot_id"] = robots
-        yield frame.loc[frame["robot_id"].notna(), _STEP_NAMES]
+        for block in by_arrival(rows, _STEP_ROWS):
+            robots = []
+            for kind, command_id, robot in zip(*(block.column(c).to_pylist() for c in ("kind", "command_id", "robot_id")), strict=True):
+                if command_id not in known:
+                    if len(known) >= KNOWN_IDS:
+                        known.clear()
+                        held = True  # what this call has learned is among the entries
+                    known[command_id] = self.robots.getValue((command_id,))[0] if held and self.robots.containsKey((command_id,)) else None
+                if kind == "issue" and known[command_id] is None and robot is not None:
+                    known[command_id] = robot
+                    self.robots.updateValue((command_id,), (robot,))
+                robots.append(robot if kind == "issue" else known[command_id])
+            routed = block.set_column(block.schema.get_field_index("robot_id"), "robot_id", pa.array(robots, pa.string()))
+            yield routed.filter(routed.column("robot_id").is_valid()).to_pandas(integer_object_nulls=True)
 
     def close(self) -> None:
         pass
@@ -68,15 +72,15 @@ class RobotQueue(StatefulProcessor):
         self.step = handle.getValueState("step", "step long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows)
-        columns = [frame[f].astype(object).where(frame[f].notna(), None) for f in Request._fields]
-        requests = [Request(*values)._replace(seq=int(values[0]), at_ms=int(values[1])) for values in zip(*columns, strict=True)]
-        yield self._apply(key[0], requests, timerValues.getCurrentWatermarkInMs())
+        blocks = (block.select(Request._fields).columns for block in by_arrival(rows, _REQUEST_ROWS))
+        rows_of = (values for columns in blocks for values in zip(*(c.to_pylist() for c in columns), strict=True))
+        requests = (Request(int(seq), int(at_ms), *rest) for seq, at_ms, *rest in rows_of)
+        yield from self._apply(key[0], requests, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._apply(key[0], [], timerValues.getCurrentWatermarkInMs())
+        yield from self._apply(key[0], [], timerValues.getCurrentWatermarkInMs())
 
-    def _apply(self, robot_id: str, requests: list[Request], now: int) -> pd.DataFrame:
+    def _apply(self, robot_id: str, requests: Iterable[Request], now: int) -> Iterator[pd.DataFrame]:
         pending = [Open(*c) for c in self.open.get()] if self.open.exists() else []
         step = self.step.get()[0] if self.step.exists() else 0
         out = []
@@ -89,6 +93,10 @@ class RobotQueue(StatefulProcessor):
             pending, moves, _ = advance(pending, r, robot_id)
             for move in moves:
                 emit(move, r.at_ms)
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=_NAMES)
+                step += len(out)
+                out.clear()
         for c in [c for c in pending if c.deadline is not None and c.deadline < now]:
             emit(expiry(c), now)
             pending.remove(c)
@@ -102,7 +110,7 @@ class RobotQueue(StatefulProcessor):
             at = max(due, now) + 1
             if not any(now < t <= at for t in self.handle.listTimers()):
                 self.handle.registerTimer(at)
-        return pd.DataFrame(out, columns=_NAMES)
+        yield pd.DataFrame(out, columns=_NAMES)
 
     def close(self) -> None:
         pass

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import shutil
+import tracemalloc
 from datetime import timedelta
 
 import command_model
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SMALL, utc
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from groundswell.plans.shared import store
 from groundswell.sources import adapters as A
 from groundswell.sources import batches as B
 from groundswell.sources import tables
+from groundswell.streaming import arrival, sinks, stateful
 from groundswell.streaming import commands as sc
-from groundswell.streaming import sinks, stateful
 from groundswell.streaming import telemetry as st
 
 
@@ -317,3 +319,86 @@ def test_late_rows_join_the_piece_they_fall_into(spark, tmp_path):
     done = [r for r in sorted(rows, key=lambda r: r["ts"]) if r["ts"] <= start + timedelta(seconds=1800)]
     want = sum((a["flow_rate_lpm"] + b["flow_rate_lpm"]) / 2 * (b["ts"] - a["ts"]).total_seconds() / 60 for a, b in zip(done, done[1:], strict=False))
     assert got.unplaced == 0 and got.volume_l == pytest.approx(want)
+
+
+@pytest.mark.parametrize("keys", [10, 100_000])
+def test_rows_of_a_key_are_merged_by_arrival(monkeypatch, keys):
+    """Runs over several levels, with repeated numbers, nulls and a short last run; equal numbers stay in the order they come in."""
+    monkeypatch.setattr(arrival, "RUN_ROWS", 50)
+    monkeypatch.setattr(arrival, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(arrival, "FAN_IN", 3)
+    rng = random.Random(keys)
+    schema = arrival.arrow_schema("seq long, name string")
+    for n in (0, 1, 49, 50, 51, 120, 2003):
+        rows = [(rng.randrange(keys) if rng.random() < 0.99 else None, None if i % 7 == 0 else f"{i}é") for i in range(n)]
+        frames = (pd.DataFrame({"name": [r[1] for r in rows[i : i + 13]], "seq": pd.Series([r[0] for r in rows[i : i + 13]], dtype=object)}) for i in range(0, n, 13))
+        got = [tuple(r.values()) for b in arrival.by_arrival(frames, schema) for r in b.to_pylist()]
+        assert got == sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+class _Queue:
+    """What a robot's queue keeps, in memory."""
+
+    def __init__(self):
+        self.states, self.timers = {"open": _List(), "step": _Single()}, []
+
+    def getListState(self, name, _):
+        return self.states[name]
+
+    getValueState = getListState
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def _held_by_a_robot(n: int) -> tuple[int, list[tuple]]:
+    """Most bytes of Python and Arrow objects while a robot takes n requests in one trigger, last ones first, and its moves."""
+    queue, moves = sc.RobotQueue(), []
+    queue.init(_Queue())
+    blank = dict.fromkeys(sc.Request._fields)
+
+    def frames():
+        for end in range(n, 0, -500):
+            rows = range(max(0, end - 500), end)
+            kinds = [("issue", "next", "ack")[i % 3] for i in rows]
+            yield pd.DataFrame([blank | dict(seq=i, at_ms=1000 * i, kind=k, command_id=None if k == "next" else f"c{i // 3}", type="pause", actor="op", ack_status="completed") for i, k in zip(rows, kinds, strict=True)])
+
+    most, before = 0, pa.total_allocated_bytes()
+    tracemalloc.start()
+    for out in queue.handleInputRows(("r",), frames(), type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0})()):
+        most = max(most, tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before)
+        moves += [len(out), *out["step"].agg(["min", "max"]).tolist()] if len(out) else []
+    tracemalloc.stop()
+    assert queue.step.get() == (n // 3 * 3,) and not queue.open.exists()
+    return most, moves
+
+
+def test_a_robots_memory_does_not_grow_with_the_trigger(monkeypatch):
+    monkeypatch.setattr(arrival, "RUN_ROWS", 1000)
+    monkeypatch.setattr(arrival, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(sc, "OUT_ROWS", 500)
+    _held_by_a_robot(300)  # imports and caches
+    small, _ = _held_by_a_robot(3000)
+    large, moves = _held_by_a_robot(30_000)
+    assert large < 2 * small
+    assert sum(moves[::3]) == 30_000 and moves[1::3] == [0, *[m + 1 for m in moves[2::3][:-1]]]  # each move once, numbered through
+
+
+def test_router_forgets_no_id_that_left_its_hand(monkeypatch):
+    """More ids in one call than it keeps at hand, in more than one run: later acks find the robot of the first issue among the entries."""
+    monkeypatch.setattr(arrival, "RUN_ROWS", 40)
+    monkeypatch.setattr(arrival, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(sc, "KNOWN_IDS", 5)
+    router, entries = sc.CommandRouter(), _Entries()
+    router.init(type("Handle", (), {"getMapState": lambda self, *_: entries})())
+    blank = dict.fromkeys(sc._STEP_NAMES)
+    rows = [blank | dict(seq=i, kind="issue", command_id=f"c{i % 60}", robot_id=f"r{i}") for i in range(90)]
+    rows += [blank | dict(seq=90 + i, kind="ack", command_id=f"c{i}") for i in range(70)]
+    random.Random(3).shuffle(rows)
+    out = pd.concat(router.handleInputRows((0,), iter([pd.DataFrame(rows[i : i + 30]) for i in range(0, len(rows), 30)]), None))
+    assert out["seq"].tolist() == list(range(150))  # the last ten acks name no command
+    assert out["robot_id"].tolist() == [f"r{i}" for i in range(90)] + [f"r{i}" for i in range(60)]
+    assert entries == {(f"c{i}",): (f"r{i}",) for i in range(60)}
