@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from groundswell.operators.commands import _dto_error, _param_error
 from groundswell.operators.lifecycle import Open, Request, advance, expiry
 from groundswell.plans.shared import by_value, ship_package
-from groundswell.streaming.arrival import arrow_schema, by_arrival
+from groundswell.streaming.arrival import arrow_schema, by_arrival, values
 
 MOVES = (
     "command_id string, robot_id string, type string, from_status string, to_status string, actor string, "
@@ -43,7 +44,7 @@ class CommandRouter(StatefulProcessor):
         known: dict[str, str | None] = {}
         for block in by_arrival(rows, _STEP_ROWS):
             robots = []
-            for kind, command_id, robot in zip(*(block.column(c).to_pylist() for c in ("kind", "command_id", "robot_id")), strict=True):
+            for kind, command_id, robot in values(block, ("kind", "command_id", "robot_id")):
                 if command_id not in known:
                     if len(known) >= KNOWN_IDS:
                         known.clear()
@@ -72,9 +73,8 @@ class RobotQueue(StatefulProcessor):
         self.step = handle.getValueState("step", "step long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        blocks = (block.select(Request._fields).columns for block in by_arrival(rows, _REQUEST_ROWS))
-        rows_of = (values for columns in blocks for values in zip(*(c.to_pylist() for c in columns), strict=True))
-        requests = (Request(int(seq), int(at_ms), *rest) for seq, at_ms, *rest in rows_of)
+        steps = chain.from_iterable(values(block, Request._fields) for block in by_arrival(rows, _REQUEST_ROWS))
+        requests = (Request(int(seq), int(at_ms), *rest) for seq, at_ms, *rest in steps)
         yield from self._apply(key[0], requests, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -20,6 +20,8 @@ from groundswell.session import beside
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Together for the stores of an executor, outside its heap; else each takes two write buffers of 64 MB and a cache.
+_BOUNDED = {"spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
 SPAN_US = 300_000_000  # settled flows are kept in pieces of five minutes
 
 
@@ -29,7 +31,7 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     Each state partition is a store of its own that every trigger opens, so there are no more of them than cores.
     """
     partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return beside(spark, {_STORE: _ROCKS, "spark.sql.shuffle.partitions": str(partitions)})
+    return beside(spark, {_STORE: _ROCKS, "spark.sql.shuffle.partitions": str(partitions), **_BOUNDED})
 
 
 def litres(a: tuple, b: tuple) -> float:
